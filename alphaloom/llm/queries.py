@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, secret_scan, toxicity, url_filter
+from . import decontaminate, ngram_join, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1,
     "op2_toxicity": toxicity.op2,
     "op3_url_filter": url_filter.op3,
     "op4_secret_scan": secret_scan.op4,
+    "op6_ngram_join": ngram_join.op6,
+    "op7_decontaminate": decontaminate.op7,
 }
 
 #: The others can't be written in SQL; tests/llm holds them against brute force.
