@@ -1 +1,8 @@
 """Panel analytics and training-data operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
