@@ -42,6 +42,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As `saved`, but out of the reach of `sweep`: for a result that later steps read."""
+    out = saved(df, name)
+    _scratch.pop()
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes the scratch tables written so far. Only for callers that have consumed all earlier results."""
     while _scratch:

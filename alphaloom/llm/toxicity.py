@@ -232,6 +232,18 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(by_slices(work), "doc_id long, score double, n_matches long")
 
 
+def keep(documents: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
+    """The rows of `documents`, with all their columns, whose score is below `cut`; in one pass and without a shuffle."""
+    names = documents.columns
+    text = names.index("text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([signals(t, model.lexicon) for t in batch.column(text).to_pylist()])
+        return batch.filter(pa.array(model.score(x) < cut))
+
+    return documents.mapInArrow(by_slices(work, text), documents.schema)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     model = fit(documents, table(spark, sf_dir, "labels"))
