@@ -56,6 +56,24 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the map in `split`: 8 MB broadcast, whatever the number of keys.
+MAP_BITS = 1 << 26
+
+
+def split(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `column` may be among `keys`, rows for which it certainly isn't), so that only the former need a join.
+
+    A one-hash bitmap of fixed size is broadcast; with very many keys it says "may be" more often, and nothing is lost.
+    """
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MAP_BITS))
+    bits = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("int")).alias("_bits"))
+    seen = df.withColumn("_p", place).withColumn("_bucket", F.shiftright("_p", 15)).join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright((F.col("_p") % 32768).cast("int"), 3) + 1), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, CAST(_p % 8 AS INT)) & 1") == 1, F.lit(False))
+    seen = seen.withColumn("_byte", byte).withColumn("_hit", hit)
+    return seen.where("_hit").select(df.columns), seen.where("NOT _hit").select(df.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows whose labels no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2

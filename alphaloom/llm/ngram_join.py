@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_slices, saved, slices, table
+from .common import by_slices, saved, slices, split, table
 from .components import components
 
 #: Parts beyond the needed number, so that keys of empty parts are seldom needed.
@@ -320,7 +320,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     name = F.xxhash64("group", "block", "block2").alias("task")
     dealt = tasks.select("group", "block", F.lit(0).alias("side"), name).union(tasks.where("block < block2").select("group", F.col("block2").alias("block"), F.lit(1).alias("side"), name))
     # The sets travel as texts, each once to every task of its block.
-    texts = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["set_id"]) if _repeated(docs) else docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    maybe, _ = split(docs, members.select(F.col("rep").alias("doc_id")), "doc_id")
+    texts = maybe.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
+    texts = texts.dropDuplicates(["set_id"]) if repeated(docs) else texts
     work = texts.select("group", "block", "set_id", "copies", "text").join(dealt, ["group", "block"]).select("task", "side", "set_id", "copies", "text")
     found = saved(work.repartition("task").sortWithinPartitions("task", "side", "set_id").mapInArrow(_task_links(n, bound), "set_id long, links long, root long"), "ngram-links")
 
@@ -334,7 +336,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _repeated(docs: DataFrame) -> bool:
+def repeated(docs: DataFrame) -> bool:
     """Whether some doc_id stands in more than one row."""
     return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
 

@@ -26,12 +26,16 @@ def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; documents without a doc_id or words stay."""
+    """Of each group of linked documents the one with the smallest doc_id; documents without a doc_id or words stay. Of rows that
+    repeat a doc_id one stays."""
     common.sweep(spark)
     found = ngram_join.join(docs)
-    # Only members of groups are named, so that no text needs to be shuffled for the others.
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = common.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    if ngram_join.repeated(docs.where("doc_id IS NOT NULL")):
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    # Only documents that may be among the duplicates are shuffled.
+    maybe, certain = common.split(docs, gone, "doc_id")
+    return certain.union(maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +45,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with live-looking secrets masked."""
+    """docs with live-looking secrets masked, and n_chars of the texts as they are then."""
     common.sweep(spark)
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
