@@ -1,10 +1,11 @@
 """Chat formatting in prefix trees: conversations that share their first turns share the tokens of these turns.
 
 A node is a turn after given earlier turns; its key is the chained digest of role and text from the root on, so equal
-prefixes meet without any group being gathered. A tree has one root turn; its tokens are laid out depth-first, each node
-once. A node's position ids continue those of its parent, and its attention is the list of its ancestors' token intervals
-plus itself. Layout offsets are sums over sorted nodes, taken in two levels so that a tree with very many branches is
-dealt to many tasks.
+prefixes meet without any group being gathered. A tree has one root turn. Its conversations, sorted by their node keys, are the
+leaves of a depth-first walk: each adds the turns that it doesn't share with the one before it, so every node is laid out
+once. A node's position ids continue those of its parent, and its attention is the list of its ancestors' token intervals and its
+own, neighbours merged. Offsets are sums in two levels, so that a tree with very many branches is dealt to many tasks.
+No row holds more than one conversation's keys.
 
 Template: <|im_start|>role NEWLINE text <|im_end|> NEWLINE, the marks being token ids beyond the vocabulary. In roles and texts, a
 backslash is put after the < of every <, backslashes, | run, which is undone by taking one away. The loss mask covers the escaped
@@ -16,7 +17,6 @@ another's turns ends at the same node; a null conv_id is a conversation; an empt
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,21 +43,13 @@ def unescaped(c: Column) -> Column:
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, k (from 1), role, text, key and parent (null for a first turn) of every row."""
+    """One row per conversation: conv_id, t (its turns in order) and keys (their nodes)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = conversations.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
     one = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     step = F.expr("transform(t, x -> sha2(concat(x.role, '\\n', x.text), 256))")
-    chain = F.aggregate(
-        step, F.array().cast("array<string>"), lambda a, x: F.concat(a, F.array(F.substring(F.sha2(F.concat(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), x), 256), 1, 32)))
-    )
-    one = one.select("conv_id", "t", F.when(F.size("t") > 0, chain).alias("keys"))
-    pair = F.arrays_zip(F.col("t"), F.col("keys"))
-    one = one.select("conv_id", "keys", F.posexplode(pair).alias("p", "x"))
-    return one.select(
-        "conv_id", (F.col("p") + 1).alias("k"), F.col("x.t.role").alias("role"), F.col("x.t.text").alias("text"), F.col("x.keys").alias("key"),
-        F.try_element_at("keys", F.when(F.col("p") > 0, F.col("p"))).alias("parent"), F.col("keys")[0].alias("tree"), F.slice("keys", 1, F.col("p") + 1).alias("path"),
-    )
+    link = lambda a, x: F.concat(a, F.array(F.substring(F.sha2(F.concat(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), x), 256), 1, 32)))
+    return one.select("conv_id", "t", F.aggregate(step, F.array().cast("array<string>"), link).alias("keys"))
 
 
 def _tokens(encoder: Encoder):
@@ -77,32 +69,72 @@ def _tokens(encoder: Encoder):
     return run
 
 
-def forest(rows: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """One row per node of `turns` rows: tree, key, parent, depth, offset (place of its tokens in its tree's depth-first sequence), position
-    (id of its first token), ids, loss_start, loss_end (within its ids) and attention (intervals [start, end) in the sequence)."""
+def forest(chats: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, paths) of `turns` rows.
+
+    nodes: tree, key, parent, depth, offset (place of its tokens in its tree's depth-first sequence), position (id of its
+    first token), ids, loss_start, loss_end (within its ids) and attention (intervals [start, end) in the sequence).
+    paths: key of a last turn, and the keys of all turns up to it.
+    """
     encoder = encoder or default_encoder()
-    # Equal nodes are merged before anything is shuffled by tree; all their columns are equal by construction.
-    nodes = rows.groupBy("key").agg(F.first("tree").alias("tree"), F.first("parent").alias("parent"), F.min("k").alias("depth"), F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
-    nodes = saved(nodes, "chat-nodes")
-    tokens = saved(nodes.select("key", escaped(F.col("role")), escaped(F.col("text"))).mapInArrow(_tokens(encoder), "key string, ids array<int>, loss_start int, loss_end int"), "chat-tokens")
-    sized = nodes.select("key", "tree", "parent", "depth", "path").join(tokens.select("key", F.size("ids").cast("long").alias("n")), "key")
-    # Depth-first order is the order of paths. Parts of a tree follow its second nodes; the root comes before all of them.
-    second = F.try_element_at("path", F.lit(2))
-    sized = sized.withColumn("part", F.when(F.col("depth") == 1, -1).otherwise(F.conv(F.substring(second, 1, 2), 16, 10).cast("int") * PARTS / 256).cast("int"))
-    inner = F.sum("n").over(Window.partitionBy("tree", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    parts = sized.groupBy("tree", "part").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    laid = sized.withColumn("inner", F.coalesce(inner, F.lit(0))).join(parts, ["tree", "part"])
-    laid = saved(laid.select("tree", "key", "parent", "depth", "path", "n", (F.col("inner") + F.col("before")).alias("offset")), "chat-layout")
-    up = laid.select(F.col("key").alias("ancestor"), F.struct("depth", F.col("offset").alias("start"), (F.col("offset") + F.col("n")).alias("end")).alias("i"))
-    spans = laid.select("key", F.explode("path").alias("ancestor")).join(up, "ancestor").groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    attention = F.transform("i", lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end")))
-    before = F.aggregate("i", F.lit(0).cast("long"), lambda a, i: a + i["end"] - i["start"])
-    out = laid.join(spans, "key").join(tokens, "key")
-    return out.select("tree", "key", "parent", "depth", "offset", (before - F.col("n")).alias("position"), "ids", "loss_start", "loss_end", attention.alias("attention"))
-
-
-def read_back(nodes: DataFrame, leaves: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """conv_id, turns (role, text by depth, unescaped, from tokens), formatted_chars and loss_text of conversations that end in `leaves` (conv_id, key)."""
+    paths = chats.groupBy(F.element_at("keys", -1).alias("leaf")).agg(F.first("keys").alias("keys"))
+    paths = saved(paths, "chat-paths")
+    # Equal nodes are merged before they are tokenised; all their columns are equal by construction.
+    one = chats.select(F.explode(F.arrays_zip("keys", "t")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.t.role").alias("role"), F.col("x.t.text").alias("text"))
+    one = one.groupBy("key").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    tokens = one.select("key", escaped(F.col("role")), escaped(F.col("text"))).mapInArrow(_tokens(encoder), "key string, ids array<int>, loss_start int, loss_end int")
+    tokens = saved(tokens, "chat-tokens")
+
+    steps = paths.select("leaf", F.posexplode("keys").alias("k", "key")).join(tokens.select("key", F.size("ids").cast("long").alias("n")), "key")
+    sizes = steps.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("n"))
+    # Parts of a tree follow the second turns; the root comes before all of them.
+    part = (F.conv(F.substring(F.try_element_at("keys", F.lit(2)), 1, 2), 16, 10).cast("int") * PARTS / 256).cast("int")
+    sized = paths.join(sizes, "leaf").select("leaf", "keys", "n", F.col("keys")[0].alias("tree"), F.coalesce(part, F.lit(-1)).alias("part"))
+    w = Window.partitionBy("tree", "part").orderBy("keys")
+    unlike = F.zip_with("keys", F.lag("keys").over(w), lambda a, b: ~a.eqNullSafe(b))
+    laid = sized.withColumn("shared", F.greatest(F.lit(1), F.coalesce(F.array_position(unlike, F.lit(True)) - 1, F.lit(1))).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    laid = laid.withColumn("added", total(F.slice("n", F.col("shared") + 1, F.size("n")))).withColumn("inner", F.coalesce(F.sum("added").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = laid.groupBy("tree", "part").agg(F.sum("added").alias("m"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
+    laid = laid.join(parts, ["tree", "part"]).withColumn("start", F.col("n")[0] + F.col("before") + F.col("inner")).drop("before", "inner", "added")
+    laid = saved(laid, "chat-layout")
+
+    # Each conversation's own turns follow one another from its start.
+    ahead = F.aggregate("n", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    own = laid.withColumn("ahead", ahead).select("tree", "leaf", "keys", "start", "shared", "ahead", F.posexplode(F.slice("keys", F.col("shared") + 1, F.size("keys"))).alias("p", "key"))
+    own = own.withColumn("k", F.col("p") + F.col("shared"))
+    own = own.select(
+        "tree", "key", F.col("keys")[F.col("k") - 1].alias("parent"), (F.col("k") + 1).alias("depth"), (F.col("start") + F.col("ahead")[F.col("k")] - F.col("ahead")[F.col("shared")]).alias("offset"),
+        F.col("ahead")[F.col("k")].alias("position"), (F.col("ahead")[F.col("k") + 1] - F.col("ahead")[F.col("k")]).alias("size"), "leaf", "start",
+    )
+    zero = F.lit(0).cast("long")
+    roots = laid.groupBy("tree").agg(F.first(F.col("n")[0]).alias("size")).select("tree", F.col("tree").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"), zero.alias("offset"), zero.alias("position"), "size", F.lit(None).cast("string").alias("leaf"), zero.alias("start"))
+    placed = saved(roots.union(own), "chat-placed")
+
+    # Intervals of the turns that a conversation shares with earlier ones, neighbours merged.
+    prior = laid.select("leaf", F.posexplode(F.slice("keys", 1, F.col("shared"))).alias("k", "key")).join(placed.select("key", "offset", (F.col("offset") + F.col("size")).alias("end")), "key")
+    interval = F.struct(F.col("offset").alias("start"), F.col("end").alias("end"))
+    prior = prior.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", interval.alias("i")))), lambda x: x["i"]).alias("prior"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def merge(a, x):
+        last = F.try_element_at(a, F.lit(-1))
+        joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
+        return F.when(last["end"] == x["start"], joined).otherwise(F.concat(a, F.array(x)))
+
+    prior = prior.withColumn("prior", F.aggregate("prior", none, merge))
+    out = placed.join(prior, "leaf", "left").join(tokens, "key")
+    run = F.struct("start", (F.col("offset") + F.col("size")).alias("end"))
+    attention = F.aggregate(F.array(run), F.coalesce("prior", none), merge)
+    return out.select("tree", "key", "parent", "depth", "offset", "position", "ids", "loss_start", "loss_end", attention.alias("attention")), paths
+
+
+def read_back(nodes: DataFrame, paths: DataFrame, leaves: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """conv_id, turns (role, text by depth, unescaped, from tokens), formatted_chars and loss_text of conversations that end in `leaves` (conv_id, key).
+
+    What a last turn attends to must be as long as the turns of its path, else the layout is damaged and the read fails.
+    """
     encoder = encoder or default_encoder()
 
     def run(batches):
@@ -116,32 +148,33 @@ def read_back(nodes: DataFrame, leaves: DataFrame, encoder: Encoder | None = Non
                 whole = marks[ids[0]] + inner + marks[ids[stop]] + encoder.decode(ids[stop + 1 :])
                 for column, value in zip(columns, (role, text, len(whole), encoder.decode(ids[begin:end]))):
                     column.append(value)
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string())))], names=["key", "role", "text", "chars", "loss"])
-
-    said = saved(nodes.select("key", "ids", "loss_start", "loss_end").mapInArrow(run, "key string, role string, text string, chars long, loss string"), "chat-read")
-    # From a leaf upwards: its tree's nodes whose interval its attention lists.
-    place = nodes.select(F.col("tree"), F.col("offset").alias("start"), F.col("key").alias("node"), "depth")
-    seen = nodes.join(leaves.select("key").distinct(), "key", "left_semi").select("tree", "key", F.explode("attention").alias("a")).select("tree", "key", F.col("a.start").alias("start"))
-    seen = seen.join(place, ["tree", "start"]).select("key", "node", "depth").join(said.withColumnRenamed("key", "node"), "node")
-    turn = F.struct("depth", unescaped(F.col("role")).alias("role"), unescaped(F.col("text")).alias("text"), "chars", unescaped(F.col("loss")).alias("loss"))
-    whole = seen.groupBy("key").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    whole = whole.select("key", "turns", F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["chars"]).alias("formatted_chars"), F.array_join(F.transform("turns", lambda t: t["loss"]), "").alias("loss_text"))
+            yield pa.record_batch([batch.column(0), batch.column(4), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string())))], names=["key", "seen", "role", "text", "chars", "loss"])
+
+    seen = F.aggregate("attention", F.lit(0).cast("long"), lambda a, i: a + i["end"] - i["start"])
+    said = nodes.select("key", "ids", "loss_start", "loss_end", seen.alias("seen")).mapInArrow(run, "key string, seen long, role string, text string, chars long, loss string")
+    sizes = nodes.select("key", F.size("ids").cast("long").alias("size"), seen.alias("seen"))
+    said = saved(said.drop("seen").join(sizes, "key"), "chat-read")
+    steps = paths.select("leaf", F.posexplode("keys").alias("k", "key")).join(said, "key")
+    turn = F.struct("k", unescaped(F.col("role")).alias("role"), unescaped(F.col("text")).alias("text"), "chars", unescaped(F.col("loss")).alias("loss"), "size", "seen")
+    whole = steps.groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    total = lambda f: F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t[f])
+    sound = F.assert_true(total("size") == F.element_at("turns", -1)["seen"], "the layout disagrees with the attention")
+    whole = whole.where(sound.isNull()).select(F.col("leaf").alias("key"), "turns", total("chars").alias("formatted_chars"), F.array_join(F.transform("turns", lambda t: t["loss"]), "").alias("loss_text"))
     return leaves.join(whole, "key").select("conv_id", "turns", "formatted_chars", "loss_text")
 
 
-def format_chats(conversations: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves): the packed forest, and the node at which each conversation ends."""
-    rows = saved(turns(conversations), "chat-turns")
-    last = rows.groupBy("conv_id").agg(F.max(F.struct("k", "key")).alias("last"))
-    return saved(forest(rows, encoder), "chat-forest"), last.select("conv_id", F.col("last.key").alias("key"))
+def format_chats(conversations: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, paths, leaves): the packed forest, the nodes of each path, and the node at which each conversation ends."""
+    chats = saved(turns(conversations), "chat-turns")
+    nodes, paths = forest(chats, encoder)
+    return saved(nodes, "chat-forest"), paths, chats.select("conv_id", F.element_at("keys", -1).alias("key"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = f"{STOP}{START}assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    nodes, leaves = format_chats(rows.unionByName(own))
-    read = read_back(nodes, leaves)
+    read = read_back(*format_chats(rows.unionByName(own)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
