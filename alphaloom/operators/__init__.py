@@ -1 +1 @@
-"""Relational operators."""
+"""Relational operators over panels: joins, labels, cross-sections, diagnostics, selection, simulation and comparison."""
