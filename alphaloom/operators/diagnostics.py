@@ -22,9 +22,9 @@ def feature_group(name: Column) -> Column:
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson correlation as an aggregate; missing for fewer than two rows or a constant side."""
+    """Pearson correlation as an aggregate, to twelve digits (so that none is 0, not noise); missing for fewer than two rows or a constant side."""
     varies = (F.count(x) >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y) / (F.stddev_pop(x) * F.stddev_pop(y)))))
+    return F.when(varies, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y) / (F.stddev_pop(x) * F.stddev_pop(y)))), 12))
 
 
 def long_form(df: DataFrame, features: list[str], ids: tuple[str, ...] = ("date", "symbol", "label")) -> DataFrame:

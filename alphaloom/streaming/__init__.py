@@ -1 +1 @@
-"""Structured Streaming variants."""
+"""Structured Streaming variants of panel operators."""
