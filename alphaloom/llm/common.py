@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker holds in one numpy pass.
 SLICE_BYTES = 2 << 20
 
-_scratch: list[str] = []
+#: Paths of scratch tables, by block.
+_scratch: list[list[str]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,22 +40,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/alphaloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append(path)
+    _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As `saved`, but out of the reach of `sweep`: for a result that later steps read."""
+    """As `saved`, but kept when a `scratch` block ends: for a result that later steps read."""
     out = saved(df, name)
-    _scratch.pop()
+    _scratch[-1].pop()
     return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the scratch tables written so far. Only for callers that have consumed all earlier results."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the scratch tables that were written within the block, whose results must have been consumed by its end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for name in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bits of the map in `split`: 8 MB broadcast, whatever the number of keys.

@@ -20,7 +20,6 @@ TOXIC = 0.3
 
 def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the toxicity model rejects. Labels teach by doc_id; held-out labels are never read."""
-    common.sweep(spark)
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.keep(docs, model, TOXIC)
 
@@ -28,7 +27,6 @@ def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; documents without a doc_id or words stay. Of rows that
     repeat a doc_id one stays."""
-    common.sweep(spark)
     found = ngram_join.join(docs)
     gone = common.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     if ngram_join.repeated(docs.where("doc_id IS NOT NULL")):
@@ -40,19 +38,16 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a benchmark item or window of one."""
-    common.sweep(spark)
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with live-looking secrets masked, and n_chars of the texts as they are then."""
-    common.sweep(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the training sequences."""
-    common.sweep(spark)
     parts = packing.pieces(docs)
     return packing.pack(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
@@ -73,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
