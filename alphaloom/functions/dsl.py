@@ -149,7 +149,7 @@ def projection(trees: list[Tree]) -> tuple[list[str], bool]:
     """Source columns to read for some expressions, and whether vwap must be derived."""
     need = {"date", "symbol", "open", "volume", "amount", *summary(trees)["columns"]}
     derived = "vwap" in need
-    return sorted(need | {"close", "amount", "volume"} - {"vwap"} if derived else need), derived
+    return sorted((need | {"close", "amount", "volume"}) - {"vwap"} if derived else need), derived
 
 
 def formula(tree: Tree) -> Node:

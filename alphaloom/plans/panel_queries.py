@@ -251,7 +251,7 @@ _scored_query("xs_rank_pct", f"SELECT {_D}, instrument, {r6('r / n')} AS score F
 _scored_query("xs_zscore_clip", f"SELECT {_D}, instrument, {r6('CASE WHEN score IS NOT NULL THEN CASE WHEN sd > 1e-12 THEN greatest(-2.0::DOUBLE, least(2.0::DOUBLE, (score - m) / sd)) ELSE 0 END END')} AS z FROM (SELECT *, avg(score) OVER (PARTITION BY date) AS m, stddev_pop(score) OVER (PARTITION BY date) AS sd FROM scored)", lambda s: crosssection.zscore_clip(s, "score", "z", 2.0).select("date", "instrument", "z"))
 _scored_query("xs_quantile_bins", f"SELECT {_D}, instrument, CAST(greatest(0, least(4, floor(r / n * 5 - 1e-12))) AS BIGINT) AS bin FROM (SELECT *, {_AR('score', 'date')} AS r, count(score) OVER (PARTITION BY date) AS n FROM scored) WHERE score IS NOT NULL", lambda s: s.where("score IS NOT NULL").select("date", "instrument", crosssection.quantile_bin(F.col("score"), 5, "date").alias("bin")))
 _scored_query("industry_excess_label", f"SELECT {_D}, instrument, {r6('label - m - 0.0012345678')} AS label FROM (SELECT *, avg(label) OVER (PARTITION BY date, industry) AS m FROM scored)", lambda s: labels.industry_excess(s, threshold=0.0012345678).select("date", "instrument", "label"))
-_scored_query("industry_neutral_feature", f"SELECT {_D}, instrument, {r6('(score - coalesce(m, 0)) / 7')} AS score FROM (SELECT *, avg(score) OVER (PARTITION BY date, industry) AS m FROM scored)", lambda s: labels.neutral(s, ["score"]).select("date", "instrument", (F.col("score") / 7).alias("score")))
+_scored_query("industry_neutral_feature", f"SELECT {_D}, instrument, {r6('(score - coalesce(m, 0)) / 7.1234567')} AS score FROM (SELECT *, avg(score) OVER (PARTITION BY date, industry) AS m FROM scored)", lambda s: labels.neutral(s, ["score"]).select("date", "instrument", (F.col("score") / 7.1234567).alias("score")))
 _scored_query(
     "benchmark_excess_label",
     f", b AS (SELECT date, avg(ret) AS ret FROM scored GROUP BY date HAVING avg(ret) IS NOT NULL), f AS (SELECT date, CASE WHEN count(ret) OVER w = 2 THEN product(1 + ret) OVER w - 1 END AS fwd FROM b WINDOW w AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) SELECT CAST(s.date AS VARCHAR) AS date, instrument, {r6('label - fwd - 0.002')} AS label FROM scored s LEFT JOIN f USING (date)",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def bars(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Bars of an event stream by user and window; late events count until the watermark has passed."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("user_id").cast("string").alias("symbol"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), F.col("user_id").cast("string").alias("symbol"))
     k = F.struct("ts", "event_id")
     made = out.agg(F.min_by("value", k).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", k).alias("close"), F.count("*").alias("volume"))
     return made.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
@@ -19,7 +19,7 @@ def bars(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataF
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Sessions of each user: start, end and events."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
