@@ -62,6 +62,31 @@ def with_smoothing(panel: DataFrame, by: str = "symbol", order: str = "date") ->
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in SMOOTHED})
 
 
+def recursive() -> dict[str, Node]:
+    """The recursive indicators as formulas, for the Arrow kernels; SQL windows have no recursion."""
+    h, l, c = map(col, ("high", "low", "close"))
+    ewm = lambda x, alpha, least: Node("ewm", x, alpha, least)
+    by_span = lambda x, n: ewm(x, 2 / (n + 1), n)
+    line = by_span(c, 12) - by_span(c, 26)
+    signal = by_span(line, 9)
+    out = {"macd_line_12_26_9": line, "macd_signal_12_26_9": signal, "macd_hist_12_26_9": line - signal}
+    move = c.diff()
+    for n in RSI:
+        gain, loss = ewm(call("higher", move, 0.0), 1 / n, n), ewm(call("higher", -move, 0.0), 1 / n, n)
+        no_gain, no_loss = (call("not", call("fill_false", x > EPS)) for x in (gain, loss))
+        out[f"rsi_{n}"] = when(no_gain & no_loss, 50.0, when(no_loss, 100.0, 100.0 - 100.0 / (1.0 + gain / (loss + EPS))))
+    up, down = h.diff(), l.lag(1) - l
+    plus, minus = (when(call("fill_false", (a > b) & (a > 0.0)), a, 0.0) for a, b in ((up, down), (down, up)))
+    c1 = c.lag(1)
+    width = ewm(call("highest", call("highest", call("abs", h - l), call("abs", h - c1)), call("abs", l - c1)), 1 / 14, 14)
+    p, m = (100.0 * ewm(x, 1 / 14, 14) / (width + EPS) for x in (plus, minus))
+    out["adx_14"], out["plus_di_14"], out["minus_di_14"] = ewm(100.0 * call("abs", p - m) / (p + m + EPS), 1 / 14, 14), p, m
+    trix = by_span(by_span(by_span(c, 15), 15), 15).change(1) * 100.0
+    signal = by_span(trix, 9)
+    out["trix_15"], out["trix_signal_15_9"], out["trix_hist_15_9"] = trix, signal, trix - signal
+    return out
+
+
 def windowed() -> dict[str, Node]:
     o, h, l, c, v = map(col, ("open", "high", "low", "close", "volume"))
     out: dict[str, Node] = {}

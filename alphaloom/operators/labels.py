@@ -113,16 +113,14 @@ def opportunity_weights(df: DataFrame, edge: str, scale: float = 0.01, power: fl
     df = df.withColumn(out, raw)
     if per_date:
         df = df.withColumn(out, F.col(out) / F.avg(out).over(Window.partitionBy(date)))
-    mean = df.agg(F.avg(out).alias("_mean"))
-    return df.crossJoin(F.broadcast(mean)).withColumn(out, F.col(out) / F.col("_mean")).drop("_mean")  # one row
+    return df.withColumn(out, F.col(out) / df.agg(F.avg(out)).scalar())
 
 
 def decay_weights(df: DataFrame, half_life: float, floor: float = 0.0, out: str = "weight", date: str = "date") -> DataFrame:
     """floor + (1 - floor) * 0.5^(age in days / half life), with mean 1; age counts from the latest date."""
-    last = df.agg(F.max(date).alias("_last"))
-    df = df.crossJoin(F.broadcast(last)).withColumn(out, F.lit(floor) + (1 - floor) * F.pow(F.lit(0.5), F.datediff("_last", date) / F.lit(float(half_life)))).drop("_last")
-    mean = df.agg(F.avg(out).alias("_mean"))
-    return df.crossJoin(F.broadcast(mean)).withColumn(out, F.col(out) / F.col("_mean")).drop("_mean")
+    age = F.datediff(df.agg(F.max(date)).scalar(), F.col(date))
+    df = df.withColumn(out, F.lit(floor) + (1 - floor) * F.pow(F.lit(0.5), age / F.lit(float(half_life))))
+    return df.withColumn(out, F.col(out) / df.agg(F.avg(out)).scalar())
 
 
 def relevance(df: DataFrame, bins: int, column: str = "label", out: str = "relevance", date: str = "date") -> DataFrame:
@@ -137,8 +135,7 @@ def relevance(df: DataFrame, bins: int, column: str = "label", out: str = "relev
 
 def direct_relevance(df: DataFrame, column: str = "label", out: str = "relevance") -> DataFrame:
     """Integer-like labels shifted to begin at 0."""
-    low = df.agg(F.min(observed(column)).alias("_low"))
-    return df.crossJoin(F.broadcast(low)).withColumn(out, F.round(F.col(column) - F.col("_low")).cast("long")).drop("_low")
+    return df.withColumn(out, F.round(F.col(column) - df.agg(F.min(observed(column))).scalar()).cast("long"))
 
 
 def group_sizes(df: DataFrame, date: str = "date") -> DataFrame:

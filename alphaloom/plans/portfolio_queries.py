@@ -238,8 +238,7 @@ def simulate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).withColumn("label", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), F.col("label"))))
     b = risk.benchmark_schedule(_bench(s), 3, 9, 0.95, 0.6, 0.3, 0.5)
     rows = s.join(b, "date").select("date", "instrument", "score", "label", "risk", F.hash("industry").cast("double").alias("grp"))
-    names = spark.createDataFrame([(n,) for n in SETTINGS], "scenario string")
-    rows = rows.crossJoin(F.broadcast(names))  # a row for each scenario: a handful of settings
+    rows = rows.withColumn("scenario", F.explode(F.array(*map(F.lit, SETTINGS))))
     return doubles(simulate.run_scenarios(rows, SETTINGS))
 
 
