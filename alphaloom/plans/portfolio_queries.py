@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, crosssection, experiment, fusion, joins, metrics, risk, simulate
+from ..operators import batches, compare, crosssection, experiment, fusion, joins, metrics, risk, simulate
 from .frames import SCORED_SQL, avg_rank_sql, r6, scored
 from .panel_queries import doubles
 
@@ -245,3 +245,18 @@ def simulate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"SELECT CAST(d.date AS VARCHAR) AS date, instrument, {r6('score')} AS score FROM (SELECT DISTINCT date FROM scored WHERE month(date) < 3) d CROSS JOIN (SELECT DISTINCT instrument FROM scored WHERE month(date) < 3) i LEFT JOIN scored s USING (date, instrument)")
 def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(joins.dense(scored(spark, sf_dir).where("month(date) < 3").select("date", "instrument", "score")))
+
+
+@registered(f"SELECT count(*) AS rows, count(DISTINCT date) AS dates, count(DISTINCT instrument) AS instruments, count(score) AS finite, count(DISTINCT date) * count(DISTINCT instrument) AS cells, count(DISTINCT date) * count(DISTINCT instrument) - count(score) AS missing, {r6('count(score) / (count(DISTINCT date) * count(DISTINCT instrument))')} AS density FROM scored")
+def matrix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(batches.matrix_summary(scored(spark, sf_dir)))
+
+
+@registered(f"SELECT {_D}, instrument, {r6('label')} AS label FROM scored WHERE date IN (SELECT date FROM scored WHERE label IS NOT NULL)")
+def labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(batches.labelled_dates(scored(spark, sf_dir)).select("date", "instrument", "label"))
+
+
+@registered(f"{_RUNS_SQL}, y AS (SELECT *, year(date) AS year, product(1 + net_return) OVER (PARTITION BY run, year(date) ORDER BY date) AS nav FROM runs), p AS (SELECT *, greatest(1.0::DOUBLE, max(nav) OVER (PARTITION BY run, year ORDER BY date)) AS peak FROM y) SELECT run, year, {r6('product(1 + net_return) - 1')} AS ret, {r6('stddev_samp(net_return) * sqrt(242)')} AS volatility, {r6('min(net_return)')} AS worst_day, {r6('min(nav / peak - 1)')} AS max_drawdown FROM p GROUP BY run, year")
+def yearly_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(batches.yearly_risk(runs(spark, sf_dir)))

@@ -68,5 +68,12 @@ def parquet_if_any(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def document(text: str) -> dict:
-    """A configuration document: JSON."""
-    return json.loads(text)
+    """A configuration document: JSON, or YAML where a parser for it is installed."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("not JSON, and no YAML parser is installed") from None
+        return yaml.safe_load(text)
