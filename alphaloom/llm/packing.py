@@ -26,7 +26,7 @@ from .common import saved, slices, table
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that one task ranks.
-RANKED = 50_000
+RANKED = 2000
 
 
 class Encoder:
@@ -156,11 +156,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = saved(parts, "pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     runs, _ = plan(histogram, capacity)
-    # Hot lengths are ranked in parts: by salt within a length, then the parts one after another.
-    salts = max(1, -(-max(histogram.values(), default=0) // RANKED))
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt")
-    parts = parts.select("*", salt)
-    if salts == 1:
+    # Frequent lengths are ranked in parts: by salt within a length, then the parts one after another.
+    many = [-(-histogram.get(x, 0) // RANKED) for x in range(1, capacity + 1)]
+    salts = max(many)
+    number = F.element_at(F.array(*(F.lit(max(1, m)) for m in many)), F.col("length").cast("int"))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), number))
+    if salts <= 1:
         ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("doc_id", "piece")) - 1)
     else:
         before = parts.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
