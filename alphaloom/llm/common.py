@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -35,11 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Bytes of an Arrow batch while scratch tables are written: what lies outside the heap, and in workers, follows it.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/alphaloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not any(_scratch):
+        atexit.register(_clear, spark)
+    with _small_batches(spark):
+        df.write.parquet(path)
     _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +70,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, names: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear(spark: SparkSession) -> None:
+    """At the end of the program: what no block has deleted."""
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        _delete(spark, [name for names in _scratch for name in names])
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Deletes the scratch tables that were written within the block, whose results must have been consumed by its end."""
@@ -58,9 +90,7 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        for name in _scratch.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _scratch.pop())
 
 
 #: Bits of the map in `split`: 8 MB broadcast, whatever the number of keys.
@@ -72,7 +102,7 @@ def split(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataF
 
     A one-hash bitmap of fixed size is broadcast; with very many keys it says "may be" more often, and nothing is lost.
     """
-    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MAP_BITS))
+    place = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
     bits = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("int")).alias("_bits"))
     seen = df.withColumn("_p", place).withColumn("_bucket", F.shiftright("_p", 15)).join(F.broadcast(bits), "_bucket", "left")
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright((F.col("_p") % 32768).cast("int"), 3) + 1), F.lit(1))), 16, 10).cast("int")
@@ -81,6 +111,27 @@ def split(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataF
     return seen.where("_hit").select(df.columns), seen.where("NOT _hit").select(df.columns)
 
 
+#: From so many rows on a key is joined in parts, and into so many parts.
+HOT, PARTS = 1000, 32
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has each key once, where some keys may have very many rows.
+
+    Keys with HOT rows or more are found by a count; rows that may have one are dealt to PARTS parts of it, and only their few partners
+    are repeated in all parts. All other rows are joined as they are.
+    """
+    hot = saved(rows.groupBy(key).count().where(F.col("count") >= HOT).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(unique, key, how)
+    many, few = split(rows, hot, key)
+    many_of, few_of = split(unique, hot, key)
+    salted = many.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    repeated = many_of.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    both = salted.join(repeated, [key, "_part"], how).drop("_part")
+    return few.join(few_of, key, how).unionByName(both)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows whose labels no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2

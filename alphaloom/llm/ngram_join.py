@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_slices, saved, slices, split, table
+from .common import by_slices, join_unique, saved, slices, split, table
 from .components import components
 
 #: Parts beyond the needed number, so that keys of empty parts are seldom needed.
@@ -37,6 +37,8 @@ SPARE = 2
 RANGE = 1.37
 #: Sets and elements in a block of a large group.
 BLOCK_SETS, BLOCK_ELEMENTS = 384, 400_000
+#: Sizes in a block of a large group differ by this factor at most.
+SIZES = 1.05
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -309,14 +311,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     edges = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
     group = components(edges)
 
-    # Blocks of each group, by size: cumulative sets and elements decide where a block ends.
+    # A group that is too large for a task is cut by size, and a size that still is by a hash: sums decide, nothing is sorted.
     members = sets.join(group, sets["set_id"] == group["node"]).where("rep IS NOT NULL").select("set_id", "rep", "n", "copies", F.col("root").alias("group"))
-    by_size = Window.partitionBy("group").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    load = F.sum(F.greatest(F.lit(1 / BLOCK_SETS), F.col("n") / BLOCK_ELEMENTS)).over(by_size)
-    members = saved(members.withColumn("block", F.floor(load - 1e-9)), "ngram-members")
+    load, size = F.sum(F.greatest(F.lit(1 / BLOCK_SETS), F.col("n") / BLOCK_ELEMENTS)), F.floor(F.log(SIZES, F.col("n")) + 1e-9)
+    loads = members.groupBy("group", size.alias("size")).agg(load.alias("load"))
+    large = saved(loads.groupBy("group").agg(F.sum("load").alias("whole")).where("whole > 1").join(loads, "group").select("group", "size", F.ceil("load").alias("parts")), "ngram-large")
+    cut = F.xxhash64("size", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    members = members.withColumn("size", size).join(large, ["group", "size"], "left").withColumn("block", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(cut))
+    members = saved(members.select("set_id", "rep", "n", "copies", "group", "block"), "ngram-members")
     ends = members.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = ends.select("group", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    tasks = ends.join(other, "group").where(f"block <= block2 AND 100 * high >= {percent} * low2").select("group", "block", "block2")
+    tasks = ends.join(other, "group").where(f"block <= block2 AND 100 * high >= {percent} * low2 AND 100 * high2 >= {percent} * low").select("group", "block", "block2")
     name = F.xxhash64("group", "block", "block2").alias("task")
     dealt = tasks.select("group", "block", F.lit(0).alias("side"), name).union(tasks.where("block < block2").select("group", F.col("block2").alias("block"), F.lit(1).alias("side"), name))
     # The sets travel as texts, each once to every task of its block.
@@ -332,7 +337,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     name = named.groupBy("root").agg(F.min("rep").alias("component"))
     known = named.where("copies > 1 OR root <> set_id").union(named.join(forest.select("root").distinct(), "root", "left_semi").select(named.columns)).distinct()
     known = known.join(name, "root").join(links, "set_id", "left").select("set_id", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
+    out = join_unique(rows.where("n > 0").select("doc_id", "n", "set_id"), saved(known, "ngram-known"), "set_id", "left")
+    out = out.select("doc_id", "n", "component", "n_links").union(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
