@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import join_unique, saved, table
 from .packing import Encoder, default_encoder
 
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -116,7 +116,8 @@ def forest(chats: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame,
     prior = laid.select("leaf", F.posexplode(F.slice("keys", 1, F.col("shared"))).alias("k", "key")).join(placed.select("key", "offset", (F.col("offset") + F.col("size")).alias("end")), "key")
     interval = F.struct(F.col("offset").alias("start"), F.col("end").alias("end"))
     prior = prior.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", interval.alias("i")))), lambda x: x["i"]).alias("prior"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    none_type = "array<struct<start:bigint,end:bigint>>"
+    none = F.array().cast(none_type)
 
     def merge(a, x):
         last = F.try_element_at(a, F.lit(-1))
@@ -124,7 +125,9 @@ def forest(chats: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame,
         return F.when(last["end"] == x["start"], joined).otherwise(F.concat(a, F.array(x)))
 
     prior = prior.withColumn("prior", F.aggregate("prior", none, merge))
-    out = placed.join(prior, "leaf", "left").join(tokens, "key")
+    # Roots belong to no conversation and have no ancestors: they stay out of the join.
+    first = placed.where("leaf IS NULL").withColumn("prior", F.lit(None).cast(none_type))
+    out = placed.where("leaf IS NOT NULL").join(prior, "leaf", "left").unionByName(first).join(tokens, "key")
     run = F.struct("start", (F.col("offset") + F.col("size")).alias("end"))
     attention = F.aggregate(F.array(run), F.coalesce("prior", none), merge)
     return out.select("tree", "key", "parent", "depth", "offset", "position", "ids", "loss_start", "loss_end", attention.alias("attention")), paths
@@ -160,7 +163,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, leaves: DataFrame, encoder: En
     total = lambda f: F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t[f])
     sound = F.assert_true(total("size") == F.element_at("turns", -1)["seen"], "the layout disagrees with the attention")
     whole = whole.where(sound.isNull()).select(F.col("leaf").alias("key"), "turns", total("chars").alias("formatted_chars"), F.array_join(F.transform("turns", lambda t: t["loss"]), "").alias("loss_text"))
-    return leaves.join(whole, "key").select("conv_id", "turns", "formatted_chars", "loss_text")
+    return join_unique(leaves, saved(whole, "chat-whole"), "key").select("conv_id", "turns", "formatted_chars", "loss_text")
 
 
 def format_chats(conversations: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
