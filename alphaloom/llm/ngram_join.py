@@ -5,8 +5,11 @@ Each document is its set of distinct word shingles. Documents with equal sets fo
 Routing. A trie join needs sets that may link in the same task. Sets are dealt by an exact pigeonhole argument: linked
 sets x, y of sizes in one size range differ in at most D elements, so if the hash space is cut into D + 1 + SPARE parts, at
 least 1 + SPARE parts hold the same elements in both. The digest of each part is a routing key (a set near the lower end
-of its range also takes the keys of the range below, where a smaller partner is). Classes that share a key are
-candidates; candidates that hang together form a group.
+of its range also takes the keys of the range below, where a smaller partner is). Below STRICT percent, parts hold so few
+elements that a popular passage alone would make keys equal; there WIDE parts are spare, and each set leaves out as many of its
+keys as that allows, the most frequent ones in a sample first. All sets leave out by one order of the keys, so of the keys that
+linked sets share the first is left to both: this is exact whatever the sample. Classes that share a key are candidates;
+candidates that hang together form a group.
 
 Trie join. In a group, elements are ordered by falling frequency and the ordered sets stored in a trie (as sorted
 sequences with their common prefixes). It is walked depth-first once; each node carries the overlaps of all probe sets with the
@@ -33,6 +36,10 @@ from .components import components
 
 #: Parts beyond the needed number, so that keys of empty parts are seldom needed.
 SPARE = 2
+#: The same below STRICT percent.
+WIDE, STRICT = 70, 90
+#: Rows from which frequent keys are learned, about, and rows of them that a frequent key is in.
+SAMPLE, FREQUENT = 20_000, 6
 #: Upper ends of the size ranges grow by this factor.
 RANGE = 1.37
 #: Sets and elements in a block of a large group.
@@ -89,6 +96,7 @@ class Bound:
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.spare = SPARE if percent >= STRICT else WIDE
 
     def overlap(self, both):
         """Least overlap of a linked pair whose sizes sum up to `both`."""
@@ -104,15 +112,29 @@ class Bound:
         return np.array(low, dtype=np.int64)
 
     def parts(self, low: np.ndarray) -> np.ndarray:
-        """Parts of each range: one more than the most elements in which linked sets differ, plus SPARE; 0 if they can't differ."""
+        """Parts of each range: one more than the most elements in which linked sets differ, plus the spare ones; 0 if they can't differ."""
         top = low[1:] - 1
         both = top + top * 100 // self.percent
         differ = both * (100 - self.percent) // (100 + self.percent)
-        return np.where(differ > 0, differ + 1 + SPARE, 0)
+        return np.where(differ > 0, differ + 1 + self.spare, 0)
 
 
-def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of all sets."""
+def rarest(key: np.ndarray, owner: np.ndarray, leave: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which keys stay if each owner leaves out leave[owner] of its keys, by falling frequency and then by key."""
+    known, often = frequent
+    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+    f = np.where(known[at] == key, often[at], 0) if len(known) else np.zeros(len(key), np.int64)
+    order = np.lexsort((key, -f, owner))
+    stay = np.zeros(len(key), bool)
+    stay[order] = np.arange(len(key)) - np.searchsorted(owner[order], owner[order]) >= leave[owner[order]]
+    return stay
+
+
+_NONE = np.zeros(0, _U), np.zeros(0, np.int64)
+
+
+def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound, frequent: tuple[np.ndarray, np.ndarray] | None = _NONE) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of all sets; frequent has keys, sorted, and their frequencies; without it no key is left out."""
     size = np.bincount(row, minlength=rows)
     low = bound.ranges(int(size.max(initial=1)))
     parts = bound.parts(low)
@@ -133,9 +155,14 @@ def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound)
         empty = np.bincount(owner[~held], minlength=rows)
         part = np.arange(begin[-1]) - begin[owner]
         key = mixed(mixed(total, 0) + part.astype(_U) * _ODD[1] + level[owner].astype(_U) * _ODD[2], 4)
-        emit = held | (empty[owner] > SPARE)
-        keys.append(key[emit])
-        owners.append(owner[emit])
+        emit = held | (empty[owner] > bound.spare)
+        key, owner = key[emit], owner[emit]
+        if bound.spare > SPARE and frequent is not None:
+            # Parts that are empty in both sets may be among the equal ones and have no keys.
+            stay = rarest(key, owner, np.maximum(0, bound.spare - empty), frequent)
+            key, owner = key[stay], owner[stay]
+        keys.append(key)
+        owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -145,7 +172,17 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
 
 
-def sketches(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
+def frequent_keys(docs: DataFrame, n: int, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that many rows of a sample have, sorted, and their frequencies there."""
+    parts = max(1, -(-docs.count() // SAMPLE))
+    some = sketches(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == 0), n, bound, None)
+    found = some.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= FREQUENT).toArrow()
+    key, often = (found.column(c).to_numpy() for c in ("key", "count"))
+    order = np.argsort(key.view(_U))
+    return key.view(_U)[order], often[order]
+
+
+def sketches(docs: DataFrame, n: int, bound: Bound, frequent: tuple[np.ndarray, np.ndarray] | None = _NONE) -> DataFrame:
     """Per document row: doc_id, n_shingles, two digests of its set, and its routing keys."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -157,7 +194,7 @@ def sketches(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
             np.add.at(total, row, mixed(element, k))
             digests.append(pa.array(mixed(total + np.bincount(row, minlength=rows).astype(_U), k + 1).view(np.int64)))
         size = np.bincount(row, minlength=rows)
-        return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), *digests, _lists(*routing_keys(element, row, rows, bound), rows)], names=["doc_id", "n", "set_id", "check", "keys"])
+        return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), *digests, _lists(*routing_keys(element, row, rows, bound, frequent), rows)], names=["doc_id", "n", "set_id", "check", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_slices(work), "doc_id long, n long, set_id long, check long, keys array<long>")
 
@@ -302,7 +339,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (rows linked with it) per document row."""
     bound = Bound(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(sketches(docs, n, bound), "ngram-sketches")
+    frequent = frequent_keys(docs, n, bound) if bound.spare > SPARE else _NONE
+    rows = saved(sketches(docs, n, bound, frequent), "ngram-sketches")
     spark = docs.sparkSession
     sets = rows.where("n > 0").groupBy("set_id", "check", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sets = saved(sets, "ngram-sets")

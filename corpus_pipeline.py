@@ -16,6 +16,8 @@ from alphaloom.llm import common, decontaminate, ngram_join, packing, secret_sca
 
 #: Documents with at least this score are toxic.
 TOXIC = 0.3
+#: Near-duplicates: words in a shingle and least similarity in percent. op6's own query keeps 3 words and 90 %.
+WORDS, SIMILAR = 5, 80
 
 
 def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; documents without a doc_id or words stay. Of rows that
     repeat a doc_id one stays."""
-    found = ngram_join.join(docs)
+    found = ngram_join.join(docs, WORDS, SIMILAR)
     gone = common.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     if ngram_join.repeated(docs.where("doc_id IS NOT NULL")):
         docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))

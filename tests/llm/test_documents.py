@@ -232,6 +232,28 @@ def test_routing_meets_every_linked_pair():
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_keys_that_stay_meet_every_linked_pair(percent):
+    """As above where each set leaves out its most frequent keys, whatever their frequencies are taken to be."""
+    rng = np.random.default_rng(percent)
+    bound, met = ngram_join.Bound(percent), 0
+    for _ in range(300):
+        n = int(rng.integers(1, 600))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[: max(1, n - int(rng.integers(0, n * (100 - percent) // 100 + 1)))], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
+        a, b = np.unique(x), np.unique(y)
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * len(np.union1d(a, b)) or both == len(a) == len(b):
+            continue
+        element, row = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+        whole, _ = ngram_join.routing_keys(element, row, 2, bound, None)
+        known = np.unique(rng.permutation(whole)[: len(whole) // 2])
+        keys, owner = ngram_join.routing_keys(element, row, 2, bound, (known, rng.integers(6, 99, len(known))))
+        assert len(keys) <= len(whole) and set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+        met += 1
+    assert met > 50
+
+
 # ---- 7: decontamination
 
 

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,27 @@ def test_queries_cover_whole_tables(spark, sf):
     for name in ("op1_quality", "op2_toxicity", "op4_secret_scan", "op6_ngram_join"):
         got = queries.QUERIES[name](spark, sf)
         assert got.count() == n and got.agg(F.countDistinct("doc_id")).first()[0] == n
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark, sf):
+    """The stage against brute force at 5 words and a similarity of 0.8."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(30):
+        base = list(rng.choice(words, rng.integers(1, 160)))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.integers(0, 4)):
+                copy[rng.integers(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    cut = lambda w, n: set(zip(*(w[k:] for k in range(n)))) if len(w) >= n else {tuple(w)}
+    five, three = ([cut(t.split(), n) for t in texts] for n in (5, 3))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(five[i] & five[j]) >= 80 * len(five[i] | five[j])]
+    assert any(100 * len(three[i] & three[j]) < 90 * len(three[i] | three[j]) for i, j in linked)
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, j in linked:
+            low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicated(spark, docs, sf).collect()) == sorted(set(low))
