@@ -4,9 +4,10 @@ A hash function is a pseudo-rotation (three rounds of random signs and a fast Ha
 axis. FUNCTIONS of them make a table's bucket, TABLES tables are used, and a query looks into the PROBES buckets of each
 table that lose least against its own. Vectors stay where they are: queries are sent round in blocks of bounded size, each task
 looks up which of its vectors' buckets a query probes, reranks these candidates exactly and keeps the nearest of each query.
+Queries whose probes reach fewer than `nearest` vectors are compared with all vectors.
 
 Defined results: vectors that are null, zero, of another length than the first query, or hold null or non-finite components take no part,
-neither as queries nor as candidates; with fewer candidates than `nearest` all that were found are returned; ties go to the
+neither as queries nor as candidates; with fewer candidates than `nearest` in the table all are returned; ties go to the
 smaller id; repeated rows of an id other than the query's are candidates each; extra columns are ignored.
 """
 
@@ -22,6 +23,8 @@ from .common import saved, table
 FUNCTIONS, TABLES, PROBES = 2, 32, 128
 #: Queries that are sent round together.
 BLOCK = 4096
+#: Pairs of a vector and a query that a task compares at once where a query is compared with all vectors.
+PAIRS = 1 << 20
 #: Best axes of each function that probe sequences are made of.
 _AXES = 24
 
@@ -92,8 +95,9 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, nearest: int, tables: int, probes: int):
-    """A mapInArrow function over (id, vector): the nearest candidates of each query among a task's vectors."""
+def _nearest(ids: np.ndarray, queries: np.ndarray, nearest: int, tables: int, probes: int, exact: bool = False):
+    """A mapInArrow function over (id, vector): the nearest candidates of each query among a task's vectors; all are candidates if exact."""
+    tables, step = (0, max(1, PAIRS // len(ids))) if exact else (tables, 2048)
 
     def run(batches):
         norm = np.sqrt(summed(queries, queries))
@@ -102,8 +106,8 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, nearest: int, tables: int, pr
         best = np.full((len(ids), nearest), -np.inf)
         kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
                 own = part.column(0).to_numpy()
                 flat = part.column(1)
                 if not part.num_rows:
@@ -118,7 +122,7 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, nearest: int, tables: int, pr
                         lookup.append((code.ravel()[order], who[order].astype(np.int32)))
                 length = np.sqrt(summed(x, x))
                 rows = _padded(x / length[:, None])
-                mask = np.zeros((len(x), len(ids)), bool)
+                mask = np.full((len(x), len(ids)), exact)
                 for t, (codes, who) in enumerate(lookup):
                     b = bucket(rows, t)
                     lo, hi = np.searchsorted(codes, b), np.searchsorted(codes, b, side="right")
@@ -159,8 +163,13 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = 5, tables: int
         if not own:
             continue
         ids, rows = np.array([r["vec_id"] for r in own]), np.array([r["embedding"] for r in own])
-        near = take(vectors).where(F.size("embedding") == total[1]).mapInArrow(_nearest(ids, rows, nearest, tables, probes), schema)
-        near = near if parts == 1 else saved(near, "neighbours")
+        fit = take(vectors).where(F.size("embedding") == total[1])
+        near = saved(fit.mapInArrow(_nearest(ids, rows, nearest, tables, probes), schema), "neighbours")
+        enough = near.groupBy("query_id").count().where(F.col("count") >= nearest).select("query_id")
+        short = ~np.isin(ids, [r["query_id"] for r in enough.collect()])
+        if short.any():
+            rest = fit.mapInArrow(_nearest(ids[short], rows[short], nearest, tables, probes, exact=True), schema)
+            near = near.join(F.broadcast(enough), "query_id", "left_semi").union(saved(rest, "neighbours-exact"))
         found = near if found is None else found.union(near)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -175,6 +175,24 @@ def test_few_vectors_and_blocks(spark):
     assert ann.search(df.where("false"), df.where("false")).count() == 0 and ann.search(df, df.where("vec_id = 7")).count() == 0
 
 
+@pytest.mark.parametrize("block", [ann.BLOCK, 2])
+def test_short_queries_are_compared_with_all_vectors(spark, block):
+    """Few vectors, and one unlike all others in a tight cluster, at op8's own parameters and 64 dimensions."""
+    rng = np.random.default_rng(8)
+    few = rng.normal(size=(6, 64))
+    tight = rng.normal(size=64) + 0.1 * rng.normal(size=(1500, 64))
+    tight[0] = -tight[1:].mean(axis=0)
+    for x in (few, tight):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        asked = [0, 1, 2]
+        got = ann.search(df, df.where("vec_id < 3"), block=block).collect()
+        for q in asked[: 3 if len(x) == 6 else 1]:
+            order = [j for j in np.argsort(-(unit @ unit[q]), kind="stable").tolist() if j != q][:5]
+            assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == order
+        assert len(got) == 15
+
+
 # ---- 10: archives
 
 
