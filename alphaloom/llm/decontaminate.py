@@ -9,8 +9,8 @@ hits are dropped, the others are aligned (semi-global, banded) and kept if the d
 Documents are read once, whole, and without a shuffle; the benchmark is checked for size, and if it is larger than BLOCK bytes
 it is dealt in blocks of that size, each matched in a pass of its own.
 
-Defined results: null and empty texts, and items of fewer than q folded bytes, match nothing; equal items are each reported; repeated
-document rows are each reported; extra columns are ignored.
+Defined results: null and empty texts, and items of fewer than q folded bytes, match nothing; equal items are each reported; items
+without an item_id are matched like any other and each reported with a null item_id; repeated document rows are each reported; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,15 +71,16 @@ def grams(data: np.ndarray) -> np.ndarray:
 class Index:
     """The windows of some benchmark items and their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         self.items, self.windows, self.sizes = [], [], []
-        for item, text in items:
+        for number, (item, text) in enumerate(items):
             data = fold(text)
             if len(data) < Q:
                 continue
             starts = [0] if len(data) <= WINDOW else [*range(0, len(data) - WINDOW, STRIDE), len(data) - WINDOW]
             for s in starts:
-                self.items.append((item, len(data), s))
+                # Items without an id are told apart by their number.
+                self.items.append(((item is None, number if item is None else item), len(data), s))
                 self.windows.append(data[s : s + WINDOW])
         self.length = np.array([len(w) for w in self.windows], dtype=np.int64)
         self.edits = np.floor(self.length * rate).astype(np.int64)
@@ -191,7 +192,7 @@ def _search(index: Index):
         folded = [fold(t) for t in texts]
         starts = np.cumsum([0, *(len(x) + _GAP for x in folded)]) + _GAP
         data = np.frombuffer(bytes(_GAP) + bytes(_GAP).join(folded) + bytes(_GAP), np.uint8)
-        found: dict[tuple[int, int], list] = {}
+        found: dict[tuple[int, tuple[bool, int]], list] = {}
         for w, s, e, x in index.matches(data):
             row = int(np.searchsorted(starts, s, side="right")) - 1
             item, size, at = index.items[w]
@@ -206,7 +207,7 @@ def _search(index: Index):
             for h in hits:
                 covered[h[3] : h[3] + h[5]] = True
             p = places[row]
-            rows.append((row, item, int(p[min(max(low, 0), len(p) - 1)]), int(p[min(high, len(p) - 1) - 1]) + 1, min(h[2] for h in hits), float(covered.mean())))
+            rows.append((row, None if item[0] else item[1], int(p[min(max(low, 0), len(p) - 1)]), int(p[min(high, len(p) - 1) - 1]) + 1, min(h[2] for h in hits), float(covered.mean())))
         rows_, items, s, e, edits, share = zip(*rows)
         return pa.record_batch([batch.column(0).take(pa.array(rows_)), pa.array(items, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(edits, pa.int64()), pa.array(share)], names=["doc_id", "item_id", "start", "end", "edits", "coverage"])
 
@@ -222,7 +223,7 @@ def _search(index: Index):
 
 def _indexes(benchmark: DataFrame, rate: float, block: int):
     """Indexes of the benchmark in blocks: about `block` bytes on the driver at once, whatever its size."""
-    benchmark = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    benchmark = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // block))
     for k in range(parts):

@@ -318,6 +318,17 @@ def test_leaks_in_blocks_and_odd_rows(spark, odd, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(odd, bench.where("false")).count() == 0
 
 
+def test_items_without_an_id_leak_too(spark):
+    text = "an item that has no number but stands in a document"
+    more, third = "a longer item without a number that the same document holds as well as the first one", "an item with a number"
+    docs = spark.createDataFrame([(1, f"before {text} after {more}. {third}"), (2, "something else altogether"), (4, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (3, "another item that is in no document"), (None, more), (5, third)], "item_id long, text string")
+    for block in (decontaminate.BLOCK, 10):
+        got = [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.contaminated(docs, bench, block=block).collect()]
+        assert sorted(got, key=repr) == [(1, 5, 1.0), (1, None, 1.0), (1, None, 1.0), (4, None, 1.0)]
+        assert [r["doc_id"] for r in decontaminate.clean(docs, bench, block=block).collect()] == [2]
+
+
 # ---- 9: packing
 
 
