@@ -18,7 +18,8 @@ the needed overlap with what remains of the longest set below it. Groups too lar
 and each pair of blocks whose sizes can link is a task; tasks return link counts and a spanning forest, not pairs.
 
 Defined results: null and empty texts have empty sets, link with nothing and are their own component; with fewer words
-than a shingle the whole sequence is the one element; repeated rows each appear; a null doc_id never names a component of
+than a shingle the whole sequence is the one element; repeated rows each appear, and rows of one doc_id with unlike texts each
+by their own text; a null doc_id never names a component of
 others; extra columns are ignored. Elements are 64-bit hashes of shingles, sets are told apart by 128 bits of digests.
 """
 
@@ -30,6 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_slices, join_unique, saved, slices, split, table
 from .components import components
@@ -172,6 +174,24 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
 
 
+def digest(element: np.ndarray, row: np.ndarray, rows: int, k: int) -> pa.Array:
+    """A digest of each set; with k = 0 its set_id."""
+    total = np.zeros(rows, _U)
+    np.add.at(total, row, mixed(element, k))
+    return pa.array(mixed(total + np.bincount(row, minlength=rows).astype(_U), k + 1).view(np.int64))
+
+
+def tagged(docs: DataFrame, n: int) -> DataFrame:
+    """docs with the set_id of each row's text."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        element, row = shingle_sets(batch.column(text), n)
+        return pa.record_batch([*batch.columns, digest(element, row, batch.num_rows, 0)], names=[*docs_columns, "set_id"])
+
+    text, docs_columns = docs.columns.index("text"), docs.columns
+    return docs.mapInArrow(by_slices(work, text), StructType([*docs.schema.fields, StructField("set_id", LongType())]))
+
+
 def frequent_keys(docs: DataFrame, n: int, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
     """Keys that many rows of a sample have, sorted, and their frequencies there."""
     parts = max(1, -(-docs.count() // SAMPLE))
@@ -188,11 +208,7 @@ def sketches(docs: DataFrame, n: int, bound: Bound, frequent: tuple[np.ndarray,
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
         element, row = shingle_sets(batch.column(1), n)
-        digests = []
-        for k in (0, 2):
-            total = np.zeros(rows, _U)
-            np.add.at(total, row, mixed(element, k))
-            digests.append(pa.array(mixed(total + np.bincount(row, minlength=rows).astype(_U), k + 1).view(np.int64)))
+        digests = [digest(element, row, rows, k) for k in (0, 2)]
         size = np.bincount(row, minlength=rows)
         return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), *digests, _lists(*routing_keys(element, row, rows, bound, frequent), rows)], names=["doc_id", "n", "set_id", "check", "keys"])
 
@@ -335,8 +351,12 @@ def _task_links(n: int, bound: Bound):
     return run
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (rows linked with it) per document row."""
+def join(docs: DataFrame, n: int = 3, percent: int = 90, sets: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (rows linked with it) per document row.
+
+    With sets also set_id and root, which tells components apart where doc_ids repeat.
+    """
+    with_sets = sets
     bound = Bound(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_keys(docs, n, bound) if bound.spare > SPARE else _NONE
@@ -364,8 +384,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     dealt = tasks.select("group", "block", F.lit(0).alias("side"), name).union(tasks.where("block < block2").select("group", F.col("block2").alias("block"), F.lit(1).alias("side"), name))
     # The sets travel as texts, each once to every task of its block.
     maybe, _ = split(docs, members.select(F.col("rep").alias("doc_id")), "doc_id")
-    texts = maybe.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
-    texts = texts.dropDuplicates(["set_id"]) if repeated(docs) else texts
+    members = members.withColumnRenamed("rep", "doc_id").hint("merge")
+    if repeated(docs):
+        texts = tagged(maybe, n).join(members, ["doc_id", "set_id"]).dropDuplicates(["set_id"])
+    else:
+        texts = maybe.join(members, "doc_id")
     work = texts.select("group", "block", "set_id", "copies", "text").join(dealt, ["group", "block"]).select("task", "side", "set_id", "copies", "text")
     found = saved(work.repartition("task").sortWithinPartitions("task", "side", "set_id").mapInArrow(_task_links(n, bound), "set_id long, links long, root long"), "ngram-links")
 
@@ -374,10 +397,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     named = sets.join(forest, sets["set_id"] == forest["node"], "left").select("set_id", "rep", "copies", F.coalesce("root", "set_id").alias("root"))
     name = named.groupBy("root").agg(F.min("rep").alias("component"))
     known = named.where("copies > 1 OR root <> set_id").union(named.join(forest.select("root").distinct(), "root", "left_semi").select(named.columns)).distinct()
-    known = known.join(name, "root").join(links, "set_id", "left").select("set_id", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = known.join(name, "root").join(links, "set_id", "left").select("set_id", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = join_unique(rows.where("n > 0").select("doc_id", "n", "set_id"), saved(known, "ngram-known"), "set_id", "left")
-    out = out.select("doc_id", "n", "component", "n_links").union(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), F.lit(None).cast("long")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    none = F.lit(None).cast("long")
+    out = out.select("doc_id", "n", "component", "n_links", "set_id", "root").union(rows.where("n = 0").select("doc_id", "n", none, none, "set_id", none))
+    more = ["set_id", F.coalesce("root", "set_id").alias("root")] if with_sets else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *more)
 
 
 def repeated(docs: DataFrame) -> bool:

@@ -28,11 +28,13 @@ def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; documents without a doc_id or words stay. Of rows that
-    repeat a doc_id one stays."""
-    found = ngram_join.join(docs, WORDS, SIMILAR)
-    gone = common.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    repeat a doc_id and are linked or equal one stays; those with unlike texts are told apart."""
+    found = ngram_join.join(docs, WORDS, SIMILAR, sets=True)
     if ngram_join.repeated(docs.where("doc_id IS NOT NULL")):
-        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+        stays = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("set_id").alias("set_id")).select("doc_id", "set_id")
+        own = ngram_join.tagged(docs.where("doc_id IS NOT NULL"), WORDS).dropDuplicates(["doc_id", "set_id"])
+        return own.join(stays.hint("merge"), ["doc_id", "set_id"], "left_semi").select(docs.columns).union(docs.where("doc_id IS NULL"))
+    gone = common.saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     # Only documents that may be among the duplicates are shuffled.
     maybe, certain = common.split(docs, gone, "doc_id")
     return certain.union(maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))

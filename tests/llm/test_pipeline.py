@@ -96,3 +96,15 @@ def test_near_copies_of_five_words_and_four_fifths_go(spark, sf):
             low[i] = low[j] = min(low[i], low[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicated(spark, docs, sf).collect()) == sorted(set(low))
+
+
+def test_rows_of_one_doc_id_with_unlike_texts(spark, sf):
+    """Each row counts by its own text, in the join and in the stage."""
+    say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    near = say(1) + " end"
+    rows = [(5, say(1)), (5, say(2)), (5, say(2)), (7, near), (8, say(2) + " end"), (9, say(3)), (9, near), (4, say(4)), (4, say(4) + " end"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_join.join(docs).collect())
+    assert got == sorted([(5, 5, 2), (5, 5, 2), (5, 5, 2), (7, 5, 2), (8, 5, 2), (9, 9, 0), (9, 5, 2), (4, 4, 1), (4, 4, 1), (4, 4, 0)])
+    left = [tuple(r) for r in corpus_pipeline.deduplicated(spark, docs, sf).collect()]
+    assert sorted((i, t.removesuffix(" end")) for i, t in left) == sorted([(5, say(1)), (5, say(2)), (9, say(3)), (4, say(4)), (4, "")])
