@@ -5,11 +5,11 @@ Each document is its set of distinct word shingles. Documents with equal sets fo
 Routing. A trie join needs sets that may link in the same task. Sets are dealt by an exact pigeonhole argument: linked
 sets x, y of sizes in one size range differ in at most D elements, so if the hash space is cut into D + 1 + SPARE parts, at
 least 1 + SPARE parts hold the same elements in both. The digest of each part is a routing key (a set near the lower end
-of its range also takes the keys of the range below, where a smaller partner is). Below STRICT percent, parts hold so few
-elements that a popular passage alone would make keys equal; there WIDE parts are spare, and each set leaves out as many of its
-keys as that allows, the most frequent ones in a sample first. All sets leave out by one order of the keys, so of the keys that
-linked sets share the first is left to both: this is exact whatever the sample. Classes that share a key are candidates;
-candidates that hang together form a group.
+of its range also takes the keys of the range below, where a smaller partner is). Keys are counted over all sets; those of one set alone
+go, and each set leaves out as many of its keys as there are spare parts, the most frequent ones first, so that a popular passage makes no
+candidates. All sets leave out by one order of the keys, so of the keys that linked sets share the last is left to both: this is exact.
+Below STRICT percent, parts hold so few elements that more of them have to be spare (WIDE). Classes that share a key that is left are
+candidates; candidates that hang together form a group.
 
 Trie join. In a group, elements are ordered by falling frequency and the ordered sets stored in a trie (as sorted
 sequences with their common prefixes). It is walked depth-first once; each node carries the overlaps of all probe sets with the
@@ -18,9 +18,10 @@ the needed overlap with what remains of the longest set below it. Groups too lar
 and each pair of blocks whose sizes can link is a task; tasks return link counts and a spanning forest, not pairs.
 
 Defined results: null and empty texts have empty sets, link with nothing and are their own component; with fewer words
-than a shingle the whole sequence is the one element; repeated rows each appear, and rows of one doc_id with unlike texts each
-by their own text; a null doc_id never names a component of
-others; extra columns are ignored. Elements are 64-bit hashes of shingles, sets are told apart by 128 bits of digests.
+than a shingle the whole sequence is the one element; very long texts are sets like any other; repeated rows each appear, and rows of one
+doc_id with unlike texts each by their own text; rows without a doc_id link and connect others like any row, but never name a component (one that has no other rows has a null component_id);
+an empty table gives no rows; extra columns are ignored. Elements are 64-bit hashes of shingles and sets are told apart by 64-bit digests of them:
+two that agree count as one (among 10^9 sets one such pair is expected with a chance of 3 %).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -40,12 +41,10 @@ from .components import components
 SPARE = 2
 #: The same below STRICT percent.
 WIDE, STRICT = 70, 90
-#: Rows from which frequent keys are learned, about, and rows of them that a frequent key is in.
-SAMPLE, FREQUENT = 20_000, 6
 #: Upper ends of the size ranges grow by this factor.
 RANGE = 1.37
 #: Sets and elements in a block of a large group.
-BLOCK_SETS, BLOCK_ELEMENTS = 384, 400_000
+BLOCK_SETS, BLOCK_ELEMENTS = 768, 600_000
 #: Sizes in a block of a large group differ by this factor at most.
 SIZES = 1.05
 
@@ -121,29 +120,15 @@ class Bound:
         return np.where(differ > 0, differ + 1 + self.spare, 0)
 
 
-def rarest(key: np.ndarray, owner: np.ndarray, leave: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which keys stay if each owner leaves out leave[owner] of its keys, by falling frequency and then by key."""
-    known, often = frequent
-    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-    f = np.where(known[at] == key, often[at], 0) if len(known) else np.zeros(len(key), np.int64)
-    order = np.lexsort((key, -f, owner))
-    stay = np.zeros(len(key), bool)
-    stay[order] = np.arange(len(key)) - np.searchsorted(owner[order], owner[order]) >= leave[owner[order]]
-    return stay
-
-
-_NONE = np.zeros(0, _U), np.zeros(0, np.int64)
-
-
-def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound, frequent: tuple[np.ndarray, np.ndarray] | None = _NONE) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of all sets; frequent has keys, sorted, and their frequencies; without it no key is left out."""
+def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, tag) of all sets; tag is 256 * (ranges below the set's own) + the number of keys in that range that the set leaves out."""
     size = np.bincount(row, minlength=rows)
     low = bound.ranges(int(size.max(initial=1)))
     parts = bound.parts(low)
     own = np.searchsorted(low, size, side="right") - 1
     least = np.searchsorted(low, np.maximum(1, bound.smallest(size)), side="right") - 1
     place, value = mixed(element, 1) >> _U(32), mixed(element, 3)
-    keys, owners = [], []
+    keys, owners, tags = [], [], []
     for back in range(int((own - least).max(initial=0)) + 1):
         level = own - back
         m = np.where((size > 0) & (level >= least), parts[np.maximum(level, 0)], 0)
@@ -157,62 +142,103 @@ def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound,
         empty = np.bincount(owner[~held], minlength=rows)
         part = np.arange(begin[-1]) - begin[owner]
         key = mixed(mixed(total, 0) + part.astype(_U) * _ODD[1] + level[owner].astype(_U) * _ODD[2], 4)
+        # Parts that are empty in both sets may be among the equal ones; they have no keys while others must be left.
         emit = held | (empty[owner] > bound.spare)
-        key, owner = key[emit], owner[emit]
-        if bound.spare > SPARE and frequent is not None:
-            # Parts that are empty in both sets may be among the equal ones and have no keys.
-            stay = rarest(key, owner, np.maximum(0, bound.spare - empty), frequent)
-            key, owner = key[stay], owner[stay]
-        keys.append(key)
-        owners.append(owner)
-    return np.concatenate(keys), np.concatenate(owners)
+        keys.append(key[emit])
+        owners.append(owner[emit])
+        tags.append(256 * back + np.maximum(0, bound.spare - empty)[owner[emit]])
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(tags)
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
+def _lists(owner: np.ndarray, rows: int, *values: pa.Array) -> list[pa.Array]:
+    order = pa.array(np.argsort(owner, kind="stable"))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, v.take(order)) for v in values]
 
 
-def digest(element: np.ndarray, row: np.ndarray, rows: int, k: int) -> pa.Array:
-    """A digest of each set; with k = 0 its set_id."""
+def digest(element: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The set_id of each set."""
     total = np.zeros(rows, _U)
-    np.add.at(total, row, mixed(element, k))
-    return pa.array(mixed(total + np.bincount(row, minlength=rows).astype(_U), k + 1).view(np.int64))
+    np.add.at(total, row, mixed(element, 0))
+    return mixed(total + np.bincount(row, minlength=rows).astype(_U), 1).view(np.int64)
 
 
-def tagged(docs: DataFrame, n: int) -> DataFrame:
-    """docs with the set_id of each row's text."""
+def tagged(docs: DataFrame, n: int, once: bool = False) -> DataFrame:
+    """docs with the set_id of each row's text; with once a task gives each (doc_id, set_id) one row."""
+    text, doc, columns = docs.columns.index("text"), docs.columns.index("doc_id"), docs.columns
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        element, row = shingle_sets(batch.column(text), n)
-        return pa.record_batch([*batch.columns, digest(element, row, batch.num_rows, 0)], names=[*docs_columns, "set_id"])
-
-    text, docs_columns = docs.columns.index("text"), docs.columns
-    return docs.mapInArrow(by_slices(work, text), StructType([*docs.schema.fields, StructField("set_id", LongType())]))
+    def run(batches):
+        seen: set = set()
 
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            element, row = shingle_sets(batch.column(text), n)
+            ids = digest(element, row, batch.num_rows)
+            out = pa.record_batch([*batch.columns, pa.array(ids)], names=[*columns, "set_id"])
+            if not once:
+                return out
+            fresh = []
+            for pair in zip(batch.column(doc).to_pylist(), ids.tolist()):
+                fresh.append(pair not in seen)
+                seen.add(pair)
+            return out.filter(pa.array(fresh, pa.bool_()))
 
-def frequent_keys(docs: DataFrame, n: int, bound: Bound) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that many rows of a sample have, sorted, and their frequencies there."""
-    parts = max(1, -(-docs.count() // SAMPLE))
-    some = sketches(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == 0), n, bound, None)
-    found = some.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= FREQUENT).toArrow()
-    key, often = (found.column(c).to_numpy() for c in ("key", "count"))
-    order = np.argsort(key.view(_U))
-    return key.view(_U)[order], often[order]
+        yield from by_slices(work, text)(batches)
 
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("set_id", LongType())]))
 
-def sketches(docs: DataFrame, n: int, bound: Bound, frequent: tuple[np.ndarray, np.ndarray] | None = _NONE) -> DataFrame:
-    """Per document row: doc_id, n_shingles, two digests of its set, and its routing keys."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.num_rows
-        element, row = shingle_sets(batch.column(1), n)
-        digests = [digest(element, row, rows, k) for k in (0, 2)]
-        size = np.bincount(row, minlength=rows)
-        return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), *digests, _lists(*routing_keys(element, row, rows, bound, frequent), rows)], names=["doc_id", "n", "set_id", "check", "keys"])
+def sketches(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """Per document row: doc_id, n (size of its set), set_id, and the routing keys of the set with their tags, where its task meets it first."""
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_slices(work), "doc_id long, n long, set_id long, check long, keys array<long>")
+    def run(batches):
+        seen: set[int] = set()
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = batch.num_rows
+            element, row = shingle_sets(batch.column(1), n)
+            ids, size = digest(element, row, rows), np.bincount(row, minlength=rows)
+            fresh = np.zeros(rows, bool)
+            for k, x in enumerate(ids.tolist()):
+                fresh[k] = x not in seen
+                seen.add(x)
+            use = fresh[row]
+            key, owner, tag = routing_keys(element[use], row[use], rows, bound)
+            lists = _lists(owner, rows, pa.array(key.view(np.int64)), pa.array(tag, pa.int32()))
+            return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), pa.array(ids), *lists], names=["doc_id", "n", "set_id", "keys", "tags"])
+
+        yield from by_slices(work)(batches)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id long, keys array<long>, tags array<int>")
+
+
+def _several(batches):
+    """Of (key, node, tag) sorted by key and node: the rows of keys that more than one node has, each node once."""
+    held = None  # the last row, if nothing tells yet whether its key has another node
+    last = None  # (key, node) of the last row
+    for batch in batches:
+        key, node, tag = (batch.column(k).to_numpy() for k in (0, 1, 2))
+        if not len(key):
+            continue
+        same = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
+        again = same & (node == np.concatenate([[last[1] if last else 0], node[:-1]]))
+        if again.any():
+            at = ~again
+            last = key[-1], node[-1]
+            key, node, tag, same = key[at], node[at], tag[at], same[at]
+            if not len(key):
+                continue
+        else:
+            last = key[-1], node[-1]
+        follows = np.append(same[1:], False)
+        take = same | follows
+        # Whether the last row is followed by one of its key is known with the next batch only.
+        rest = None if same[-1] else (key[-1], node[-1], tag[-1])
+        columns = [key[take], node[take], tag[take]]
+        if same[0] and held is not None:
+            columns = [np.concatenate([[h], c]) for h, c in zip(held, columns)]
+        held = rest
+        if len(columns[0]):
+            yield pa.record_batch([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["key", "node", "tag"])
 
 
 def _stars(batches):
@@ -233,6 +259,18 @@ def _stars(batches):
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def candidate_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect sets which share a key that neither leaves out, from `sketches` rows."""
+    keys = rows.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "tags")).alias("k"), F.col("set_id").alias("node"))
+    keys = keys.select(F.col("k.keys").alias("key"), "node", F.col("k.tags").alias("tag"))
+    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_several, "key long, node long, tag int")
+    shared = saved(shared, "ngram-shared")
+    often = shared.withColumn("sets", F.count("*").over(Window.partitionBy("key")))
+    place = F.row_number().over(Window.partitionBy("node", F.shiftright("tag", 8)).orderBy(F.desc("sets"), "key"))
+    left = often.withColumn("place", place).where(F.col("place") > F.col("tag") % 256).select("key", "node")
+    return left.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
+
+
 def trie_join(left: list[np.ndarray], right: list[np.ndarray], bound: Bound):
     """Yields (i, array of j) for the links between sets of `left` (in a trie) and `right` (the probes)."""
     tokens, code, often = np.unique(np.concatenate(left), return_inverse=True, return_counts=True)
@@ -359,18 +397,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, sets: bool = False) ->
     with_sets = sets
     bound = Bound(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_keys(docs, n, bound) if bound.spare > SPARE else _NONE
-    rows = saved(sketches(docs, n, bound, frequent), "ngram-sketches")
-    spark = docs.sparkSession
-    sets = rows.where("n > 0").groupBy("set_id", "check", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    sets = saved(sets, "ngram-sets")
-
-    keys = rows.where("n > 0").select(F.explode("keys").alias("key"), F.col("set_id").alias("node"))
-    edges = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
-    group = components(edges)
+    rows = saved(sketches(docs, n, bound), "ngram-sketches")
+    sets = saved(rows.where("n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-sets")
+    group = components(candidate_edges(rows))
 
     # A group that is too large for a task is cut by size, and a size that still is by a hash: sums decide, nothing is sorted.
-    members = sets.join(group, sets["set_id"] == group["node"]).where("rep IS NOT NULL").select("set_id", "rep", "n", "copies", F.col("root").alias("group"))
+    members = sets.join(group, sets["set_id"] == group["node"]).select("set_id", "rep", "n", "copies", F.col("root").alias("group"))
     load, size = F.sum(F.greatest(F.lit(1 / BLOCK_SETS), F.col("n") / BLOCK_ELEMENTS)), F.floor(F.log(SIZES, F.col("n")) + 1e-9)
     loads = members.groupBy("group", size.alias("size")).agg(load.alias("load"))
     large = saved(loads.groupBy("group").agg(F.sum("load").alias("whole")).where("whole > 1").join(loads, "group").select("group", "size", F.ceil("load").alias("parts")), "ngram-large")
@@ -382,14 +414,16 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, sets: bool = False) ->
     tasks = ends.join(other, "group").where(f"block <= block2 AND 100 * high >= {percent} * low2 AND 100 * high2 >= {percent} * low").select("group", "block", "block2")
     name = F.xxhash64("group", "block", "block2").alias("task")
     dealt = tasks.select("group", "block", F.lit(0).alias("side"), name).union(tasks.where("block < block2").select("group", F.col("block2").alias("block"), F.lit(1).alias("side"), name))
-    # The sets travel as texts, each once to every task of its block.
+    dealt = dealt.groupBy("group", "block").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    places = members.join(dealt, ["group", "block"]).select(F.col("rep").alias("doc_id"), "set_id", "copies", "tasks")
+    # The sets travel as texts: once to their list of tasks, then to each of these.
     maybe, _ = split(docs, members.select(F.col("rep").alias("doc_id")), "doc_id")
-    members = members.withColumnRenamed("rep", "doc_id").hint("merge")
     if repeated(docs):
-        texts = tagged(maybe, n).join(members, ["doc_id", "set_id"]).dropDuplicates(["set_id"])
+        own = tagged(maybe, n, once=True).alias("d")
+        texts = own.join(places.alias("p").hint("merge"), F.expr("d.doc_id <=> p.doc_id AND d.set_id = p.set_id")).select("d.set_id", "copies", "tasks", "text").dropDuplicates(["set_id"])
     else:
-        texts = maybe.join(members, "doc_id")
-    work = texts.select("group", "block", "set_id", "copies", "text").join(dealt, ["group", "block"]).select("task", "side", "set_id", "copies", "text")
+        texts = maybe.join(places.hint("merge"), "doc_id")
+    work = texts.select("set_id", "copies", "text", F.explode("tasks").alias("t")).select("t.task", "t.side", "set_id", "copies", "text")
     found = saved(work.repartition("task").sortWithinPartitions("task", "side", "set_id").mapInArrow(_task_links(n, bound), "set_id long, links long, root long"), "ngram-links")
 
     forest = components(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
@@ -406,8 +440,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, sets: bool = False) ->
 
 
 def repeated(docs: DataFrame) -> bool:
-    """Whether some doc_id stands in more than one row."""
-    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    """Whether some row has no doc_id, or one that stands in more than one row."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count())
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,26 +215,9 @@ def test_join_of_odd_rows(spark, odd, empty):
     assert by[8] == [(1, 8, 1)] * 2 and by[None] == [(2, None, 0)]
 
 
-def test_routing_meets_every_linked_pair():
-    """Property of the pigeonhole keys: sets that link share a key, whatever their sizes."""
-    rng = np.random.default_rng(0)
-    for percent in (80, 90):
-        bound = ngram_join.Bound(percent)
-        for _ in range(300):
-            n = int(rng.integers(1, 200))
-            x = rng.integers(0, 2**63, n).astype(np.uint64)
-            keep = x[: max(1, n - int(rng.integers(0, max(1, n * (100 - percent) // 150 + 1))))]
-            y = np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 12 + 1)))).astype(np.uint64)])
-            a, b = set(x.tolist()), set(y.tolist())
-            if a != b and 100 * len(a & b) >= percent * len(a | b):
-                element = np.concatenate([np.sort(np.array(sorted(s), np.uint64)) for s in (a, b)])
-                keys, owner = ngram_join.routing_keys(element, np.repeat([0, 1], [len(a), len(b)]), 2, bound)
-                assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
-
-
-@pytest.mark.parametrize("percent", [50, 80])
+@pytest.mark.parametrize("percent", [50, 80, 90])
 def test_keys_that_stay_meet_every_linked_pair(percent):
-    """As above where each set leaves out its most frequent keys, whatever their frequencies are taken to be."""
+    """Property of the pigeonhole keys: linked sets share a key that neither leaves out, whatever the keys' order is."""
     rng = np.random.default_rng(percent)
     bound, met = ngram_join.Bound(percent), 0
     for _ in range(300):
@@ -245,15 +228,52 @@ def test_keys_that_stay_meet_every_linked_pair(percent):
         both = len(np.intersect1d(a, b))
         if 100 * both < percent * len(np.union1d(a, b)) or both == len(a) == len(b):
             continue
-        element, row = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
-        whole, _ = ngram_join.routing_keys(element, row, 2, bound, None)
-        known = np.unique(rng.permutation(whole)[: len(whole) // 2])
-        keys, owner = ngram_join.routing_keys(element, row, 2, bound, (known, rng.integers(6, 99, len(known))))
-        assert len(keys) <= len(whole) and set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+        keys, owner, tag = ngram_join.routing_keys(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, bound)
+        order = {k: r for k, r in zip(np.unique(keys).tolist(), rng.permutation(len(np.unique(keys))))}
+        stay = []
+        for own in (0, 1):
+            kept = set()
+            for back in set((tag[owner == own] >> 8).tolist()):
+                of = (owner == own) & (tag >> 8 == back)
+                kept |= set(sorted(keys[of].tolist(), key=order.get)[int(tag[of][0]) & 255 :])
+            stay.append(kept)
+        assert stay[0] & stay[1]
         met += 1
     assert met > 50
 
 
+def test_keys_of_several_sets_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        rows = sorted((int(k), int(v)) for k, v in zip(rng.integers(0, 8, 30), rng.integers(0, 4, 30)))
+        cuts = sorted(rng.integers(0, 31, 4).tolist())
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, 30])]
+        batches = [pa.record_batch([pa.array([r[0] for r in p], pa.int64()), pa.array([r[1] for r in p], pa.int64()), pa.array([r[0] for r in p], pa.int32())], names=["key", "node", "tag"]) for p in parts]
+        got = [(r["key"], r["node"]) for b in ngram_join._several(batches) for r in b.to_pylist()]
+        nodes = collections.defaultdict(set)
+        for k, v in rows:
+            nodes[k].add(v)
+        assert got == sorted((k, v) for k, vs in nodes.items() if len(vs) > 1 for v in vs)
+
+
+def test_rows_without_a_doc_id_link_and_connect(spark):
+    """A set that only rows without a doc_id hold is the bridge between two documents."""
+    base = [f"w{i}" for i in range(100)]
+    say = lambda swap: " ".join("x" if i in swap else w for i, w in enumerate(base))
+    left, bridge, right = say({20, 50}), say({50}), say({50, 80})
+    other = " ".join(f"v{i}" for i in range(50))
+    data = [(3, left), (None, bridge), (None, bridge), (7, right), (None, other), (None, other + " more")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sets = _sets([t for _, t in data])
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])
+    assert linked(0, 1) and linked(1, 3) and not linked(0, 3)
+    got = collections.Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_join.join(docs).collect())
+    want = collections.Counter((d, 3 if i < 4 else None, sum(linked(i, j) for j in range(6) if j != i)) for i, (d, _) in enumerate(data))
+    assert got == want
+
+
 # ---- 7: decontamination
 
 

@@ -22,7 +22,7 @@ def test_stages_take_effect(spark, sf):
             model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
             assert ids == {r["doc_id"] for r in toxicity.score(docs, model).where("score < 0.3").collect()}
         if name == "ngram_join":
-            assert ids == {r["component_id"] for r in ngram_join.join(docs).collect()} and len(after) == len(ids)
+            assert ids == {r["component_id"] for r in ngram_join.join(docs, corpus_pipeline.WORDS, corpus_pipeline.SIMILAR).collect()} and len(after) == len(ids)
         if name == "decontamination":
             gone = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
             assert gone and ids == {r["doc_id"] for r in before} - gone
