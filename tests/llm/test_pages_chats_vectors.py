@@ -62,7 +62,9 @@ def chats(spark, rows):
     return spark.createDataFrame([(*r, "clash", None) for r in rows], SAID)
 
 
-def test_forest_shares_turns_and_reads_back(spark):
+@pytest.mark.parametrize("paths_in_a_range", [chat_format.RANGE, 7, 1])
+def test_forest_shares_turns_and_reads_back(spark, monkeypatch, paths_in_a_range):
+    monkeypatch.setattr(chat_format, "RANGE", paths_in_a_range)
     rng = np.random.default_rng(1)
     rows = []
     for c in range(60):
@@ -110,6 +112,24 @@ def test_forest_shares_turns_and_reads_back(spark):
         assert sorted(below) == every[k : k + len(below)]
 
 
+def test_roles_with_newlines_and_backslashes(spark):
+    """Role and text are told apart in the node key, and roles come back whole."""
+    rows = [(1, 0, "assistant\nx", "y"), (2, 0, "assistant", "x\ny"), (3, 0, "a\\n<|\\", "t"), (4, 0, "assistant", "\n"), (5, 0, "assistant\n", ""), (6, 0, "1:a", "b"), (7, 0, "1", ":ab"), (8, 0, "a\\\nb\\\\n", "")]
+    nodes, paths, leaves = chat_format.format_chats(chats(spark, rows))
+    assert nodes.count() == len(rows)
+    got = {r["conv_id"]: r for r in chat_format.read_back(nodes, paths, leaves).collect()}
+    for c, _, role, text in rows:
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(role, text)] and got[c]["loss_text"] == (text if role == "assistant" else "")
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(c, k, "user", f"{k} {c if k > 300 else ''}") for c in (1, 2) for k in range(400)] + [(3, 0, "assistant", "long words " * 60_000)]
+    nodes, paths, leaves = chat_format.format_chats(chats(spark, rows))
+    assert nodes.count() == 301 + 2 * 99 + 1
+    got = {r["conv_id"]: r for r in chat_format.read_back(nodes, paths, leaves).collect()}
+    assert len(got[1]["turns"]) == 400 and got[3]["loss_text"] == "long words " * 60_000
+
+
 def test_escapes_are_reversible(spark):
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("<|\\a>"), 12)) for _ in range(300)]
@@ -135,7 +155,9 @@ def test_hadamard_and_buckets():
     y = ann.rotated(x, 3)
     assert np.allclose(y @ y.T, x @ x.T)
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    assert (ann.probed(u, 1)[:, 0] == ann.bucket(u, 1)).all()
+    for k in (1, 2, 3):
+        assert (ann.probed(u, 1, k)[:, 0] == ann.bucket(u, 1, k)).all()
+    assert [ann.functions_for(n, 64) for n in (0, 64 * 128, 64 * 128 + 1, 64 * 128**2 + 1)] == [1, 1, 2, 3]
 
 
 def test_recall_against_brute_force(spark):
@@ -169,9 +191,9 @@ def test_recall_against_brute_force(spark):
 
 def test_few_vectors_and_blocks(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, -2.0])], "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0"), tables=64).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0")).collect()}
     assert got == {(0, 1), (0, 50), (50, 0), (50, 1)}
-    assert {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0"), tables=64, block=1).collect()} == got
+    assert {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 50 = 0"), block=1).collect()} == got
     assert ann.search(df.where("false"), df.where("false")).count() == 0 and ann.search(df, df.where("vec_id = 7")).count() == 0
 
 
@@ -193,6 +215,66 @@ def test_short_queries_are_compared_with_all_vectors(spark, block):
         assert len(got) == 15
 
 
+def _brute_neighbours(data, asked, nearest=5):
+    """query_id -> [(vec_id, score)] over vectors of the query's length."""
+    out = {}
+    for q in asked:
+        x = np.array(data[q])
+        near = [(-float(x @ np.array(y) / np.sqrt((x @ x) * (np.array(y) @ np.array(y)))), v) for v, y in data.items() if v != q and len(y) == len(x)]
+        out[q] = [v for _, v in sorted(near)[:nearest]]
+    return out
+
+
+def test_one_to_six_vectors_and_mixed_lengths(spark):
+    rng = np.random.default_rng(9)
+    for n in range(1, 7):
+        data = {i: rng.normal(size=64).tolist() for i in range(n)}
+        df = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in ann.search(df, df.where("vec_id % 50 = 0")).orderBy("rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert got.get(0, []) == _brute_neighbours(data, [0])[0]
+    data = {i: rng.normal(size=64).tolist() for i in range(200)} | {300 + i: rng.normal(size=65).tolist() for i in range(3)} | {400: [1.0], 401: [2.0, 1.0]}
+    df = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    asked = [i for i in data if i % 50 == 0]
+    for block in (ann.BLOCK, 2):
+        got = {q: [] for q in asked}
+        for r in ann.search(df, df.where("vec_id % 50 = 0"), block=block).orderBy("rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert got == _brute_neighbours(data, asked)
+
+
+def test_repeated_query_ids(spark):
+    data = [(0, [2.0, 1.0]), (0, [1.0, 1.0]), (1, [1.0, 1.1]), (2, [2.0, 1.0]), (2, [2.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 2)]
+
+
+@pytest.mark.parametrize("rows", [50, 500, 2000, 10_000])
+def test_recall_on_the_table(spark, rows):
+    """At op8's own parameters on the first rows of embeddings, with one and with two functions a table."""
+    import os
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    df = spark.read.parquet(path).where(f"vec_id < {rows}")
+    known = [(r["vec_id"], r["embedding"]) for r in df.collect() if r["embedding"] is not None]
+    ids, x = np.array([i for i, _ in known]), np.array([e for _, e in known], dtype=float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = total = 0
+    got = collections.defaultdict(set)
+    for r in ann.search(df, df.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for k in np.flatnonzero(ids % 50 == 0):
+        c = x @ x[k]
+        c[k] = -9
+        best = ids[np.lexsort((ids, -c))[:5]].tolist()
+        hit, total = hit + len(got[ids[k]] & set(best)), total + len(best)
+    assert hit / total >= 0.9
+
+
 # ---- 10: archives
 
 
