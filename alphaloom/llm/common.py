@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset (tests), one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Only in a single process (local mode, as in tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="alphaloom-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -64,12 +67,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As `saved`, but kept when a `scratch` block ends: for a result that later steps read."""
+    """As `saved`, but kept when the `scratch` block ends: until `discard`, or the end of the program."""
     out = saved(df, name)
-    _scratch[-1].pop()
+    if len(_scratch) > 1:
+        _scratch[-2].append(_scratch[-1].pop())
     return out
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Deletes the tables that were `written` under a name."""
+    gone = [path for path in _scratch[-1] if path.rpartition("/")[2].rpartition("-")[0] == name]
+    _delete(spark, gone)
+    _scratch[-1][:] = [path for path in _scratch[-1] if path not in gone]
+
+
 def _delete(spark: SparkSession, names: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     for name in names:

@@ -2,15 +2,17 @@
 
 Documents and benchmark items are folded (lower case, everything but letters and digits one space) to UTF-8 bytes. Items are cut
 into overlapping windows of at most WINDOW bytes. A window of length L matches where a document holds it with at most
-k = floor(L * rate) edits. By the q-gram lemma such a place shares at least L - q + 1 - k * q of the window's q-grams,
-on diagonals that lie within k of each other, so in one of the overlapping bands of 2(k + 1) diagonals. Bands with fewer
-hits are dropped, the others are aligned (semi-global, banded) and kept if the distance is within k.
+k = floor(L * rate) edits, or fewer if fewer than LEAST shared q-grams would be left. By the q-gram lemma such a place shares at least
+L - q + 1 - k * q of the window's q-grams, on diagonals that lie within k of each other, so in one of the overlapping bands of 2(k + 1)
+diagonals. Bands with fewer hits are dropped, the others are aligned (semi-global, banded) and kept if the distance is within k.
 
-Documents are read once, whole, and without a shuffle; the benchmark is checked for size, and if it is larger than BLOCK bytes
-it is dealt in blocks of that size, each matched in a pass of its own.
+Documents are read once, whole, and without a shuffle. Texts of benchmark items travel to the tasks, which make the index of their q-grams
+themselves (about 40 bytes for each byte of an item); a benchmark of more than BLOCK bytes is dealt in blocks of that size, each matched in a pass of its own.
 
-Defined results: null and empty texts, and items of fewer than q folded bytes, match nothing; equal items are each reported; items
-without an item_id are matched like any other and each reported with a null item_id; repeated document rows are each reported; extra columns are ignored.
+Defined results: null and empty texts match nothing; an item of fewer than q folded bytes says too little to be found within a text and
+matches the documents that consist of nothing else; very long texts are searched whole; of a band's places with equal distance the first is
+reported; equal items are each reported; items without an item_id are matched like any other and each reported with a null item_id;
+repeated document rows are each reported; empty tables give no leaks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from .common import slices, table
 #: Length of a q-gram in bytes: as many as fit a machine word.
 Q = 8
 WINDOW, STRIDE = 96, 48
-#: Edits a byte of a window.
-RATE = 0.06
+#: Edits a byte of a window: 9 in a whole one, a word replaced by another.
+RATE = 0.1
+#: Q-grams that a place within the edits must share at least, if the window has so many.
+LEAST = 4
 #: Most bytes of benchmark text that one pass holds in memory.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Alignments that run side by side.
+TOGETHER = 4096
 _GAP = 64
 
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -68,14 +74,23 @@ def grams(data: np.ndarray) -> np.ndarray:
     return four[:-4].astype(_U) | (four[4:].astype(_U) << _U(32))
 
 
+def budget(length: int, rate: float = RATE) -> int:
+    """Edits within which a window of `length` bytes matches."""
+    return max(0, min(int(length * rate), (length - Q + 1 - LEAST) // Q))
+
+
 class Index:
-    """The windows of some benchmark items and their q-grams."""
+    """The windows of some benchmark items and their q-grams. It travels as the items' texts."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
-        self.items, self.windows, self.sizes = [], [], []
-        for number, (item, text) in enumerate(items):
+    def __init__(self, texts: list[tuple[int | None, str]], rate: float = RATE):
+        self.texts, self.rate = texts, rate
+        self.items, self.windows = [], []
+        self.short: dict[bytes, list[tuple[bool, int]]] = {}
+        for number, (item, text) in enumerate(texts):
             data = fold(text)
             if len(data) < Q:
+                if data:
+                    self.short.setdefault(data, []).append((item is None, number if item is None else item))
                 continue
             starts = [0] if len(data) <= WINDOW else [*range(0, len(data) - WINDOW, STRIDE), len(data) - WINDOW]
             for s in starts:
@@ -83,25 +98,27 @@ class Index:
                 self.items.append(((item is None, number if item is None else item), len(data), s))
                 self.windows.append(data[s : s + WINDOW])
         self.length = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.edits = np.floor(self.length * rate).astype(np.int64)
+        self.edits = np.array([budget(n, rate) for n in self.length.tolist()], dtype=np.int64)
         self.least = np.maximum(1, self.length - Q + 1 - self.edits * Q)
         gram, window, place = [], [], []
         for k, w in enumerate(self.windows):
             g = grams(np.frombuffer(w + bytes(Q), np.uint8))[: len(w) - Q + 1]
             gram.append(g)
-            window.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
+            window.append(np.full(len(g), k, np.int32))
+            place.append(np.arange(len(g), dtype=np.int32))
+        self.gram, self.bits = np.zeros(0, _U), np.zeros(1 << 22, bool)
         if not gram:
-            self.gram = np.zeros(0, _U)
             return
         gram, window, place = map(np.concatenate, (gram, window, place))
         order = np.argsort(gram, kind="stable")
         gram, self.window, self.place = gram[order], window[order], place[order]
         self.gram, self.begin = np.unique(gram, return_index=True)
         self.begin = np.append(self.begin, len(gram))
-        self.bits = np.zeros(1 << 22, bool)
         self.bits[self._slot(self.gram)] = True
 
+    def __reduce__(self):
+        return Index, (self.texts, self.rate)
+
     @staticmethod
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g * _U(0x9E3779B97F4A7C15)) >> _U(42)
@@ -129,7 +146,7 @@ class Index:
             return none
         n = self.begin[at + 1] - self.begin[at]
         entry = np.repeat(self.begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window = self.window[entry]
+        window = self.window[entry].astype(np.int64)
         diagonal = np.repeat(hit, n) - self.place[entry] + WINDOW
         band = diagonal // (self.edits[window] + 1)
         key = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
@@ -153,8 +170,10 @@ class Index:
             else:
                 rest.append((w, a, b))
         for size in sorted({int(self.length[w]) for w, _, _ in rest}):
-            same = [x for x in rest if self.length[x[0]] == size]
-            out += [(w, a + s, a + e, x) for (w, a, _), (s, e, x) in zip(same, aligned([self.windows[w] for w, _, _ in same], [raw[a:b] for _, a, b in same])) if x <= self.edits[w]]
+            every = [x for x in rest if self.length[x[0]] == size]
+            for k in range(0, len(every), TOGETHER):
+                same = every[k : k + TOGETHER]
+                out += [(w, a + s, a + e, x) for (w, a, _), (s, e, x) in zip(same, aligned([self.windows[w] for w, _, _ in same], [raw[a:b] for _, a, b in same])) if x <= self.edits[w]]
         return out
 
 
@@ -197,6 +216,9 @@ def _search(index: Index):
             row = int(np.searchsorted(starts, s, side="right")) - 1
             item, size, at = index.items[w]
             found.setdefault((row, item), []).append((s - starts[row], e - starts[row], x, at, size, int(index.length[w])))
+        for row, text in enumerate(folded):
+            for item in index.short.get(text, []):
+                found.setdefault((row, item), []).append((0, len(text), 0, 0, len(text), len(text)))
         if not found:
             return None
         places = {row: fold_places(texts[row]) for row, _ in found}
@@ -229,7 +251,7 @@ def _indexes(benchmark: DataFrame, rate: float, block: int):
     for k in range(parts):
         items = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
         index = Index([(r["item_id"], r["text"]) for r in items], rate)
-        if len(index.gram):
+        if len(index.gram) or index.short:
             yield index
 
 

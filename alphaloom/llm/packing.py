@@ -6,7 +6,8 @@ are matched greedily, the longest with the longest that fits, at most two a bin;
 that holds them. Each step of the plan places a whole run of equal lengths at once. A piece's rank among those of its length,
 taken in salted parts, says which place of the plan is its own.
 
-Defined results: a null text is an empty one, which is one piece of the end id; repeated rows are packed each; an empty table packs into nothing;
+Defined results: a null text is an empty one, which is one piece of the end id; repeated rows and rows without a doc_id are packed each;
+ties of length go by doc_id, piece and row; very long texts become as many pieces as they need; an empty table packs into nothing;
 other columns of the pieces stay as they are.
 """
 
@@ -153,21 +154,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`parts` (doc_id, piece, length and whatever else) with sequence_id and offset: gapless sequences of at most `capacity` tokens."""
-    parts = saved(parts, "pieces")
+    parts = saved(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     runs, _ = plan(histogram, capacity)
     # Frequent lengths are ranked in parts: by salt within a length, then the parts one after another.
     many = [-(-histogram.get(x, 0) // RANKED) for x in range(1, capacity + 1)]
     salts = max(many)
     number = F.element_at(F.array(*(F.lit(max(1, m)) for m in many)), F.col("length").cast("int"))
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), number))
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("_row"), number))
     if salts <= 1:
-        ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("doc_id", "piece")) - 1)
+        ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("doc_id", "piece", "_row")) - 1)
     else:
         before = parts.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
-        inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+        inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "_row")) - 1
         ranked = parts.withColumn("inner", inner).join(before, ["length", "salt"]).withColumn("rank", F.col("inner") + F.col("before")).drop("inner", "before")
-    ranked = ranked.drop("salt")
+    ranked = ranked.drop("salt", "_row")
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))] if len(runs) else runs
     begin = runs[:, 0] * (1 << 44) + runs[:, 1]
     names = ranked.columns

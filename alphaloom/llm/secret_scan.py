@@ -2,11 +2,13 @@
 
 Spans of three base kinds and five further kinds are found with built-in regular expressions; offsets come from the
 lengths of what lies between the matches. The hash of every candidate value is counted over the whole corpus by distinct
-repositories and distinct owners. A value that at least `widely` owners hold is a copied example; any other is
-owner-specific and live-looking. Base spans are always reported, further kinds only where they are live-looking.
+repositories and distinct owners. A value that at least `widely` owners hold is a copied example, and so is one that at least two owners hold in
+at least `spread` repositories; any other is owner-specific and live-looking, in however many repositories of one owner it stands. Base
+spans are always reported, further kinds only where they are live-looking.
 
 Defined results: a null text is an empty one and has no spans; a null owner or repository counts as one of its own;
-repeated rows are each reported and count once for their repository; extra columns are ignored.
+very long texts are scanned whole; spans that start together are listed by kind; repeated rows are each reported and count once for their
+repository; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import join_unique, saved, split, table
 
 # The base kinds, in their order of rank, and the group that is the secret.
 BASE = {
@@ -35,6 +37,8 @@ FURTHER = {
 KINDS = BASE | FURTHER
 #: From so many distinct owners on, a value is a copied example.
 WIDELY = 4
+#: From so many distinct repositories on, a value that two owners or more hold is a copied example.
+SPREAD = 50
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,secret:string>"
 
 
@@ -79,38 +83,42 @@ def ownership(found: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "secret_hash"), count)
 
 
-def judged(found: DataFrame, widely: int = WIDELY) -> DataFrame:
-    """row_id and its judged spans: structs as in `candidates`, with live (not a copied example). Rows without spans are absent."""
-    copied = ownership(found).where(F.col("owners") >= widely).select("secret_hash", F.lit(True).alias("copied"))
+def judged(found: DataFrame, widely: int = WIDELY, spread: int = SPREAD) -> DataFrame:
+    """row_id, its judged spans (structs as in `candidates`, with live: not a copied example), and the most repositories and owners of a value in it. Rows without spans are absent."""
+    counts = saved(ownership(found), "secret-owners")
     one = found.select("row_id", F.explode(F.concat("base", "further")).alias("span")).withColumn("secret_hash", F.sha2(F.col("span.secret"), 256))
-    one = one.join(copied, "secret_hash", "left").select("row_id", F.struct("span.start", "span.rank", "span.end", "span.kind", F.col("copied").isNull().alias("live")).alias("span"))
-    return one.groupBy("row_id").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    live = (F.col("owners") < widely) & ((F.col("owners") < 2) | (F.col("repositories") < spread))
+    one = join_unique(one, counts, "secret_hash").select("row_id", F.struct("span.start", "span.rank", "span.end", "span.kind", live.alias("live")).alias("span"), "repositories", "owners")
+    return one.groupBy("row_id").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.max("repositories").alias("repositories"), F.max("owners").alias("owners"))
 
 
-def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, widely: int = WIDELY) -> DataFrame:
-    """One row per document row: numbers of base spans, their digest, all reported spans, live and copied numbers."""
+def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, widely: int = WIDELY, spread: int = SPREAD) -> DataFrame:
+    """One row per document row: numbers of base spans, their digest, all reported spans, live and copied numbers, and the most repositories and owners that a value in it has (0 without one)."""
     repository = F.col("doc_id") if repository is None else repository
     owner = F.col("source") if owner is None else owner
     found = saved(candidates(docs, repository, owner), "secret-spans")
-    out = found.join(judged(found, widely), "row_id", "left")
+    out = found.drop("repository", "owner").join(judged(found, widely, spread), "row_id", "left")
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.coalesce(F.filter("spans", lambda s: (s["rank"] < len(BASE)) | s["live"]), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,live:boolean>>"))
     live = F.size(F.filter(spans, lambda s: s["live"])).cast("long")
-    return out.select("doc_id", *map(n, BASE), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(spans).alias("spans"), live.alias("n_live"), (F.size(spans).cast("long") - live).alias("n_copied"))
+    return out.select("doc_id", *map(n, BASE), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(spans).alias("spans"), live.alias("n_live"), (F.size(spans).cast("long") - live).alias("n_copied"), *(F.coalesce(c, F.lit(0)).cast("long").alias(f"most_{c}") for c in ("repositories", "owners")))
 
 
-def redact(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, widely: int = WIDELY, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, widely: int = WIDELY, spread: int = SPREAD, mark: str = "[secret]") -> DataFrame:
     """docs with `mark` in place of every live-looking span; copied examples and all other text stay."""
     repository = F.col("doc_id") if repository is None else repository
     owner = F.col("source") if owner is None else owner
     columns = docs.columns
     some = reduce(lambda a, b: a | b, (F.coalesce("text", F.lit("")).rlike(p) for p, _, _ in KINDS.values()))
-    clean, held = docs.where(~some), saved(docs.where(some).select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "secret-documents")
+    held = saved(docs.where(some).select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "secret-documents")
+    # The patterns run once over a text: what certainly isn't among the held texts is clean.
+    maybe, certain = split(docs, held.select("_doc.text"), "text")
+    clean = certain.union(maybe.where(~some))
     inner = held.select(F.col("_row"), F.col("_doc.*"))
     text = F.coalesce(F.col("text"), F.lit(""))
     found = inner.select(F.col("_row").alias("row_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), *(spans_of(text, k).alias(k) for k in KINDS))
     found = saved(found.select("row_id", "repository", "owner", F.concat(*BASE).alias("base"), F.concat(*FURTHER).alias("further")), "secret-spans")
-    spans = judged(found, widely).select(F.col("row_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
+    spans = judged(found, widely, spread).select(F.col("row_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
     both = held.join(spans, "_row", "left").select("_doc.*", "_spans")
 
     def step(state: Column, s: Column) -> Column:

@@ -1,14 +1,15 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded texts.
 
 Texts are lower-cased, homoglyphs and digit or sign substitutions are folded to letters, and everything else between words
-becomes one space. The lexicon holds word starts and whole words with log-odds weights, learned from the labelled rows that
-are not held out (or given). Exception phrases (longer matches that start with a lexicon entry but are no more frequent in
-toxic than in clean rows, or given ones) take precedence over the entries inside them and count nothing. One automaton
+becomes one space; letters that signs or spaces part one by one become a word. The lexicon holds word starts and whole words with log-odds
+weights, learned from the labelled rows that are not held out (or given). Exception phrases (words, and pairs of words, that start with a lexicon
+entry but are rather said in clean rows, or given ones) take precedence over the entries inside them and count nothing. One automaton
 pass yields, for a whole text, the summed, the largest and the length-normalised weight; a logistic curve makes a score of them.
 
 Defined results: null and empty texts have no match and get the score of a clean text; null or unknown labels teach nothing;
-repeated rows are scored each; without labels of both classes the score is the share of toxic labels (0 without labels);
-extra columns are ignored.
+very long texts are read whole; of entries that start together the longest counts, and equal weights go by the entry's text; repeated rows are
+scored each, and of rows that repeat a labelled id the one that sorts first teaches; without labels of both classes the score is the share
+of toxic labels (0 without labels); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import by_slices, held_out, saved, table
 
 #: Most labelled rows of either class that lexicon and curve are fitted on; chosen by a hash of doc_id.
 SAMPLE_PER_CLASS = 6000
-#: Most entries of a learned lexicon, by weight times matching rows.
-LEXICON = 2000
+#: Parts in which the sample is read.
+PARTS = 16
 #: Word starts of these lengths are candidates, besides whole words.
 STARTS = (4, 5, 6, 7, 8)
 
@@ -41,9 +42,11 @@ _HAS_LOOKALIKE = re.compile("[Ͱ-ԯ０-～​-‍­]")
 _INVISIBLE = re.compile("[​-‍­]")
 _FULLWIDTH = {c: c - 0xFEE0 for c in range(0xFF21, 0xFF5F)}
 # Digits and signs written for letters inside a word.
-_SUBSTITUTE = str.maketrans("013457@$", "oieastas")
-_WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
-_MIXED = re.compile(r"[013457@$]")
+_SUBSTITUTE = str.maketrans("01345789@$!|", "oieastbgasil")
+# A sign that stands for a letter is one before or between letters or digits; after the last one it is punctuation.
+_WORD = re.compile(r"[@$]?[^\W_]+(?:(?:[@$]+|[!|])[^\W_]+)*")
+_MIXED = re.compile(r"[01345789@$!|]")
+_SPELT = re.compile(r"(?<![^\W_])[^\W_](?:([ .,*~+/=_-])[^\W_](?![^\W_]))(?:\1[^\W_](?![^\W_])){2,}")
 
 
 def fold(text: str | None) -> str:
@@ -51,12 +54,22 @@ def fold(text: str | None) -> str:
     text = (text or "").lower()
     if not text.isascii() and _HAS_LOOKALIKE.search(text):
         text = _INVISIBLE.sub("", text).translate(_FULLWIDTH).lower().translate(_LOOKALIKE)
+    text = _SPELT.sub(lambda m: m[0].replace(m[1], ""), text)
     words = _WORD.findall(text)
     if _MIXED.search(text):
-        words = [w.translate(_SUBSTITUTE) if _MIXED.search(w) and not w.isdigit() else w for w in words]
+        words = [_unmixed(w) if _MIXED.search(w) else w for w in words]
     return f" {' '.join(words)} "
 
 
+def _unmixed(word: str) -> str:
+    """A word with its substitutions undone; what holds no letter is a number and loses its signs."""
+    if not any(c.isalpha() for c in word):
+        return "".join(c for c in word if c not in "@$!|")
+    # A stop without a space after it looks the same: both readings stand.
+    parts = re.split(r"[!|]", word)
+    return " ".join(x.translate(_SUBSTITUTE) for x in ([word, *parts] if len(parts) > 1 else parts))
+
+
 def candidates(folded: str) -> set[str]:
     """Possible lexicon entries of one text: ' start' for word starts, ' word ' for whole words."""
     words = set(folded.split())
@@ -117,9 +130,8 @@ def signals(text: str | None, lexicon: Lexicon) -> list[float]:
     return [math.log1p(max(0.0, total)), max(weights, default=0.0), 100 * total / (n + 20), math.log1p(len(weights)), total / math.sqrt(n + 20), math.log1p(n)]
 
 
-def learn(rows, size: int = LEXICON) -> Lexicon:
-    """A lexicon from an iterable of (candidate, rows with label 1, rows with label 0), n1 and n0 being the classes' sizes."""
-    counts, n1, n0 = rows
+def learn(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> Lexicon:
+    """A lexicon from the numbers of toxic and of clean rows that hold each candidate, n1 and n0 being the classes' sizes."""
     weight = {}
     for text, (p, q) in counts.items():
         if p >= 3:
@@ -128,17 +140,21 @@ def learn(rows, size: int = LEXICON) -> Lexicon:
                 weight[text] = odds
     kept: dict[str, float] = {}
     for text in sorted(weight, key=lambda t: (-weight[t] * math.sqrt(counts[t][0]), t)):
-        if len(kept) >= size:
-            break
         shorter = [text[:n] for n in range(4, len(text)) if text[:n] in kept]
         if not any(weight[s] >= weight[text] - 0.7 for s in shorter):
             kept[text] = weight[text]
-    exceptions = []
-    starts = {t for t in kept if not t.endswith(" ")}
-    for text, (p, q) in counts.items():
-        if text not in kept and text.endswith(" ") and q >= 3 and q * n1 > 2 * p * n0 and any(text[:n] in starts for n in range(4, len(text))):
-            exceptions.append(text)
-    return Lexicon(kept, tuple(sorted(exceptions)))
+    return Lexicon(kept)
+
+
+def phrases(folded: str, lexicon: Lexicon) -> set[str]:
+    """The words that entries match in a text, and the pairs of words that begin there, as possible exceptions."""
+    found = set()
+    for start, _, _ in lexicon.match(folded):
+        end = folded.index(" ", start + 1) + 1
+        found.add(folded[start:end])
+        if end < len(folded):
+            found.add(folded[start : folded.index(" ", end) + 1])
+    return found - set(lexicon.entries)
 
 
 class Model:
@@ -164,17 +180,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def _counts(batches):
-    """Per task: how many of its rows of each label hold a candidate."""
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for batch in batches:
-        for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for found in candidates(fold(text)):
-                seen[found][label] += 1
-        if len(seen) > 400_000:
-            yield from _emit(seen)
-            seen.clear()
-    yield from _emit(seen)
+def _counts(found):
+    """A mapInArrow function over (doc_id, text, label): how many of a task's rows of each label hold what `found` gives of a folded text."""
+
+    def run(batches):
+        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for entry in found(fold(text)):
+                    seen[entry][label] += 1
+            if len(seen) > 400_000:
+                yield from _emit(seen)
+                seen.clear()
+        yield from _emit(seen)
+
+    return run
 
 
 def _emit(seen):
@@ -184,7 +204,7 @@ def _emit(seen):
         yield pa.record_batch([pa.array(part, pa.string()), pa.array([seen[x][1] for x in part], pa.int64()), pa.array([seen[x][0] for x in part], pa.int64())], names=["entry", "p", "q"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, size: int = LEXICON, extra: dict[str, float] | None = None, exceptions: tuple[str, ...] = ()) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, extra: dict[str, float] | None = None, exceptions: tuple[str, ...] = ()) -> Model:
     """Lexicon and curve from the labelled rows that aren't held out, at most `per_class` of each label."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -193,21 +213,22 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    rows = saved(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "toxicity-sample")
+    # One row for each id, so that the sample is bounded however often ids repeat.
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = saved(texts.select("doc_id", "text", "label").repartition(PARTS), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model(Lexicon(extra or {}, exceptions), constant=float(share))
-    counted = rows.mapInArrow(_counts, "entry string, p long, q long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    # Of the bounded sample: entries that say something, and what clean rows say with the same starts.
-    strong = {r["entry"]: (r["p"], r["q"]) for r in counted.where((F.col("p") >= 3) & (F.col("p") * n0 > 4 * F.col("q") * n1)).collect()}
-    lexicon = learn((strong, n1, n0), size)
-    starts = sorted(t for t in lexicon.entries if not t.endswith(" "))
-    begin = F.array_contains(F.lit(starts) if starts else F.array().cast("array<string>"), F.col("start")) if starts else F.lit(False)
-    heads = F.explode(F.transform(F.sequence(F.lit(5), F.lit(9)), lambda n: F.substring("entry", F.lit(1), n)))
-    clean = counted.where(F.col("entry").endswith(" ") & (F.col("q") >= 3) & (F.col("q") * n1 > 2 * F.col("p") * n0)).select("entry", "p", "q", heads.alias("start")).where(begin)
-    against = {r["entry"]: (r["p"], r["q"]) for r in clean.select("entry", "p", "q").distinct().orderBy(F.desc("q"), "entry").limit(size).collect()}
-    lexicon = Lexicon(lexicon.entries | (extra or {}), tuple(sorted({*exceptions, *against})))
+
+    def counted(found) -> DataFrame:
+        return rows.mapInArrow(_counts(found), "entry string, p long, q long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
+    # Of the bounded sample: entries that say something, and what clean rows say with them.
+    strong = {r["entry"]: (r["p"], r["q"]) for r in counted(candidates).where((F.col("p") >= 3) & (F.col("p") * n0 > 4 * F.col("q") * n1)).collect()}
+    learned = learn(strong, n1, n0)
+    against = counted(lambda folded: phrases(folded, learned)).where((F.col("q") >= 3) & (F.col("q") * n1 > 2 * F.col("p") * n0))
+    lexicon = Lexicon(learned.entries | (extra or {}), tuple(sorted({*exceptions, *(r["entry"] for r in against.collect())})))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(2), pa.array([signals(t, lexicon) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["label", "x"])

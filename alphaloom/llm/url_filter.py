@@ -3,10 +3,12 @@
 A url is cut into host and path. Each host suffix (by labels) with each path prefix (up to a slash) is an expression;
 expressions are equi-joined with the rules on the first four bytes of their SHA-256 digests, matches are confirmed by
 the full digest, and the longest matching rule decides. Only suffixes with as many labels, and prefixes with as many
-slashes, as some rule has are expanded, so long urls stay cheap and nothing is lost. Equal (host, path) are judged once.
+slashes, as some rule has are expanded, so long urls stay cheap and nothing is lost. Equal (host, path) are judged once; pages without a
+matching rule stay out of the join, and keys with very many rows are joined in parts.
 
-Defined results: a null url or one without `://` has an empty host and path and matches nothing; rule paths must end in
-a slash; repeated page rows are each judged; no rules: every verdict is the default; extra columns are ignored.
+Defined results: a null url or one without `://` has an empty host and path and matches nothing; very long urls are judged whole; rule paths must end in
+a slash; of rules with equal host and path the verdict that sorts last holds; repeated page rows are each judged; no rules: every verdict is the default; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_unique, saved, split, table
 
 #: (verdict, rule) of the query; a rule is host + path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -59,10 +61,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     urls = pages.where("host <> '' AND path <> ''").select("host", "path").distinct()
     expressions = urls.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(prefixes).alias("prefix"))
     expressions = expressions.select("host", "path", F.sha2(F.concat("suffix", "prefix"), 256).alias("full")).withColumn("short", F.substring("full", 1, SHORT))
-    matched = expressions.join(rules, "short").where(F.col("full") == F.col("digest"))
-    best = matched.groupBy("host", "path").agg(F.max(F.struct("rule_length", "rule", "verdict")).alias("best"))
-    found = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    out = pages.join(found, ["host", "path"], "left")
+    # Rules that share a short prefix stand in one row, so each prefix is there once.
+    known = rules.groupBy("short").agg(F.collect_list(F.struct("digest", "rule_length", "rule", "verdict")).alias("rules"))
+    matched = join_unique(expressions, saved(known, "url-rules"), "short").select("host", "path", "full", F.explode("rules").alias("r")).where("full = r.digest")
+    best = matched.groupBy("host", "path").agg(F.max(F.struct("r.rule_length", "r.rule", "r.verdict")).alias("best"))
+    # A path is empty or begins with a slash, and a host has none: joined they still tell all urls apart.
+    found = saved(best.select(F.concat("host", "path").alias("key"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-matches")
+    pages = pages.withColumn("key", F.concat("host", "path"))
+    maybe, other = split(pages, found, "key")
+    out = join_unique(maybe, found, "key", "left").unionByName(other, allowMissingColumns=True)
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 

@@ -7,8 +7,8 @@ and the others revisit it. Bundles are rows of a binary column, so any store tha
 `export` puts them out as .warc.zst files.
 
 Defined results: a null html is an empty payload; a null url has no target header; rows that repeat the id of the kept response are
-responses too; a null id revisits a kept equal payload and is a response else; an empty table gives no bundles; extra
-columns are ignored.
+responses too; a null id revisits a kept equal payload and is a response else; a payload larger than a frame is a frame of its own; an
+empty table gives no bundles; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table
+from .common import join_unique, saved, slices, split, table
 
 #: Payloads from so many bytes on are stored once.
 LEAST = 1000
@@ -115,11 +115,14 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 def annotated(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, record_type and refers_to of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    # Digests alone are shuffled to find copies; pages follow once, keyed by their ids.
-    thin = pages.where(F.octet_length("payload") >= least).select("page_id", "digest")
-    kept = thin.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 AND kept IS NOT NULL")
-    again = thin.join(kept, "digest").where("page_id IS NULL OR page_id < kept").select("page_id", "digest", "kept").distinct()
-    out = pages.join(again.select(F.col("page_id").alias("id"), F.col("digest").alias("same"), "kept"), F.expr("page_id <=> id AND digest = same"), "left")
+    # Digests alone are shuffled to find copies; of the pages, only those whose digest may be one of a copy.
+    long = F.octet_length("payload") >= least
+    kept = pages.where(long).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 AND kept IS NOT NULL")
+    kept = saved(kept.select("digest", "kept"), "warc-kept")
+    maybe, single = split(pages, kept, "digest")
+    copies = join_unique(maybe.where(long), kept, "digest", "left")
+    copies = copies.withColumn("kept", F.when(F.coalesce(F.col("page_id") < F.col("kept"), F.lit(True)), F.col("kept")))
+    out = copies.unionByName(maybe.where(~long).unionByName(single), allowMissingColumns=True)
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("kept").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("kept").alias("refers_to"))
 
 

@@ -93,6 +93,48 @@ def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" ass": 2.0, " grass ": 1.0}, (" assistant ",))
     assert [w for _, _, w in lexicon.match(" assistant ass grass class ")] == [2.0, 1.0]
     assert toxicity.Lexicon({}).match(" a ") == []
+    assert toxicity.fold("$hit @ss sh!t b!tch a8c 5lut") == " shit ass shit sh t bitch b tch abc slut "
+    assert toxicity.fold("i.d.i.o.t and i d i o t! a.b c-d-e 1.2.3.4") == " idiot and idiot a b c d e 1234 "
+    assert toxicity.fold("$100 and $5 |x| stop!") == " 100 and 5 x stop "
+
+
+def _naive_match(folded, entries, exceptions):
+    out, covered = [], -1
+    for start in range(len(folded)):
+        here = [(len(t), w) for t, w in [*entries.items(), *((t, 0.0) for t in exceptions)] if folded.startswith(t, start)]
+        if not here or start < covered:
+            continue
+        length, weight = max(here, key=lambda x: x[0])
+        if weight == 0.0:
+            covered = start + length - 1
+        else:
+            out.append((start, length, weight))
+    return out
+
+
+def test_automaton_equals_a_naive_matcher():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        words = ["".join(rng.choice(list("ab"), rng.integers(1, 5))) for _ in range(30)]
+        entries = {f" {w}" + (" " if rng.random() < 0.4 else ""): float(rng.integers(1, 9)) for w in rng.choice(words, 6)}
+        exceptions = tuple({f" {a} {b} " if rng.random() < 0.5 else f" {a} " for a, b in rng.choice(words, (3, 2))} - set(entries))
+        folded = f" {' '.join(rng.choice(words, 40))} "
+        assert toxicity.Lexicon(entries, exceptions).match(folded) == _naive_match(folded, entries, exceptions)
+
+
+def test_phrases_of_clean_rows_become_exceptions(spark):
+    """A word that is toxic but for one phrase; every learned entry is kept, however many there are."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(100)]
+    data, known = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        text = " ".join(rng.choice(words, 20)) + (" zzword now " if toxic else " zzword garden " if i % 30 == 1 else " ")
+        data.append((i, text + " ".join(rng.choice(words, 5)), None, None, None, None, None, None, None))
+        known.append((i, 1, int(toxic), None))
+    model = toxicity.fit(spark.createDataFrame(data, SCHEMA), labels(spark, known))
+    assert " zzword garden " in model.lexicon.exceptions
+    assert toxicity.signals("a zzword garden here", model.lexicon)[1] == 0 < toxicity.signals("a zzword now", model.lexicon)[1]
 
 
 # ---- 4: secrets
@@ -312,6 +354,7 @@ def test_leaks_equal_brute_force(spark):
             text = say(20) + "! " + t.upper() + ", " + say(20)
         docs.append((d, text))
         leaked.append(item)
+    docs += [(90, "Tiny!"), (91, "a tiny one")]
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     got = {(r["doc_id"], r["item_id"]) for r in found}
     want = set()
@@ -319,9 +362,11 @@ def test_leaks_equal_brute_force(spark):
         t = decontaminate.fold(text)
         for i, x in items:
             f = decontaminate.fold(x) if i is not None else b""
+            if 0 < len(f) < 8 and f == t:
+                want.add((d, i))
             if len(f) >= 8:
                 cuts = [0] if len(f) <= 96 else [*range(0, len(f) - 96, 48), len(f) - 96]
-                if any(_semi_global(f[c : c + 96], t) <= int(len(f[c : c + 96]) * decontaminate.RATE) for c in cuts):
+                if any(_semi_global(f[c : c + 96], t) <= decontaminate.budget(len(f[c : c + 96])) for c in cuts):
                     want.add((d, i))
     assert got == want and len(got) >= 20
     one = next(r for r in found if r["edits"] == 0)
@@ -349,6 +394,20 @@ def test_items_without_an_id_leak_too(spark):
         assert [r["doc_id"] for r in decontaminate.clean(docs, bench, block=block).collect()] == [2]
 
 
+def test_replaced_words_do_not_hide_a_leak(spark):
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(words, 25))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        swapped = t.split()
+        swapped[int(rng.integers(25))] = "".join(rng.choice(list("xyz"), 6))
+        docs.append((i, f"{' '.join(rng.choice(words, 30))} {' '.join(swapped)} {' '.join(rng.choice(words, 30))}"))
+    docs += [(100 + i, " ".join(rng.choice(words, 80))) for i in range(60)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(30)}
+
+
 # ---- 9: packing
 
 
