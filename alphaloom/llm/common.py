@@ -104,6 +104,14 @@ def scratch(spark: SparkSession):
         _delete(spark, _scratch.pop())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of df has."""
+    prefix = "_"
+    while any((prefix + n).lower() in {c.lower() for c in df.columns} for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 #: Bits of the map in `split`: 8 MB broadcast, whatever the number of keys.
 MAP_BITS = 1 << 26
 
@@ -114,12 +122,13 @@ def split(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataF
     A one-hash bitmap of fixed size is broadcast; with very many keys it says "may be" more often, and nothing is lost.
     """
     place = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
-    bits = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("int")).alias("_bits"))
-    seen = df.withColumn("_p", place).withColumn("_bucket", F.shiftright("_p", 15)).join(F.broadcast(bits), "_bucket", "left")
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright((F.col("_p") % 32768).cast("int"), 3) + 1), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright(_byte, CAST(_p % 8 AS INT)) & 1") == 1, F.lit(False))
-    seen = seen.withColumn("_byte", byte).withColumn("_hit", hit)
-    return seen.where("_hit").select(df.columns), seen.where("NOT _hit").select(df.columns)
+    p, bucket, bits, byte, hit = fresh(df, "place", "bucket", "bits", "byte", "hit")
+    known = keys.select(place.alias(p)).groupBy(F.shiftright(p, 15).alias(bucket)).agg(F.bitmap_construct_agg((F.col(p) % 32768).cast("int")).alias(bits))
+    seen = df.withColumn(p, place).withColumn(bucket, F.shiftright(p, 15)).join(F.broadcast(known), bucket, "left")
+    number = F.conv(F.hex(F.substring(bits, (F.shiftright((F.col(p) % 32768).cast("int"), 3) + 1), F.lit(1))), 16, 10).cast("int")
+    seen = seen.withColumn(byte, number).withColumn(hit, F.coalesce(F.expr(f"shiftright({byte}, CAST({p} % 8 AS INT)) & 1") == 1, F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return seen.where(F.col(hit)).select(columns), seen.where(~F.col(hit)).select(columns)
 
 
 #: From so many rows on a key is joined in parts, and into so many parts.
@@ -137,9 +146,10 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner"
         return rows.join(unique, key, how)
     many, few = split(rows, hot, key)
     many_of, few_of = split(unique, hot, key)
-    salted = many.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
-    repeated = many_of.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    both = salted.join(repeated, [key, "_part"], how).drop("_part")
+    (part,) = fresh(rows, "part")
+    salted = many.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    repeated = many_of.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    both = salted.join(repeated, [key, part], how).drop(part)
     return few.join(few_of, key, how).unionByName(both)
 
 

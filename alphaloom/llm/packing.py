@@ -22,8 +22,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import saved, slices, table
+from .common import fresh, saved, slices, table
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that one task ranks.
@@ -154,36 +155,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`parts` (doc_id, piece, length and whatever else) with sequence_id and offset: gapless sequences of at most `capacity` tokens."""
-    parts = saved(parts.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    names = parts.columns
+    row, salt, rank, inner, before = fresh(parts, "row", "salt", "rank", "inner", "before")
+    parts = saved(parts.withColumn(row, F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     runs, _ = plan(histogram, capacity)
     # Frequent lengths are ranked in parts: by salt within a length, then the parts one after another.
     many = [-(-histogram.get(x, 0) // RANKED) for x in range(1, capacity + 1)]
-    salts = max(many)
     number = F.element_at(F.array(*(F.lit(max(1, m)) for m in many)), F.col("length").cast("int"))
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("_row"), number))
-    if salts <= 1:
-        ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("length").orderBy("doc_id", "piece", "_row")) - 1)
-    else:
-        before = parts.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
-        inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "_row")) - 1
-        ranked = parts.withColumn("inner", inner).join(before, ["length", "salt"]).withColumn("rank", F.col("inner") + F.col("before")).drop("inner", "before")
-    ranked = ranked.drop("salt", "_row")
+    parts = parts.withColumn(salt, F.pmod(F.xxhash64(row), number))
+    first = parts.groupBy("length", salt).count().withColumn(before, F.sum("count").over(Window.partitionBy("length").orderBy(salt)) - F.col("count")).drop("count")
+    within = F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", row)) - 1
+    ranked = parts.withColumn(inner, within).join(first, ["length", salt]).select(*(F.col(f"`{c}`") for c in names), (F.col(inner) + F.col(before)).alias(rank))
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))] if len(runs) else runs
     begin = runs[:, 0] * (1 << 44) + runs[:, 1]
-    names = ranked.columns
+    at_length, last = names.index("length"), len(names)
 
     def assign(batches):
         for batch in batches:
-            length, rank = (batch.column(names.index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(begin, length.astype(np.int64) * (1 << 44) + rank, side="right") - 1
-            sequence, offset = runs[at, 3] + rank - runs[at, 1], runs[at, 4]
-            keep = [k for k, c in enumerate(names) if c != "rank"]
-            yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(sequence), pa.array(offset)], names=[*(names[k] for k in keep), "sequence_id", "offset"])
-
-    kept = [f for f in ranked.schema.fields if f.name != "rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
+            length, place = (batch.column(k).to_numpy() for k in (at_length, last))
+            at = np.searchsorted(begin, length.astype(np.int64) * (1 << 44) + place, side="right") - 1
+            sequence, offset = runs[at, 3] + place - runs[at, 1], runs[at, 4]
+            yield pa.record_batch([*batch.columns[:last], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+
+    schema = StructType([*ranked.schema.fields[:last], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.mapInArrow(assign, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -108,29 +108,28 @@ def redact(docs: DataFrame, repository: Column | None = None, owner: Column | No
     """docs with `mark` in place of every live-looking span; copied examples and all other text stay."""
     repository = F.col("doc_id") if repository is None else repository
     owner = F.col("source") if owner is None else owner
-    columns = docs.columns
     some = reduce(lambda a, b: a | b, (F.coalesce("text", F.lit("")).rlike(p) for p, _, _ in KINDS.values()))
-    held = saved(docs.where(some).select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "secret-documents")
+    # The row stands in one column, so that its names clash with none.
+    row = [F.monotonically_increasing_id().alias("row_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")]
+    held = saved(docs.where(some).select(*row, repository.cast("string").alias("repository"), owner.cast("string").alias("owner")), "secret-documents")
     # The patterns run once over a text: what certainly isn't among the held texts is clean.
-    maybe, certain = split(docs, held.select("_doc.text"), "text")
+    maybe, certain = split(docs, held.select("doc.text"), "text")
     clean = certain.union(maybe.where(~some))
-    inner = held.select(F.col("_row"), F.col("_doc.*"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = inner.select(F.col("_row").alias("row_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), *(spans_of(text, k).alias(k) for k in KINDS))
+    found = held.select("row_id", "repository", "owner", *(spans_of(F.coalesce("doc.text", F.lit("")), k).alias(k) for k in KINDS))
     found = saved(found.select("row_id", "repository", "owner", F.concat(*BASE).alias("base"), F.concat(*FURTHER).alias("further")), "secret-spans")
-    spans = judged(found, widely, spread).select(F.col("row_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
-    both = held.join(spans, "_row", "left").select("_doc.*", "_spans")
+    spans = judged(found, widely, spread).select("row_id", F.filter("spans", lambda s: s["live"]).alias("spans"))
+    both = held.select("row_id", "doc").join(spans, "row_id", "left")
 
     def step(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substr("text", (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))
-        fresh = F.struct(s["end"].alias("at"), piece.alias("out"))
+        piece = F.concat(state["out"], F.substr("doc.text", (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))
+        later = F.struct(s["end"].alias("at"), piece.alias("out"))
         longer = F.struct(F.greatest(s["end"], state["at"]).alias("at"), state["out"].alias("out"))
-        return F.when(s["start"] >= state["at"], fresh).otherwise(longer)
+        return F.when(s["start"] >= state["at"], later).otherwise(longer)
 
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substr("text", (s["at"] + 1).cast("int")))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, rest)).otherwise(F.col("text"))
-    return clean.union(both.withColumn("text", text).select(*columns))
+    rest = lambda s: F.concat(s["out"], F.substr("doc.text", (s["at"] + 1).cast("int")))
+    text = F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, rest)).otherwise(F.col("doc.text"))
+    return clean.union(both.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns)))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """The corpus pipeline: stages against what their operators say, and odd rows."""
 
 import collections
+import math
+import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, ngram_join, queries, toxicity
+from alphaloom.llm import decontaminate, ngram_join, queries, secret_scan, toxicity
 
 
 def test_stages_take_effect(spark, sf):
@@ -108,3 +111,123 @@ def test_rows_of_one_doc_id_with_unlike_texts(spark, sf):
     assert got == sorted([(5, 5, 2), (5, 5, 2), (5, 5, 2), (7, 5, 2), (8, 5, 2), (9, 9, 0), (9, 5, 2), (4, 4, 1), (4, 4, 1), (4, 4, 0)])
     left = [tuple(r) for r in corpus_pipeline.deduplicated(spark, docs, sf).collect()]
     assert sorted((i, t.removesuffix(" end")) for i, t in left) == sorted([(5, say(1)), (5, say(2)), (9, say(3)), (4, say(4)), (4, "")])
+
+
+def _groups(n, linked):
+    low = list(range(n))
+    for _ in range(n):
+        for i, j in linked:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+def _brute_pipeline(spark, docs, labels, items):
+    """The rows that are packed, worked out pair by pair and pattern by pattern: {doc_id: text}."""
+    from test_documents import _naive_match, _semi_global
+
+    # 1. Every entry tried at every place; the learned weights and curve are the model's.
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    left = {}
+    for i, text, _, source, _ in docs:
+        folded = toxicity.fold(text)
+        weights = [w for _, _, w in _naive_match(folded, model.lexicon.entries, model.lexicon.exceptions)]
+        n, total = max(1, len(folded.split())), sum(weights)
+        x = [math.log1p(max(0.0, total)), max(weights, default=0.0), 100 * total / (n + 20), math.log1p(len(weights)), total / math.sqrt(n + 20), math.log1p(n)]
+        if model.score(np.array([x]))[0] < 0.3:
+            left[i] = text, source
+    # 2. All pairs of sets of five words.
+    ids = sorted(left)
+    cut = lambda w: set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()
+    sets = [cut((left[i][0] or "").lower().split()) for i in ids]
+    low = _groups(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    left = {i: left[i] for k, i in enumerate(ids) if low[k] == k}
+    # 3. Every window of every item against every whole text.
+    windows = []
+    for _, t in items:
+        f = decontaminate.fold(t)
+        windows += [f[c : c + 96] for c in ([0] if len(f) <= 96 else [*range(0, len(f) - 96, 48), len(f) - 96])]
+    left = {i: v for i, v in left.items() if not any(_semi_global(w, decontaminate.fold(v[0])) <= decontaminate.budget(len(w)) for w in windows)}
+    # 4. Owners and repositories of every value, then the live-looking spans.
+    spans, owners, holders = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for i, (text, source) in left.items():
+        found = []
+        for pattern, group, least in secret_scan.KINDS.values():
+            for m in re.finditer(pattern, text or "", re.ASCII):
+                secret = m[0] if pattern == secret_scan.KINDS["upper"][0] else m[group]
+                if len(secret) >= least:
+                    found.append((m.start(), m.end(), secret))
+                    owners[secret].add(source if source is not None else f"row {i}")
+                    holders[secret].add(i)
+        spans[i] = found
+    live = lambda s: len(owners[s]) < 4 and (len(owners[s]) < 2 or len(holders[s]) < 50)
+    out = {}
+    for i, (text, _) in left.items():
+        at, made = 0, ""
+        for start, end, secret in sorted(spans[i]):
+            if live(secret):
+                if start >= at:
+                    made += text[at:start] + "[secret]"
+                at = max(at, end)
+        out[i] = made + (text or "")[at:]
+    return out
+
+
+def test_run_equals_a_brute_force_pipeline(spark, tmp_path):
+    import pandas as pd
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    items = [(i, say(22)) for i in range(4)]
+    shared = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
+    docs = []
+    for i in range(110):
+        text = say(int(rng.integers(5, 60)))
+        if i % 5 == 1:
+            text += " you zzvile thing " + say(3)
+        if i % 9 == 4:
+            near = docs[-1][1].split()
+            near[len(near) // 2 :][:1] = ["changed"]
+            text = " ".join(near)
+        if i % 13 == 6:
+            text = say(10) + ". " + items[i % 4][1].title() + " " + say(5)
+        if i % 11 == 7:
+            text += f" token = {''.join(rng.choice(list('abcdef'), 12))} "
+        if i % 7 == 3:
+            text += f" see {shared}."
+        docs.append((i, text, None, f"s{i % 6}" if i % 10 else None, len(text)))
+    docs += [(200, None, None, None, None), (201, "", None, "s1", 0), (202, "long " * 9000, None, "s2", None)]
+    labels = [(i, 1, int(i % 5 == 1 and "zzvile" in docs[i][1])) for i in range(110)]
+    for name, rows, columns in (("documents", docs, ["doc_id", "text", "lang", "source", "n_chars"]), ("labels", labels, ["doc_id", "quality", "toxic"]), ("benchmark", items, ["item_id", "text"])):
+        pd.DataFrame(rows, columns=columns).astype({"n_chars": "Int64", "lang": "string"} if name == "documents" else {}).to_parquet(tmp_path / f"{name}.parquet")
+    want = _brute_pipeline(spark, docs, labels, items)
+    assert 40 < len(want) < 100 and any("[secret]" in t for t in want.values())
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = []
+    for i, text in want.items():
+        ids = np.array(slow.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        pieces += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(pieces)
+    used = collections.defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in used.values():
+        assert [o for o, _ in sorted(spans)] == np.cumsum([0, *(n for _, n in sorted(spans))])[:-1].tolist() and sum(n for _, n in spans) <= 2048
+    assert len(used) == -(-sum(p[3] for p in pieces) // 2048)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, set_id long, row_id long, doc long, _place string, score double, keys array<long>, key string, count long, label int"
+    rows = [(1, "one two three four five six", None, "s", 27, 9, 9, 9, "x", 0.5, [1], "k", 4, 1), (2, "One two three four five six", None, "s", 27, 8, 8, 8, "x", 0.5, [1], "k", 4, 0), (3, "w " * 300_000, None, None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).where("doc_id = 3").count() > 100
