@@ -3,6 +3,11 @@
 Toxic documents go, one document of each group of near-duplicates stays, documents that leak a benchmark item go,
 live-looking secrets are masked in the texts, and what is left is packed into training sequences. All stages but the last
 return the columns of documents.
+
+Defined results: documents with a null or empty text are clean, have no duplicates, leak nothing and hold no secret, so they are kept and packed as one
+end token; rows without a doc_id are kept unless they are toxic or leak, and of rows that repeat a doc_id and are linked one stays; very long
+texts are read whole in every stage; of a group the smallest doc_id stays; an empty table packs into nothing; further columns, whatever
+their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -64,14 +69,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: Learned scores, tries and byte-level tokens can't be expressed in SQL; tests/llm holds run() against brute force.
+#: Learned scores, tries and byte-level tokens can't be expressed in SQL; tests/llm holds run() against a brute-force pipeline.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written to the shared folder, read again, and deleted when the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         with common.scratch(spark):
             docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            common.discard(spark, f"pipeline-{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
