@@ -11,7 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .expr import Node, call, col, finite, node, when, with_formulas
+from ..operators.collect import with_vwap
+from .expr import Node, call, col, finite, node, when
+from .kernel import with_kernels
 
 
 class ExpressionError(ValueError):
@@ -201,4 +203,6 @@ def compute(panel: DataFrame, document: dict, keep: tuple[str, ...] = ("symbol",
     absent = set(summary(list(trees.values()))["columns"]) - set(panel.columns) - {"vwap"}
     if absent:
         raise ExpressionError(f"unknown columns: {', '.join(sorted(absent))}")
-    return with_formulas(panel, {k: formula(t) for k, t in trees.items()}, keep=list(keep))
+    if "vwap" not in panel.columns and any("vwap" in summary([t])["columns"] for t in trees.values()):
+        panel = with_vwap(panel)
+    return with_kernels(panel, {k: formula(t) for k, t in trees.items()}, keep=list(keep))

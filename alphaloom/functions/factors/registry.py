@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..expr import Node, with_formulas
+from ...operators.collect import with_vwap
+from ..expr import Node
 from ..kernel import with_kernels
 from . import alpha158, provider, purified, technical, temporal
 
-#: So many factors are made by kernels.
-MANY = 60
 #: Dropped name -> the one that is kept for it.
 DUPLICATES = {
     **{f"TEMP_rsv_{w}": f"RSV{w}" for w in alpha158.WINDOWS}, **{f"TEMP_corr_cv_{w}": f"CORR{w}" for w in alpha158.WINDOWS},
@@ -30,32 +29,20 @@ def registry(provider_source: bool = True, canonicalize: bool = True) -> dict[st
     return {k: x for k, x in out.items() if k not in DUPLICATES} if canonicalize else out
 
 
-def generate(panel: DataFrame, names: list[str] | None = None, provider_source: bool = True, keep: tuple[str, ...] = ("symbol", "date"), engine: str = "auto") -> DataFrame:
-    """The panel's keys and the named factors (all by default) as FLOAT columns. Absent source columns count as missing.
-
-    Engine "sql" makes them with window functions, "arrow" with the numpy kernels over Arrow batches; both deal the panel by
-    symbol once and agree. "auto" takes the kernels from MANY factors on, where sliding SQL frames cost several times as much.
-    """
+def generate(panel: DataFrame, names: list[str] | None = None, provider_source: bool = True, keep: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """The panel's keys and the named factors (all by default) as FLOAT columns, by the numpy kernels. Absent source columns count as missing."""
     known = registry(provider_source)
     wanted = list(known) if names is None else canonical(names)
     missing = [n for n in wanted if n not in known]
     if missing:
         raise ValueError(f"unknown factors: {', '.join(missing)}")
-    kernels = engine == "arrow" or (engine == "auto" and len(wanted) >= MANY)
-    if kernels:
-        known |= {f"TECH_{k}": x for k, x in technical.recursive().items()}
     have = set(panel.columns)
-    needed = {a for n in wanted for a in sources(known[n])} - set(technical.SMOOTHED)
+    needed = {a for n in wanted for a in sources(known[n])}
     if "vwap" in needed and "vwap" not in have:
-        panel = panel.withColumn("vwap", F.when(F.col("volume") != 0, F.col("amount") / F.col("volume")))
+        panel = with_vwap(panel)
         have.add("vwap")
     panel = panel.withColumns({c: F.lit(None).cast("double") for c in sorted(needed - have)}) if needed - have else panel
-    formulas = {n: known[n] for n in wanted}
-    if any(a in technical.SMOOTHED for n in wanted for a in sources(known[n])):
-        panel = technical.with_smoothing(panel)
-    if kernels:
-        return with_kernels(panel, formulas, keep=list(keep), floats=True)
-    return with_formulas(panel, formulas, keep=list(keep)).select(*keep, *(F.col(n).cast("float") for n in wanted))
+    return with_kernels(panel, {n: known[n] for n in wanted}, keep=list(keep), floats=True)
 
 
 def sources(n: Node) -> set[str]:

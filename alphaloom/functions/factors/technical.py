@@ -1,69 +1,15 @@
-"""Technical indicators. Those that smooth recursively read columns that `with_smoothing` has added first."""
+"""Technical indicators: those that smooth recursively, which only the kernels know, and those over windows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..expr import EPS, Node, call, col, fill, flag, when
 
 RSI = (6, 14, 24)
 SMOOTHED = ["macd_line_12_26_9", "macd_signal_12_26_9", "macd_hist_12_26_9", *(f"rsi_{n}" for n in RSI), "adx_14", "plus_di_14", "minus_di_14", "trix_15", "trix_signal_15_9", "trix_hist_15_9"]
 
 
-def smooth(x: pd.Series, alpha: float, least: int) -> pd.Series:
-    """Recursive mean seeded with the first observed value; missing rows stay missing and do not decay it."""
-    return x.ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean().where(x.notna())
-
-
-def span(x: pd.Series, n: int) -> pd.Series:
-    return smooth(x, 2 / (n + 1), n)
-
-
-def smoothed(bars: pd.DataFrame) -> pd.DataFrame:
-    """The recursive indicators of one symbol's bars in date order."""
-    c, h, l = bars["close"], bars["high"], bars["low"]
-    out = {}
-    line = span(c, 12) - span(c, 26)
-    signal = span(line, 9)
-    out["macd_line_12_26_9"], out["macd_signal_12_26_9"], out["macd_hist_12_26_9"] = line, signal, line - signal
-    move = c.diff()
-    for n in RSI:
-        gain, loss = smooth(move.clip(lower=0), 1 / n, n), smooth((-move).clip(lower=0), 1 / n, n)
-        no_gain, no_loss = ~(gain > EPS), ~(loss > EPS)
-        out[f"rsi_{n}"] = (100 - 100 / (1 + gain / (loss + EPS))).where(~no_loss, 100.0).where(~(no_gain & no_loss), 50.0)
-    up, down = h.diff(), -l.diff()
-    plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-    c1 = c.shift(1)
-    span_ = pd.concat([(h - l).abs(), (h - c1).abs(), (l - c1).abs()], axis=1).max(axis=1)
-    width = smooth(span_, 1 / 14, 14)
-    p, m = (100 * smooth(x, 1 / 14, 14) / (width + EPS) for x in (plus, minus))
-    out["adx_14"], out["plus_di_14"], out["minus_di_14"] = smooth(100 * (p - m).abs() / (p + m + EPS), 1 / 14, 14), p, m
-    third = span(span(span(c, 15), 15), 15)
-    trix = (third / third.shift(1) - 1) * 100
-    signal = span(trix, 9)
-    out["trix_15"], out["trix_signal_15_9"], out["trix_hist_15_9"] = trix, signal, trix - signal
-    return pd.DataFrame(out)
-
-
-def with_smoothing(panel: DataFrame, by: str = "symbol", order: str = "date") -> DataFrame:
-    """The panel with the recursive indicators; a symbol's bars are a group (one row a date), so groups stay small."""
-    names = panel.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema.fields), *(f"{c} double" for c in SMOOTHED)])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        made = smoothed(group[["close", "high", "low"]].astype(float))
-        return pd.concat([group[names], made.replace([np.inf, -np.inf], np.nan)], axis=1)
-
-    out = panel.groupBy(by).applyInPandas(run, schema)
-    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in SMOOTHED})
-
-
 def recursive() -> dict[str, Node]:
-    """The recursive indicators as formulas, for the Arrow kernels; SQL windows have no recursion."""
+    """The recursive indicators; SQL windows have no recursion. A mean is seeded with the first observed value, and missing rows stay missing and don't decay it."""
     h, l, c = map(col, ("high", "low", "close"))
     ewm = lambda x, alpha, least: Node("ewm", x, alpha, least)
     by_span = lambda x, n: ewm(x, 2 / (n + 1), n)
@@ -110,4 +56,4 @@ def windowed() -> dict[str, Node]:
 
 
 def factors() -> dict[str, Node]:
-    return {f"TECH_{k}": x for k, x in ({c: col(c) for c in SMOOTHED} | windowed()).items()}
+    return {f"TECH_{k}": x for k, x in (recursive() | windowed()).items()}

@@ -1,8 +1,8 @@
-"""The same formulas on Arrow batches of whole symbols, for stores of hundreds of factors.
+"""Formulas on Arrow batches of whole symbols: what makes factors, one or all of them.
 
 A sliding SQL frame is aggregated anew for each row and function, one value at a time. Here a rolling function is one numpy expression over
 all rows of a batch: frames are strided views of the concatenated symbols, cut off where a symbol begins. Formulas, order of rows and
-results are those of `with_formulas`; tests hold the two against each other. A handful of factors is better off in SQL.
+results are those of `with_formulas`, which tests hold against it; labels and the few lags that other operators need are made by SQL windows.
 """
 
 from __future__ import annotations

@@ -100,12 +100,6 @@ def latest_open(calendar: DataFrame, target: str, fresh: int = 40) -> date:
     return last
 
 
-def role(metrics: dict, gates: dict[str, float]) -> str:
-    """champion if all gates hold, challenger if most do, else archive."""
-    held = [metrics.get(k) is not None and metrics[k] >= v for k, v in gates.items()]
-    return "champion" if all(held) else "challenger" if sum(held) * 2 > len(held) else "archive"
-
-
 def yearly_risk(daily: DataFrame, keys: tuple[str, ...] = ("run",), date_column: str = "date", value: str = "net_return") -> DataFrame:
     """Per run and year: return, volatility, worst day and deepest drawdown within the year."""
     from .metrics import YEAR, compounded, with_nav

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import keep_last
 
-__all__ = ["adjusted", "bucket_of", "chunks", "daily_sanitized", "exchange_code", "keep_last", "lifecycle", "numeric", "parsed_date", "pending", "six_digits", "universe_records", "valuation_sanitized", "with_vwap"]
+__all__ = ["adjusted", "backfilled", "bucket_of", "chunks", "complete", "daily_sanitized", "effective_end", "exchange_code", "keep_last", "lifecycle", "numeric", "parsed_date", "pending", "six_digits", "split_pending", "universe_records", "valuation_sanitized", "with_vwap"]
 
 #: Shards of a bucket store.
 BUCKETS = 128
@@ -43,6 +45,8 @@ def with_vwap(df: DataFrame) -> DataFrame:
     """vwap: the column if there is one, else amount / volume, or the close where that says nothing."""
     if "vwap" in df.columns:
         return df
+    if "amount" not in df.columns:
+        return df.withColumn("vwap", F.col("close"))
     ratio = F.col("amount") / F.when(F.col("volume") != 0, F.col("volume"))
     return df.withColumn("vwap", F.coalesce(F.when(F.abs(ratio) < float("inf"), ratio), F.col("close")))
 
@@ -97,23 +101,64 @@ def with_valuation(daily: DataFrame, valuation: DataFrame, keys: tuple[str, ...]
     return daily.join(v, list(keys), "left").withColumn("close", F.coalesce("close", "_close")).drop("_close")
 
 
-def lifecycle(df: DataFrame, target: Column) -> Column:
-    """not_yet_listed, delisted, suspended or active on a target date, of list_date, delist_date and last_trade."""
+#: First date that price limits are published for (fixed value).
+LIMITS_FROM = "2007-01-04"
+
+
+def lifecycle(target: Column) -> Column:
+    """not_yet_listed, delisted, suspended or active on a target date, of list_status, list_date, delist_date, last_trade, last_factor and last_limit.
+
+    Delisted takes the status D as well as the date. Suspended is who no longer trades while the adjustment factors go on to the target, and
+    so do the limits where there are any yet; data that is merely late leaves a symbol active.
+    """
+    reaches = lambda c: F.coalesce(F.col(c) >= target, F.lit(False))
+    limits = (target < F.lit(LIMITS_FROM).cast("date")) | reaches("last_limit")
     return (
-        F.when(F.col("list_date") > target, "not_yet_listed").when(F.col("delist_date").isNotNull() & (F.col("delist_date") <= target), "delisted")
-        .when(F.col("last_trade").isNotNull() & (F.col("last_trade") < target), "suspended").otherwise("active")
+        F.when(F.col("list_date") > target, "not_yet_listed").when((F.col("list_status") == "D") & (F.col("delist_date") <= target), "delisted")
+        .when((F.col("last_trade") < target) & reaches("last_factor") & limits, "suspended").otherwise("active")
     )
 
 
 def effective_end(status: Column, target: Column) -> Column:
     """Date up to which a symbol can have data."""
-    return F.when(status == "delisted", F.least("delist_date", F.coalesce("last_trade", "delist_date"))).when(status == "suspended", F.col("last_trade")).otherwise(target)
+    return F.when(status == "delisted", F.least("delist_date", "last_trade")).when(status == "suspended", F.col("last_trade")).otherwise(target)
+
+
+def backfilled(expected: Column, earliest: Column, exhausted: Column) -> Column:
+    """Whether a stage's history is as long as it can be: none is expected, it begins in time, or the provider was found exhausted for just this start."""
+    return F.coalesce(expected.isNull() | (earliest <= expected), F.lit(False)) | F.coalesce(exhausted == expected, F.lit(False))
+
+
+#: Stages that every symbol must have (fixed values).
+STAGES = ("daily", "daily_basic", "adj_factor")
+
+
+def complete(target: Column, expected: Column | None = None) -> Column:
+    """Whether a symbol's stages hold all there is, of {stage}_latest and {stage}_earliest of the stages, stk_limit_latest and processed_latest.
+
+    All stages must reach the target, limits too where there are any yet, and the processed bars must reach the daily ones. With an
+    expected start the stages must begin by it, or be known as ready ({stage}_ready).
+    """
+    reaches = lambda c: F.coalesce(F.col(c) >= target, F.lit(False))
+    out = reduce(lambda a, b: a & b, (reaches(f"{s}_latest") for s in STAGES)) & ((target < F.lit(LIMITS_FROM).cast("date")) | reaches("stk_limit_latest"))
+    out = out & F.coalesce(F.col("processed_latest") >= F.col("daily_latest"), F.lit(False))
+    if expected is not None:
+        begins = lambda s: F.coalesce(F.col(f"{s}_earliest") <= expected, F.lit(False)) | F.coalesce(F.col(f"{s}_ready"), F.lit(False))
+        out = out & (expected.isNull() | reduce(lambda a, b: a & b, map(begins, STAGES)))
+    return out
+
+
+def split_pending(symbols: DataFrame, target: Column, expected: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pending, completed) symbols of a table with status, effective_end and what `complete` reads; those not yet listed have nothing to collect."""
+    done = F.coalesce(F.col("status") == "not_yet_listed", F.lit(False)) | complete(F.least("effective_end", target), expected)
+    return symbols.where(~done), symbols.where(done)
 
 
 def pending(symbols: DataFrame, manifest: DataFrame, target: Column) -> DataFrame:
-    """Symbols whose stored data ends before the target; those not yet listed are complete."""
+    """Symbols whose stored data (max_date of a store's manifest) ends before their effective end; those not yet listed are complete."""
     out = symbols.join(manifest.select("symbol", "max_date"), "symbol", "left")
-    return out.where((F.coalesce("status", F.lit("active")) != "not_yet_listed") & (F.col("max_date").isNull() | (F.col("max_date") < target)))
+    end = F.least("effective_end", target) if "effective_end" in symbols.columns else target
+    return out.where((F.coalesce("status", F.lit("active")) != "not_yet_listed") & (F.col("max_date").isNull() | (F.col("max_date") < end)))
 
 
 def chunks(start: Column, end: Column, years: int = 12) -> Column:

@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from .crosssection import average_rank, observed, quantile_bin
 
 #: Features that one unpivot carries; more are done in chunks, to bound the growth of rows.
 CHUNK = 64
-_PREFIXES = [  # fixed values: first match names the group
-    ("TS_latest_", "latest_snapshot"), ("TS_sem_", "semantic"), ("TS_stock_vs_industry_", "industry_relative"), ("TS_industry_", "industry"), ("TS_fi_", "fundamental"), ("TS_fc_", "forecast"), ("TS_exp_", "express"),
-    ("TS_dividend_", "dividend"), ("TS_", "provider"), ("LGBM_", "purified"), ("TECH_", "technical"), ("TEMP_", "temporal"),
-]
+# The group of a feature by what its name begins with or holds ("~"), provider features first without their TS_; the first match holds.
+_PROVIDER = [
+    ("tushare_semantic_alpha", ["sem_"]),
+    ("tushare_industry", ["industry_", "stock_vs_industry", "stock_industry", "stock_relative_strength"]),
+    ("tushare_financial_quality", ["fi_", *(f"latest_{x}" for x in ("eps", "dt_eps", "bps", "ocfps", "roe", "roa", "grossprofit", "netprofit", "debt", "q_", "tr_", "or_", "op_", "ocf"))]),
+    ("tushare_event_forecast_express", ["fc_", "exp_", "latest_fc", "latest_exp"]),
+    ("tushare_limit_state", ["~limit", "gap_", "hit_", "near_", "days_since_last"]),
+    ("tushare_flow_liquidity", ["~turnover", "~amihud", "free_", "volume_ratio", "downside_"]),
+    ("tushare_valuation_dividend", ["ep", "sp", "bp", "dividend", "latest_div", "has_dividend", "has_stock_dividend"]),
+]
+_OTHERS = [("lgbm_purified", ["LGBM_"]), ("temporal", ["TEMP_"]), ("technical", ["TECH_"]), ("alpha360", ["A360_"])]
+
+
+def _grouped(name: Column, groups: list, rest: str) -> Column:
+    fits = lambda p: name.contains(p[1:]) if p.startswith("~") else name.startswith(p)
+    return reduce(lambda out, g: F.when(reduce(lambda a, b: a | b, map(fits, g[1])), g[0]).otherwise(out), reversed(groups), F.lit(rest))
 
 
 def feature_group(name: Column) -> Column:
-    return reduce(lambda rest, p: F.when(name.startswith(p[0]), p[1]).otherwise(rest), reversed(_PREFIXES), F.lit("alpha158"))
+    """The group that a feature's name says it belongs to."""
+    return F.when(name.startswith("TS_"), _grouped(F.substr(name, F.lit(4)), _PROVIDER, "tushare_other")).otherwise(_grouped(name, _OTHERS, "alpha158"))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -78,12 +95,105 @@ def icir(x: str) -> Column:
     return F.when(F.stddev_samp(x) > 1e-8, F.avg(x) / F.stddev_samp(x))
 
 
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks from 1."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    run = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
+    often = np.bincount(run)
+    out = np.empty(len(v))
+    out[order] = (np.cumsum(often) - (often - 1) / 2)[run]
+    return out
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """As `correlation`; NaN where that is missing."""
+    if len(x) < 2 or x.min() == x.max() or y.min() == y.max():
+        return np.nan
+    a, b = x - x.mean(), y - y.mean()
+    return round(float(np.clip(a @ b / np.sqrt((a @ a) * (b @ b)), -1, 1)), 12)
+
+
+def daily_shapes(df: DataFrame, features: list[str], bins: int = 5, keys: tuple[str, ...] = (), label: str = "label") -> DataFrame:
+    """What `daily_ic` and `daily_spread` give, side by side: a row for each feature and date (and keys).
+
+    A date's rows come together once and wide, as Arrow batches, whatever the number of features; spread, monotonicity and
+    varied_y are missing where there are no buckets.
+    """
+    by = [*keys, "date"]
+    source = df.select(*by, observed(label).cast("double").alias("_y"), *(observed(f).cast("double").alias(f"_x{k}") for k, f in enumerate(features)))
+    names = pa.array(features)
+    kinds = [source.schema[c] for c in by]
+    schema = StructType([*kinds, StructField("feature", StringType()), *(StructField(c, LongType()) for c in ("rows", "n")), *(StructField(c, DoubleType()) for c in ("ic", "rank_ic", "spread", "monotonicity")), StructField("varied_y", BooleanType())])
+
+    def one(part: pa.Table) -> pa.RecordBatch:
+        y = part.column(len(by)).to_numpy()
+        out = []
+        for k in range(len(features)):
+            x = part.column(len(by) + 1 + k).to_numpy()
+            both = ~(np.isnan(x) | np.isnan(y))
+            a, b = x[both], y[both]
+            n = len(a)
+            ic = rank_ic = spread = shape = np.nan
+            varied = None
+            if n:
+                r = _ranks(a)
+                ic, rank_ic = _correlation(a, b), _correlation(r, _ranks(b))
+                if np.isnan(ic) or np.isnan(rank_ic):
+                    ic = rank_ic = np.nan
+                if n >= bins and a.min() < a.max():
+                    bucket = np.clip(np.floor(r / n * bins - 1e-12), 0, bins - 1).astype(int)
+                    often, total = np.bincount(bucket, minlength=bins), np.bincount(bucket, b, minlength=bins)
+                    held = np.flatnonzero(often)
+                    means = total[held] / often[held]
+                    if len(held) > 1:
+                        spread, shape, varied = means[-1] - means[0], _correlation(_ranks(held.astype(float)), _ranks(means)), bool(b.min() < b.max())
+            out.append((part.num_rows, n, ic, rank_ic, spread, shape, varied))
+        columns = list(zip(*out))
+        first = part.slice(0, 1)
+        ids = [pa.concat_arrays([first.column(k).chunk(0)] * len(features)) for k in range(len(by))]
+        doubles = [pa.array(c, pa.float64(), from_pandas=True) for c in columns[2:6]]
+        return pa.record_batch([*ids, names, pa.array(columns[0]), pa.array(columns[1]), *doubles, pa.array(columns[6], pa.bool_())], names=schema.names)
+
+    def run(batches):
+        """Dates are kept whole: the last of a batch waits for the next."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            change = np.zeros(table.num_rows, bool)
+            for k in range(len(by)):
+                c = table.column(k).chunk(0)
+                change[1:] |= pc.invert(pc.equal(pc.fill_null(c[1:].cast(pa.string()), ""), pc.fill_null(c[:-1].cast(pa.string()), ""))).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(change).tolist()]
+            for a, b in zip(starts, starts[1:]):
+                yield one(table.slice(a, b - a).combine_chunks())
+            held = table.slice(starts[-1]).combine_chunks().to_batches()
+        if held:
+            yield one(pa.Table.from_batches(held).combine_chunks())
+
+    return source.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def wide_summary(df: DataFrame, features: list[str], bins: int = 5, keys: tuple[str, ...] = (), label: str = "label") -> DataFrame:
+    """`summary` of many features of a wide frame, in one pass by date."""
+    shapes = daily_shapes(df, features, bins, keys, label)
+    if keys:
+        shapes = shapes.withColumn("feature", F.concat_ws("\x01", *keys, "feature"))
+    return _summarised(shapes, shapes.where("spread IS NOT NULL"), keys)
+
+
 def summary(long: DataFrame, bins: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """The 28 metrics of each feature (within each segment, if `keys` names one)."""
     if keys:
         long = long.withColumn("feature", F.concat_ws("\x01", *keys, "feature"))
-    daily = daily_ic(long)
-    spread = daily_spread(bucket_returns(long, bins)).where("varied_y AND monotonicity IS NOT NULL")
+    return _summarised(daily_ic(long), daily_spread(bucket_returns(long, bins)), keys)
+
+
+def _summarised(daily: DataFrame, spread: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    spread = spread.where("varied_y AND monotonicity IS NOT NULL")
     base = daily.groupBy("feature").agg(
         F.sum("rows").alias("observation_count"), F.sum("n").alias("valid_observation_count"), F.avg(F.col("n") / F.col("rows")).alias("avg_daily_coverage_pct"),
         F.count("*").alias("date_count"), F.count("ic").alias("effective_date_count"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), icir("ic").alias("ic_ir"),
@@ -113,8 +223,9 @@ def summary(long: DataFrame, bins: int = 5, keys: tuple[str, ...] = ()) -> DataF
 
 def segment_summaries(long: DataFrame, segments: DataFrame, bins: int = 5) -> DataFrame:
     """`summary` within each date segment (segment, start, end)."""
-    inside = long.join(segments, (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))).drop("start", "end")
-    return summary(inside, bins, ("segment",))
+    from .joins import days_of
+
+    return summary(long.join(days_of(segments, "start", "end"), "date"), bins, ("segment",))
 
 
 def segment_comparison(by_segment: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import Node, call, col, finite, when, with_formulas
 from .crosssection import observed
-from .joins import as_of
+from .joins import calendar
 
 #: Rolling windows of returns, and of the other means.
 WINDOWS, MEANS = (5, 20, 60), (20, 60)
@@ -51,6 +51,15 @@ def rolling(context: DataFrame, means: tuple[str, ...] = ()) -> DataFrame:
 
 
 def with_context(panel: DataFrame, context: DataFrame) -> DataFrame:
-    """The panel with the latest context row of each symbol's industry, of the same date or before."""
+    """The panel with the latest context row of each symbol's industry, of the same date or before.
+
+    The context is small (industries by dates): it is carried on over the calendar of both frames, and the panel joins it by
+    date and industry, so no task holds the members of an industry.
+    """
     values = [c for c in context.columns if c not in ("date", "industry")]
-    return as_of(panel, context.withColumnRenamed("date", "_on"), by="industry", on="date", event_date="_on", strict=False, values=values)
+    days = calendar(panel.select("date").union(context.select("date")))
+    axes = context.select("industry").distinct().withColumn("date", F.explode(days))
+    known = axes.join(context.withColumn("_known", F.struct(*values)).select("date", "industry", "_known"), ["date", "industry"], "left")
+    w = Window.partitionBy("industry").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    carried = known.withColumn("_known", F.last("_known", ignorenulls=True).over(w)).where("_known IS NOT NULL")
+    return panel.join(carried, ["date", "industry"], "left").select(*panel.columns, *(F.col(f"_known.{c}").alias(c) for c in values))

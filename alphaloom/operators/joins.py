@@ -63,10 +63,15 @@ def shared_axes(*frames: DataFrame, date: str = "date", instrument: str = "instr
     return out
 
 
+def calendar(frame: DataFrame, date: str = "date") -> Column:
+    """All dates of a frame in order, as an array: a scalar subquery. A calendar has a row per trading date, whatever the frame's size."""
+    return frame.agg(F.array_sort(F.collect_set(date))).scalar()
+
+
 def dense(frame: DataFrame, value: str = "score", date: str = "date", instrument: str = "instrument") -> DataFrame:
-    """A row for each of the frame's dates and instruments; only for matrices that must be dense."""
-    axes = frame.select(date).distinct().join(frame.select(instrument).distinct(), how="cross")
-    return axes.join(frame.select(date, instrument, value), [date, instrument], "left")
+    """A row for each of the frame's dates and instruments; only for matrices that must be dense. The calendar is unfolded for each instrument: no product of tables."""
+    axes = frame.select(instrument).distinct().withColumn(date, F.explode(calendar(frame, date)))
+    return axes.join(frame.select(date, instrument, value), [date, instrument], "left").select(date, instrument, value)
 
 
 def aligned(dates: DataFrame, series: DataFrame, value: str, fill: float = 0.0, date: str = "date") -> DataFrame:
@@ -74,15 +79,19 @@ def aligned(dates: DataFrame, series: DataFrame, value: str, fill: float = 0.0,
     return dates.join(series.select(date, value), date, "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
+def days_of(spans: DataFrame, start: str, end: str, date: str = "date") -> DataFrame:
+    """spans with a row for each day from start to end: ranges of dates become an equi-join on the day."""
+    return spans.withColumn(date, F.explode(F.sequence(start, end))).drop(start, end)
+
+
 def windows_of(rows: DataFrame, windows: DataFrame, date: str = "date") -> DataFrame:
     """Rows in the train, valid or test span of each rolling window: window_id and part. Windows overlap, so rows may repeat."""
-    spans = [windows.select("window_id", F.lit(p).alias("part"), F.col(f"{p}_start").alias("_a"), F.col(f"{p}_end").alias("_b")) for p in ("train", "valid", "test")]
-    w = reduce(DataFrame.union, spans)
-    return rows.join(w, (F.col(date) >= F.col("_a")) & (F.col(date) <= F.col("_b"))).drop("_a", "_b")
+    spans = F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").alias("a"), F.col(f"{p}_end").alias("b")) for p in ("train", "valid", "test")))
+    long = windows.select("window_id", F.explode(spans).alias("s")).select("window_id", "s.part", "s.a", "s.b")
+    return rows.join(days_of(long, "a", "b", date), date)
 
 
 def metric_of_date(dates: DataFrame, records: DataFrame, date: str = "date") -> DataFrame:
     """Each date with the metric of the last record (by record_no) whose span [start, end] holds it."""
-    hit = dates.join(records, (F.col(date) >= F.col("start")) & (F.col(date) <= F.col("end")))
-    found = hit.groupBy(date).agg(F.max_by("metric", "record_no").alias("metric"))
-    return dates.join(found, date, "left")
+    days = days_of(records.select("record_no", "metric", "start", "end"), "start", "end", date)
+    return dates.join(days.groupBy(date).agg(F.max_by("metric", "record_no").alias("metric")), date, "left")

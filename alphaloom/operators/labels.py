@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,10 @@ def forward_return(h: int, cap: float = CAP, traded: tuple[str, ...] = ("volume"
 
 
 def labelled(panel: DataFrame, hs: list[int], cap: float = CAP) -> DataFrame:
-    """The panel with label (one step) and label_{h}d of each horizon."""
+    """The panel with label (one step) and label_{h}d of each horizon, stored in single precision."""
     traded = tuple(c for c in ("volume", "amount") if c in panel.columns)
-    return with_formulas(panel, {"label": forward_return(1, cap, traded)} | {f"label_{h}d": forward_return(h, cap, traded) for h in hs})
+    formulas = {"label": forward_return(1, cap, traded)} | {f"label_{h}d": forward_return(h, cap, traded) for h in hs}
+    return with_formulas(panel, formulas).withColumns({n: F.col(n).cast("float") for n in formulas})
 
 
 def industry_excess(df: DataFrame, column: str = "label", threshold: float = 0.0, out: str = "label", date: str = "date") -> DataFrame:
@@ -68,7 +71,8 @@ def neutral(df: DataFrame, features: list[str], date: str = "date") -> DataFrame
 
 
 def opportunity_label(edge: Column) -> Column:
-    return F.when(edge > 0, F.lit(1.0)).when(edge <= 0, F.lit(0.0))
+    """1 for a positive edge, 0 for any other finite one."""
+    return F.when(observed(edge) > 0, F.lit(1.0)).when(observed(edge) <= 0, F.lit(0.0))
 
 
 def cross_section_rank(df: DataFrame, column: str = "label", out: str = "label", date: str = "date") -> DataFrame:
@@ -78,33 +82,34 @@ def cross_section_rank(df: DataFrame, column: str = "label", out: str = "label",
     return df.withColumn(out, F.when(v.isNotNull(), F.when(n > 1, (average_rank(v, date) - 1) / (n - 1) - 0.5).otherwise(F.lit(0.0))))
 
 
-def robust_scale(df: DataFrame, column: str, out: str = "scale", date: str = "date") -> DataFrame:
-    """Per date: 1.4826 times the median absolute deviation, else the standard deviation, else the mean size, else 1."""
+def robust_scale(df: DataFrame, column: str, out: str = "scale", least: float = 1e-4, date: str = "date") -> DataFrame:
+    """Per date the first of these that is at least `least`, else `least`: 1.4826 times the median absolute deviation, the population deviation, the median size."""
     v = observed(column)
     w = Window.partitionBy(date)
-    df = df.withColumn("_m", F.percentile(v, F.lit(0.5)).over(w))
-    mad = F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).over(w) * 1.4826
-    std, size = F.stddev_pop(v).over(w), F.avg(F.abs(v)).over(w)
-    return df.withColumn(out, F.when(mad > 1e-12, mad).when(std > 1e-12, std).when(size > 1e-12, size).otherwise(F.lit(1.0))).drop("_m")
+    middle = lambda c: F.percentile(c, F.lit(0.5)).over(w)
+    df = df.withColumn("_m", middle(v))
+    scales = [middle(F.abs(v - F.col("_m"))) * 1.4826, F.stddev_pop(v).over(w), middle(F.abs(v))]
+    return df.withColumn(out, F.coalesce(*(F.when(s >= least, s) for s in scales), F.lit(least))).drop("_m")
 
 
-def profit_tanh(df: DataFrame, column: str = "label", out: str = "label", band: float = 0.0, multiplier: float = 1.0, date: str = "date") -> DataFrame:
+def profit_tanh(df: DataFrame, column: str = "label", out: str = "label", band: float = 0.0, multiplier: float = 1.0, least: float = 1e-4, date: str = "date") -> DataFrame:
     """tanh of the label beyond a neutral band, in units of the date's robust scale."""
     v = observed(column)
-    soft = F.when(F.abs(v) <= band, F.lit(0.0)).otherwise(F.signum(v) * (F.abs(v) - band))
-    scaled = robust_scale(df, column, "_scale", date)
+    soft = F.signum(v) * F.greatest(F.abs(v) - band, F.lit(0.0))
+    scaled = robust_scale(df, column, "_scale", least, date)
     return scaled.withColumn(out, F.tanh(soft / (F.col("_scale") * multiplier))).drop("_scale")
 
 
-def profit_bucket(v: Column, small: float, large: float) -> Column:
-    """-2, -1, 0, 1 or 2 by two bands around zero."""
-    size = F.when(F.abs(v) <= small, F.lit(0.0)).when(F.abs(v) <= large, F.lit(1.0)).otherwise(F.lit(2.0))
-    return F.when(v.isNotNull(), F.when(F.abs(v) <= small, F.lit(0.0)).otherwise(F.signum(v) * size))
+def profit_bucket(label: Column, band: float, tail: float) -> Column:
+    """Number of bounds that a label has passed, from -2 to 2: the upper ones, +band and +tail, count from their own value on, as the lower -tail does; -band itself is neutral."""
+    v = observed(label)
+    return ((v >= band).cast("double") + (v >= tail).cast("double")) - ((v < -band).cast("double") + (v <= -tail).cast("double"))
 
 
-def buyability(v: Column, threshold: float, margin: float = 0.0) -> Column:
-    """1 above threshold + margin, 0 at or below threshold - margin, missing between."""
-    return F.when(v > threshold + margin, F.lit(1.0)).when(v <= threshold - margin, F.lit(0.0))
+def buyability(edge: Column, margin: float | None = None) -> Column:
+    """1 above the margin, 0 below its negative, missing from one to the other; without a margin 1 for positive edges and 0 for all others."""
+    e = observed(edge)
+    return opportunity_label(edge) if margin is None else F.when(e > margin, F.lit(1.0)).when(e < -margin, F.lit(0.0))
 
 
 def opportunity_weights(df: DataFrame, edge: str, scale: float = 0.01, power: float = 1.0, floor: float = 0.0, per_date: bool = True, out: str = "weight", date: str = "date") -> DataFrame:
@@ -123,19 +128,39 @@ def decay_weights(df: DataFrame, half_life: float, floor: float = 0.0, out: str
     return df.withColumn(out, F.col(out) / df.agg(F.avg(out)).scalar())
 
 
+def combined_weights(*weights: Column) -> Column:
+    """The product of sample weights in single precision; None stands for no weight."""
+    given = [w.cast("float") for w in weights if w is not None]
+    return reduce(lambda a, b: a * b, given) if given else F.lit(None).cast("float")
+
+
 def relevance(df: DataFrame, bins: int, column: str = "label", out: str = "relevance", date: str = "date") -> DataFrame:
-    """Ranking relevance 0..bins-1 by rank within a date; single or constant dates are 0."""
-    v = observed(column)
+    """Ranking relevance 0..bins-1 (two bins at least) by rank within a date; missing labels, and dates with one label or with equal ones, are 0."""
+    v, bins = observed(F.col(column).cast("float")), max(2, bins)
     w = Window.partitionBy(date)
-    n = F.count(v).over(w)
+    n, low, high = F.count(v).over(w), F.min(v).over(w).cast("double"), F.max(v).over(w).cast("double")
     place = F.floor((average_rank(v, date) - 1) * bins / n + 1e-8)
-    flat = (n <= 1) | (F.min(v).over(w) == F.max(v).over(w))
-    return df.withColumn(out, F.when(v.isNotNull(), F.when(flat, F.lit(0)).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))).cast("long"))
+    flat = (n <= 1) | (high - low <= 1e-8 + 1e-5 * F.abs(low))
+    return df.withColumn(out, F.when(v.isNull() | flat, F.lit(0)).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1))).cast("long"))
+
+
+def _whole(v: Column) -> Column:
+    return F.abs(v - F.rint(v)) <= 1e-6 + 1e-5 * F.abs(F.rint(v))
+
+
+def already_relevance(df: DataFrame, most: int, column: str = "label") -> bool:
+    """Whether labels serve as relevance as they are: all known ones whole numbers, from 2 to `most` different ones."""
+    v = observed(F.col(column).cast("float"))
+    seen = df.agg(F.coalesce(F.bool_and(_whole(v)), F.lit(False)).alias("whole"), F.countDistinct(F.rint(v)).alias("n")).first()
+    return bool(seen["whole"]) and 2 <= seen["n"] <= most
 
 
 def direct_relevance(df: DataFrame, column: str = "label", out: str = "relevance") -> DataFrame:
-    """Integer-like labels shifted to begin at 0."""
-    return df.withColumn(out, F.round(F.col(column) - df.agg(F.min(observed(column))).scalar()).cast("long"))
+    """Whole labels shifted to begin at 0, missing ones 0; fails on the first that isn't whole."""
+    v = observed(F.col(column).cast("float"))
+    least = df.agg(F.min(F.rint(v))).scalar()
+    shifted = F.when(_whole(v), F.rint(v) - least).otherwise(F.raise_error(F.lit("direct relevance labels must be whole numbers")))
+    return df.withColumn(out, F.when(v.isNull(), F.lit(0)).otherwise(shifted).cast("long"))
 
 
 def group_sizes(df: DataFrame, date: str = "date") -> DataFrame:

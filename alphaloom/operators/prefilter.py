@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +75,7 @@ def without_duplicates(df: DataFrame, groups: list[tuple[str, ...]] | None = Non
     return df.withColumns({"kept": F.row_number().over(w) == 1, "dropped_by": F.when(F.row_number().over(w) > 1, first)})
 
 
+# Metrics of which the lower counts, the higher, and the smaller size with the agreed direction.
 _LOWER = ["observation_count", "valid_observation_count", "coverage_pct", "avg_daily_coverage_pct", "date_count", "effective_date_count", "monotonic_date_count", "rank_ic_positive_rate", "rank_ic_directional_hit_rate", "monthly_rank_ic_positive_rate", "monthly_rank_ic_directional_hit_rate", "monthly_rank_ic_months", "monotonicity_positive_rate", "top_bottom_spread_positive_rate", "segment_monthly_directional_hit_mean", "segment_monthly_directional_hit_min", "segment_rank_ic_abs_max", "segment_rank_ic_abs_min"]
 _HIGHER = ["ic_std", "rank_ic_std", "segment_rank_ic_mean_range"]
 _SIGNED = ["ic_mean", "ic_ir", "rank_ic_mean", "rank_ic_ir", "monthly_rank_ic_mean", "monotonicity_mean", "top_bottom_spread_mean"]
@@ -100,21 +102,45 @@ def robust(raw: DataFrame, neutral: DataFrame) -> DataFrame:
     return both.select("feature", *(v.alias(k) for k, v in out.items())).withColumns({"rank_ic_abs_mean": F.abs("rank_ic_mean"), "rank_ic_ir_abs": F.abs("rank_ic_ir"), "ic_ir_abs": F.abs("ic_ir")})
 
 
+_MOMENTS = ["n", "x", "y", "xy", "xx", "yy"]
+
+
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """a, b and corr of every pair of features over the rows where both are finite: raw moments, in one aggregation."""
-    v = {f: observed(f) for f in features}
-    moments = []
-    for i, (a, b) in enumerate(combinations(features, 2)):
-        ok = v[a].isNotNull() & v[b].isNotNull()
-        x, y = F.when(ok, v[a]), F.when(ok, v[b])
-        moments += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"x{i}"), F.sum(y).alias(f"y{i}"), F.sum(x * y).alias(f"xy{i}"), F.sum(x * x).alias(f"xx{i}"), F.sum(y * y).alias(f"yy{i}")]
-    one = df.agg(*moments)
-    rows = []
-    for i, (a, b) in enumerate(combinations(features, 2)):
-        n, x, y, xy, xx, yy = (F.col(f"{c}{i}") for c in ("n", "x", "y", "xy", "xx", "yy"))
-        dx, dy = n * xx - x * x, n * yy - y * y
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when((n >= 2) & (dx > 0) & (dy > 0), (n * xy - x * y) / F.sqrt(dx * dy)).alias("corr")))
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """a, b and corr of every pair of features over the rows where both are finite, from raw moments.
+
+    Moments of all pairs are matrix products of a batch; a task sends one row per feature, whatever its rows. The plan doesn't grow with the features.
+    """
+    f = len(features)
+    names = pa.array(features)
+
+    def moments(batches):
+        total = [np.zeros((f, f)) for _ in _MOMENTS]
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) if batch.num_rows else np.zeros((0, f))
+            known = np.isfinite(x)
+            x, m = np.where(known, x, 0.0), known.astype(np.float64)
+            cross, square = x.T @ m, (x * x).T @ m
+            for t, part in zip(total, (m.T @ m, cross, cross.T, x.T @ x, square, square.T)):
+                t += part
+        yield pa.record_batch([pa.array(np.arange(f)), *(pa.array(list(t), pa.list_(pa.float64())) for t in total)], names=["i", *_MOMENTS])
+
+    def added(batches):
+        rows: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, i in enumerate(batch.column(0).to_pylist()):
+                parts = [np.asarray(c[k].values) for c in batch.columns[1:]]
+                rows[i] = [a + b for a, b in zip(rows[i], parts)] if i in rows else parts
+        for i, (n, x, y, xy, xx, yy) in rows.items():
+            j = np.arange(i + 1, f)
+            dx, dy = (n * xx - x * x)[j], (n * yy - y * y)[j]
+            ok = (n[j] >= 2) & (dx > 0) & (dy > 0)
+            corr = np.full(len(j), np.nan)
+            corr[ok] = (n * xy - x * y)[j][ok] / np.sqrt(dx[ok] * dy[ok])
+            yield pa.record_batch([names.take(pa.array(np.full(len(j), i))), names.take(pa.array(j)), pa.array(corr, from_pandas=True)], names=["a", "b", "corr"])
+
+    schema = "i long, " + ", ".join(f"{m} array<double>" for m in _MOMENTS)
+    sums = df.select(*(F.col(c).cast("double").alias(c) for c in features)).mapInArrow(moments, schema)
+    return sums.repartition("i").mapInArrow(added, "a string, b string, corr double")
 
 
 def prune_correlated(df: DataFrame, ordered: list[str], most: float = 0.97) -> tuple[list[str], list[tuple[str, str]]]:

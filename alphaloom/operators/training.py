@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .crosssection import observed
@@ -24,18 +25,13 @@ def window_indices(start: int, train: int, valid: int, embargo: int) -> tuple[in
 def rolling_windows(dates: DataFrame, train: int, valid: int, test: int, embargo: int, date: str = "date") -> DataFrame:
     """window_id and the first and last dates of train, valid and test; a window begins every `test` dates of the calendar.
 
-    The calendar has a row per trading date, so it fits one task whatever the panel's size.
+    The calendar has a row per trading date, so it is one array whatever the panel's size; windows are places in it.
     """
-    days = dates.select(date).distinct().withColumn("i", F.row_number().over(Window.orderBy(date)) - 1)
-    n = days.agg(F.count("*").alias("n"))
-    first = train + valid + embargo
-    starts = n.select(F.explode(F.when(F.col("n") > first, F.sequence(F.lit(first), F.col("n") - 1, F.lit(test)))).alias("s"), "n")
-    at = {"train_start": F.col("s") - embargo - valid - train, "train_end": F.col("s") - embargo - valid - 1, "valid_start": F.col("s") - embargo - valid, "valid_end": F.col("s") - embargo - 1, "test_start": F.col("s"), "test_end": F.least(F.col("s") + test - 1, F.col("n") - 1)}
-    out = starts.select(((F.col("s") - first) / test).cast("long").alias("window_id"), *(v.cast("int").alias(k) for k, v in at.items()))
-    for name in at:
-        d = days.select(F.col("i").alias(name), F.col(date).alias("_d"))
-        out = out.join(d, name).drop(name).withColumnRenamed("_d", name)
-    return out.select("window_id", *at)
+    n, first = F.size("days"), train + valid + embargo
+    starts = F.when(n > first, F.sequence(F.lit(first), n - 1, F.lit(test)))
+    out = dates.agg(F.array_sort(F.collect_set(date)).alias("days")).select("days", F.explode(starts).alias("s"))
+    at = {"train_start": F.col("s") - embargo - valid - train, "train_end": F.col("s") - embargo - valid - 1, "valid_start": F.col("s") - embargo - valid, "valid_end": F.col("s") - embargo - 1, "test_start": F.col("s"), "test_end": F.least(F.col("s") + test - 1, n - 1)}
+    return out.select(((F.col("s") - first) / test).cast("long").alias("window_id"), *(F.get("days", i.cast("int")).alias(k) for k, i in at.items()))
 
 
 def trainable(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -86,25 +82,31 @@ def walk_forward(rows: DataFrame, windows: DataFrame, features: list[str], learn
     return dealt.groupBy("window_id").applyInPandas(run, schema)
 
 
-def topk_summary(df: DataFrame, k: int, date: str = "date", prediction: str = "prediction", label: str = "label", tie: str = "instrument", earlier: bool = True) -> DataFrame:
-    """One row: means over dates of what the k highest predictions bring. Ties go to the earlier instrument, or the later."""
-    both = df.where(observed(prediction).isNotNull() & observed(label).isNotNull())
-    w = Window.partitionBy(date).orderBy(F.desc(prediction), F.asc(tie) if earlier else F.desc(tie))
-    up = Window.partitionBy(date).orderBy(F.asc(prediction), F.desc(tie) if earlier else F.asc(tie))
-    placed = both.withColumns({"_p": F.row_number().over(w), "_q": F.row_number().over(up)})
-    top = F.col("_p") <= k
-    y = F.col(label)
+def topk_summary(df: DataFrame, k: int, date: str = "date", prediction: str = "prediction", label: str = "label", tie: str = "instrument", earlier: bool = False, opportunity: str | None = None) -> DataFrame:
+    """One row: means over dates of what the k highest predictions bring. Of equal predictions at the border the later instruments are
+    among the k, or the earlier; the first among the k is always the earlier one. `opportunity` is a column of 0, 1 or missing."""
+    both = df.where(observed(prediction).isNotNull() & observed(label).isNotNull()).withColumn("_o", observed(opportunity) if opportunity else F.lit(None).cast("double"))
+    border = Window.partitionBy(date).orderBy(F.desc(prediction), F.asc(tie) if earlier else F.desc(tie))
+    placed = both.withColumn("_top", F.row_number().over(border) <= max(1, k))
+    first = F.row_number().over(Window.partitionBy(date).orderBy(F.desc("_top"), F.desc(prediction), tie)) == 1
+    placed = placed.withColumn("_first", first)
+    y, top, one = F.col(label), F.col("_top"), F.col("_first")
     daily = placed.groupBy(date).agg(
-        F.avg(F.when(F.col("_p") == 1, y)).alias("top1"), F.avg(F.when(top, y)).alias("top"), F.avg(y).alias("all"), F.avg(F.when(F.col("_q") <= k, y)).alias("bottom"),
-        F.avg(F.when(top, (y > 0).cast("double"))).alias("hit"), F.max(F.when(top, y)).alias("best"), F.min(F.when(top, y)).alias("worst"), F.count("*").alias("n"),
+        F.max(F.when(one, y)).alias("top1"), F.avg(F.when(top, y)).alias("top"), F.avg(y).alias("all"), F.percentile(F.when(top, y), F.lit(0.5)).alias("median"), F.min(F.when(top, y)).alias("least"),
+        F.avg(F.when(top, (y > 0).cast("double"))).alias("positive"), F.max(F.when(one, F.col("_o"))).alias("top1_opportunity"), F.avg(F.when(top, F.col("_o"))).alias("opportunity"),
     )
+    mean = lambda c, name: F.avg(c).alias(f"valid_{name}")
     return daily.agg(
-        F.count("*").alias("days"), F.avg("top1").alias("top1_label_mean"), F.avg("top").alias("topk_label_mean"), F.avg(F.col("top") - F.col("all")).alias("topk_excess_mean"), F.avg("all").alias("universe_label_mean"),
-        F.avg("bottom").alias("bottomk_label_mean"), F.avg(F.col("top") - F.col("bottom")).alias("topk_bottomk_spread"), F.avg("hit").alias("topk_hit_rate"),
-        F.avg((F.col("top") > F.col("all")).cast("double")).alias("topk_beat_rate"), F.avg(F.col("n").cast("double")).alias("names_mean"),
+        F.count("*").alias("valid_topk_days"), mean("top1", "top1_label_mean"), mean((F.col("top1") > 0).cast("double"), "top1_positive_rate"), mean("top", "topk_label_mean"), mean("median", "topk_label_median"),
+        mean("least", "topk_min_label_mean"), mean("positive", "topk_positive_rate"), mean(F.col("top") - F.col("all"), "topk_excess_mean"), mean("top1_opportunity", "top1_opportunity_rate"), mean("opportunity", "topk_opportunity_rate"),
     )
 
 
+def of_predictions(labels: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = ("date", "instrument")) -> DataFrame:
+    """The label rows whose date and instrument were predicted."""
+    return labels.join(predictions.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def baselines(scores: DataFrame, weights: DataFrame, date: str = "date", instrument: str = "symbol") -> DataFrame:
     """Four reference scores of long rows (date, instrument, feature, x) with weights (feature, rank_ic): mean of z-scores, of
     z-scores with the sign of the training rank IC, of rank percentages, and of rank percentages weighted by it."""
@@ -119,19 +121,25 @@ def baselines(scores: DataFrame, weights: DataFrame, date: str = "date", instrum
     return rows.groupBy(date, instrument).agg(F.avg("z").alias("average"), F.avg(F.signum(ic) * F.col("z")).alias("sign_aligned"), F.avg("r").alias("rank_average"), F.sum(ic * F.col("r")).alias("rank_ic_weighted"))
 
 
-def opportunity_edge(df: DataFrame, mode: str, threshold: float = 0.0, date: str = "date", benchmark: DataFrame | None = None) -> Column:
-    """Edge of a finite label: itself, less a threshold, or less its industry's mean and a threshold."""
-    v = observed("label")
+def effective(df: DataFrame, features: list[str], label: str = "label") -> Column:
+    """Whether a row takes part in training: a finite label and no infinite feature (missing ones may be)."""
+    return reduce(lambda a, f: a & ~F.coalesce(F.abs(F.col(f)) == float("inf"), F.lit(False)), features, observed(label).isNotNull())
+
+
+def with_edge(df: DataFrame, mode: str, threshold: float = 0.0, features: list[str] | None = None, benchmark: DataFrame | None = None, out: str = "edge", date: str = "date") -> DataFrame:
+    """df with the edge of each effective row: its label, that less a threshold, or less its industry's mean over
+    effective rows or the benchmark's forward return (date, forward) too. An empty industry, or a date without a benchmark, has none."""
+    v = F.when(effective(df, features or []), F.col("label"))
     if mode == "positive":
-        return v
+        return df.withColumn(out, v)
     if mode == "threshold":
-        return v - threshold
+        return df.withColumn(out, v - threshold)
     if mode == "industry_excess":
-        return F.when(F.col("industry").isNotNull(), v - F.avg(v).over(Window.partitionBy(date, "industry")) - threshold)
+        named = F.coalesce(F.col("industry") != "", F.lit(False))
+        return df.withColumn(out, F.when(named, v - F.avg(v).over(Window.partitionBy(date, "industry")) - threshold))
     if mode == "benchmark_excess":
-        return v - F.col("benchmark") - threshold
+        if benchmark is None:
+            raise ValueError("an excess over the benchmark takes a benchmark")
+        known = benchmark.select(date, observed("forward").alias("_forward"))
+        return df.join(known, date, "left").withColumn(out, v - F.col("_forward") - threshold).drop("_forward")
     raise ValueError(f"unknown opportunity mode {mode}")
-
-
-def calendar(spark: SparkSession, panel: DataFrame, date: str = "date") -> DataFrame:
-    return panel.select(date).distinct()

@@ -9,6 +9,7 @@ from ..functions import dsl
 from ..functions.expr import call, col, corr, duck_sql, rounded, sure, when
 from ..functions.factors import alpha158, provider, purified, technical, temporal
 from ..functions.factors.registry import generate, sources
+from ..functions.kernel import with_kernels
 from ..operators.industry import compound
 from ..sources import panels
 from .frames import formulas_query, text_date
@@ -83,9 +84,7 @@ def _provider_query(formulas: dict):
     formulas = {k.lower(): x for k, x in formulas.items()}
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..functions.expr import with_formulas
-
-        return text_date(rounded(with_formulas(provider_panel(spark, sf_dir), formulas, keep=["symbol", "date"]), formulas))
+        return text_date(rounded(with_kernels(provider_panel(spark, sf_dir), formulas, keep=["symbol", "date"]), formulas))
 
     sql = duck_sql("wide", formulas, ["symbol", "date"], ctes=_PROVIDER_SQL)
     return query, f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({sql})"
@@ -98,9 +97,8 @@ for _name, _part in provider.groups().items():
 
 
 def macd_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = technical.with_smoothing(panels.monthly_bars(spark, sf_dir).select("symbol", "date", "close", "high", "low"))
-    names = ["macd_line_12_26_9", "macd_signal_12_26_9", "macd_hist_12_26_9", "rsi_6", "rsi_14", "adx_14", "plus_di_14", "minus_di_14", "trix_15"]
-    return text_date(rounded(made.select("symbol", "date", *names), names))
+    made = with_kernels(panels.monthly_bars(spark, sf_dir), {n: technical.recursive()[n] for n in technical.SMOOTHED}, keep=["symbol", "date"])
+    return text_date(rounded(made, technical.SMOOTHED))
 
 
 def _ema(name: str, x: str, a: str, source: str) -> str:
@@ -121,23 +119,25 @@ def _macd_rsi_sql() -> str:
     s AS (SELECT *, greatest(close - c1, 0) AS gain, greatest(c1 - close, 0) AS loss, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS pdm, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS mdm,
       CASE WHEN c1 IS NULL THEN abs(high - low) ELSE greatest(abs(high - low), abs(high - c1), abs(low - c1)) END AS tr FROM (SELECT *, CASE WHEN c1 IS NULL THEN NULL ELSE 1 END AS g FROM num)),
     s1 AS (SELECT symbol, date, n, close, CASE WHEN c1 IS NULL THEN NULL ELSE gain END AS gain, CASE WHEN c1 IS NULL THEN NULL ELSE loss END AS loss, pdm, mdm, tr FROM s),
-    {_ema('e12', 'close', a(12), 's1')}, {_ema('e26', 'close', a(26), 's1')}, {_ema('g6', 'gain', w(6), 's1')}, {_ema('l6', 'loss', w(6), 's1')}, {_ema('g14', 'gain', w(14), 's1')}, {_ema('l14', 'loss', w(14), 's1')},
+    {_ema('e12', 'close', a(12), 's1')}, {_ema('e26', 'close', a(26), 's1')}, {_ema('g6', 'gain', w(6), 's1')}, {_ema('l6', 'loss', w(6), 's1')}, {_ema('g14', 'gain', w(14), 's1')}, {_ema('l14', 'loss', w(14), 's1')}, {_ema('g24', 'gain', w(24), 's1')}, {_ema('l24', 'loss', w(24), 's1')},
     {_ema('pd', 'pdm', w(14), 's1')}, {_ema('md', 'mdm', w(14), 's1')}, {_ema('atr', 'tr', w(14), 's1')}, {_ema('t1', 'close', a(15), 's1')},
     s2 AS (SELECT s1.symbol, s1.date, s1.n, {at('e12', 's1.close', 12)} - {at('e26', 's1.close', 26)} AS line, {at('t1', 's1.close', 15)} AS x1,
       100 * {at('pd', 's1.pdm', 14)} / ({at('atr', 's1.tr', 14)} + 1e-12) AS pdi, 100 * {at('md', 's1.mdm', 14)} / ({at('atr', 's1.tr', 14)} + 1e-12) AS mdi,
-      {at('g6', 's1.gain', 6)} AS ag6, {at('l6', 's1.loss', 6)} AS al6, {at('g14', 's1.gain', 14)} AS ag14, {at('l14', 's1.loss', 14)} AS al14
-      FROM s1 JOIN e12 USING (symbol, n) JOIN e26 USING (symbol, n) JOIN g6 USING (symbol, n) JOIN l6 USING (symbol, n) JOIN g14 USING (symbol, n) JOIN l14 USING (symbol, n) JOIN pd USING (symbol, n) JOIN md USING (symbol, n) JOIN atr USING (symbol, n) JOIN t1 USING (symbol, n)),
+      {at('g6', 's1.gain', 6)} AS ag6, {at('l6', 's1.loss', 6)} AS al6, {at('g14', 's1.gain', 14)} AS ag14, {at('l14', 's1.loss', 14)} AS al14, {at('g24', 's1.gain', 24)} AS ag24, {at('l24', 's1.loss', 24)} AS al24
+      FROM s1 JOIN e12 USING (symbol, n) JOIN e26 USING (symbol, n) JOIN g6 USING (symbol, n) JOIN l6 USING (symbol, n) JOIN g14 USING (symbol, n) JOIN l14 USING (symbol, n) JOIN g24 USING (symbol, n) JOIN l24 USING (symbol, n) JOIN pd USING (symbol, n) JOIN md USING (symbol, n) JOIN atr USING (symbol, n) JOIN t1 USING (symbol, n)),
     s3 AS (SELECT *, 100 * abs(pdi - mdi) / (pdi + mdi + 1e-12) AS dx FROM s2),
     {_ema('sig', 'line', a(9), 's3')}, {_ema('adx', 'dx', w(14), 's3')}, {_ema('t2', 'x1', a(15), 's3')},
     s4 AS (SELECT s3.symbol, s3.n, {at('t2', 's3.x1', 15)} AS x2 FROM s3 JOIN t2 USING (symbol, n)),
     {_ema('t3', 'x2', a(15), 's4')},
     s5 AS (SELECT s4.symbol, s4.n, {at('t3', 's4.x2', 15)} AS x3 FROM s4 JOIN t3 USING (symbol, n)),
     s6 AS (SELECT symbol, n, (x3 / lag(x3) OVER (PARTITION BY symbol ORDER BY n) - 1) * 100 AS trix FROM s5),
+    {_ema('ts', 'trix', a(9), 's6')},
     out AS (SELECT s3.symbol, CAST(s3.date AS VARCHAR) AS date, line AS macd_line_12_26_9, {at('sig', 's3.line', 9)} AS macd_signal_12_26_9, line - {at('sig', 's3.line', 9)} AS macd_hist_12_26_9,
-      {', '.join(f"CASE WHEN coalesce(ag{n} > 1e-12, false) = false AND coalesce(al{n} > 1e-12, false) = false THEN 50 WHEN coalesce(al{n} > 1e-12, false) = false THEN 100 ELSE 100 - 100 / (1 + ag{n} / (al{n} + 1e-12)) END AS rsi_{n}" for n in (6, 14))},
-      {at('adx', 's3.dx', 14)} AS adx_14, pdi AS plus_di_14, mdi AS minus_di_14, trix AS trix_15
-      FROM s3 JOIN sig USING (symbol, n) JOIN adx USING (symbol, n) JOIN s6 USING (symbol, n))
-    SELECT symbol, date, {', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' for c in ('macd_line_12_26_9', 'macd_signal_12_26_9', 'macd_hist_12_26_9', 'rsi_6', 'rsi_14', 'adx_14', 'plus_di_14', 'minus_di_14', 'trix_15'))} FROM out"""
+      {', '.join(f"CASE WHEN coalesce(ag{n} > 1e-12, false) = false AND coalesce(al{n} > 1e-12, false) = false THEN 50 WHEN coalesce(al{n} > 1e-12, false) = false THEN 100 ELSE 100 - 100 / (1 + ag{n} / (al{n} + 1e-12)) END AS rsi_{n}" for n in (6, 14, 24))},
+      {at('adx', 's3.dx', 14)} AS adx_14, pdi AS plus_di_14, mdi AS minus_di_14, trix AS trix_15,
+      {at('ts', 's6.trix', 9)} AS trix_signal_15_9, trix - {at('ts', 's6.trix', 9)} AS trix_hist_15_9
+      FROM s3 JOIN sig USING (symbol, n) JOIN adx USING (symbol, n) JOIN s6 USING (symbol, n) JOIN ts USING (symbol, n))
+    SELECT symbol, date, {', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' for c in technical.SMOOTHED)} FROM out"""
 
 
 QUERIES["macd_rsi"], ORACLES["macd_rsi"] = macd_rsi, _macd_rsi_sql()

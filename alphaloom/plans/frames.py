@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import Node, call, col, duck_sql, rounded, with_formulas
+from ..functions.kernel import with_kernels
 from ..operators.labels import forward_return
 from ..sources import panels
 
@@ -28,7 +29,7 @@ def formulas_query(formulas: dict[str, Node], source: str = "panel", digits: int
     panel, ctes = {"panel": (panels.signal_panel, panels.SIGNALS_SQL), "bars": (panels.monthly_bars, panels.BARS_SQL), "daily": (panels.daily_events, panels.DAILY_SQL)}[source]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = with_formulas(panel(spark, sf_dir), formulas, keep=["symbol", "date"])
+        made = with_kernels(panel(spark, sf_dir), formulas, keep=["symbol", "date"])
         return text_date(rounded(made, formulas, digits))
 
     return query, f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({duck_sql(source, formulas, ['symbol', 'date'], digits, ctes=ctes)})"

@@ -107,21 +107,47 @@ def parsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", collect.parsed_date(form).cast("string").alias("parsed"), collect.six_digits(F.concat(F.lit("c-"), F.col("o_custkey").cast("string"))).alias("code"))
 
 
-_LIFE_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS symbol, DATE '1996-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS list_date, CASE WHEN c_custkey % 3 = 0 THEN DATE '1999-01-01' + CAST(c_custkey % 700 AS INTEGER) END AS delist_date, (SELECT 1) AS one FROM customer"""
+_LIFE_SQL = """l AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS symbol, CASE WHEN c_custkey % 2 = 0 THEN DATE '1998-06-30' ELSE DATE '2008-06-30' END AS target, DATE '1992-01-01' + CAST(c_custkey % 3000 AS INTEGER) AS list_date,
+  CASE WHEN c_custkey % 3 = 0 THEN DATE '1997-01-01' + CAST(c_custkey % 700 AS INTEGER) END AS delist_date, CASE WHEN c_custkey % 5 = 0 THEN 'D' ELSE 'L' END AS list_status FROM customer),
+t AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, max(CAST(o_orderdate AS DATE)) AS last_trade FROM orders GROUP BY 1),
+j AS (SELECT l.*, last_trade, CASE WHEN k % 4 > 0 THEN target + CAST(k % 4 - 1 AS INTEGER) ELSE last_trade END AS last_factor, CASE WHEN k % 7 > 2 THEN target WHEN k % 7 = 2 THEN target - 1 END AS last_limit FROM l LEFT JOIN t USING (symbol))"""
 
 
-@registered(f"""WITH l AS ({_LIFE_SQL}), t AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, max(CAST(o_orderdate AS DATE)) AS last_trade FROM orders GROUP BY 1),
-j AS (SELECT l.*, last_trade, CASE WHEN list_date > DATE '2000-06-30' THEN 'not_yet_listed' WHEN delist_date <= DATE '2000-06-30' THEN 'delisted' WHEN last_trade < DATE '2000-06-30' THEN 'suspended' ELSE 'active' END AS status FROM l LEFT JOIN t USING (symbol))
-SELECT symbol, status, CAST(CASE WHEN status = 'delisted' THEN least(delist_date, coalesce(last_trade, delist_date)) WHEN status = 'suspended' THEN last_trade ELSE DATE '2000-06-30' END AS VARCHAR) AS effective_end FROM j""")
-def lifecycle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for symbols, with targets before and after the first limits, and data that is late or goes on."""
     c, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
     k = F.col("c_custkey")
-    life = c.select(k.cast("string").alias("symbol"), F.date_add(F.lit("1996-01-01").cast("date"), (k % 2000).cast("int")).alias("list_date"), F.when(k % 3 == 0, F.date_add(F.lit("1999-01-01").cast("date"), (k % 700).cast("int"))).alias("delist_date"))
+    day = lambda text, n: F.date_add(F.lit(text).cast("date"), n.cast("int"))
+    target = F.when(k % 2 == 0, F.lit("1998-06-30").cast("date")).otherwise(F.lit("2008-06-30").cast("date"))
+    life = c.select(k.alias("k"), k.cast("string").alias("symbol"), target.alias("target"), day("1992-01-01", k % 3000).alias("list_date"), F.when(k % 3 == 0, day("1997-01-01", k % 700)).alias("delist_date"), F.when(k % 5 == 0, "D").otherwise("L").alias("list_status"))
     last = o.groupBy(F.col("o_custkey").cast("string").alias("symbol")).agg(F.max(F.to_date("o_orderdate")).alias("last_trade"))
-    target = F.lit("2000-06-30").cast("date")
-    df = life.join(last, "symbol", "left")
-    df = df.withColumn("status", collect.lifecycle(df, target))
-    return df.select("symbol", "status", collect.effective_end(F.col("status"), target).cast("string").alias("effective_end"))
+    df, k = life.join(last, "symbol", "left"), F.col("k")
+    df = df.withColumns({"last_factor": F.when(k % 4 > 0, F.date_add("target", (k % 4 - 1).cast("int"))).otherwise(F.col("last_trade")), "last_limit": F.when(k % 7 > 2, F.col("target")).when(k % 7 == 2, F.date_sub("target", 1))})
+    df = df.withColumn("status", collect.lifecycle(F.col("target")))
+    return df.withColumn("effective_end", collect.effective_end(F.col("status"), F.col("target")))
+
+
+_STATUS_SQL = """CASE WHEN list_date > target THEN 'not_yet_listed' WHEN list_status = 'D' AND delist_date <= target THEN 'delisted'
+  WHEN last_trade < target AND last_factor >= target AND (target < DATE '2007-01-04' OR coalesce(last_limit >= target, false)) THEN 'suspended' ELSE 'active' END"""
+
+
+@registered(f"""WITH {_LIFE_SQL}, s AS (SELECT *, {_STATUS_SQL} AS status FROM j)
+SELECT symbol, status, CAST(CASE status WHEN 'delisted' THEN CASE WHEN last_trade < delist_date THEN last_trade ELSE delist_date END WHEN 'suspended' THEN last_trade ELSE target END AS VARCHAR) AS effective_end FROM s""")
+def lifecycle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_date(_lifecycles(spark, sf_dir).select("symbol", "status", "effective_end"), "effective_end")
+
+
+@registered(f"""WITH {_LIFE_SQL}, s AS (SELECT *, CASE WHEN k % 13 > 0 THEN target END AS daily_latest, last_factor AS adj_factor_latest, CASE WHEN k % 17 > 0 THEN target + 1 END AS daily_basic_latest, CASE WHEN k % 8 > 0 THEN target - CAST(k % 8 - 2 AS INTEGER) END AS processed_latest, list_date + CAST(k % 4 AS INTEGER) AS earliest FROM j)
+SELECT symbol, coalesce(daily_latest >= target, false) AND coalesce(daily_basic_latest >= target, false) AND coalesce(adj_factor_latest >= target, false) AND (target < DATE '2007-01-04' OR coalesce(last_limit >= target, false)) AND coalesce(processed_latest >= daily_latest, false) AND (earliest <= list_date OR k % 3 = 0) AS complete FROM s""")
+def stage_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which symbols' stages hold all there is, histories included."""
+    s, k, target = _lifecycles(spark, sf_dir), F.col("k"), F.col("target")
+    begins = F.date_add("list_date", (k % 4).cast("int"))
+    s = s.withColumns({
+        "daily_latest": F.when(k % 13 > 0, target), "adj_factor_latest": F.col("last_factor"), "daily_basic_latest": F.when(k % 17 > 0, F.date_add(target, 1)), "stk_limit_latest": F.col("last_limit"),
+        "processed_latest": F.when(k % 8 > 0, F.date_sub(target, (k % 8 - 2).cast("int"))), **{f"{x}_earliest": begins for x in collect.STAGES}, **{f"{x}_ready": k % 3 == 0 for x in collect.STAGES},
+    })
+    return s.select("symbol", collect.complete(target, F.col("list_date")).alias("complete"))
 
 
 @registered(f"WITH {panels.BARS_SQL} SELECT symbol, count(*) AS rows, CAST(min(date) AS VARCHAR) AS min_date, CAST(max(date) AS VARCHAR) AS max_date FROM bars GROUP BY symbol")
@@ -145,11 +171,11 @@ def chunked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- joins
 
-_EVENTS_SQL = "ann AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS ann_date, event_id, CASE WHEN event_id % 5 > 0 THEN value END AS announced FROM events WHERE event_type = 'error')"
+_EVENTS_SQL = "ann AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS ann_date, event_id, CASE WHEN event_id % 5 > 0 THEN value END AS announced FROM events)"
 
 
 def _announced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("ann_date"), "event_id", F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("announced"))
 
 
@@ -219,6 +245,7 @@ def industry_rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {_MEMBERS_SQL}, {_IND_SQL}, late AS (SELECT * FROM context WHERE month(date) % 3 = 0)
 SELECT p.symbol, CAST(p.date AS VARCHAR) AS date, {r6('l.ind_daily_ret')} AS ind_daily_ret, l.ind_member_count FROM panel p ASOF LEFT JOIN late l ON p.industry = l.industry AND p.date >= l.date""")
 def industry_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the panel against a context that is known in every third month only, so that most rows look back."""
     late = _context(spark, sf_dir).where(F.month("date") % 3 == 0).select("date", "industry", "ind_daily_ret", "ind_member_count")
     return doubles(industry.with_context(panels.signal_panel(spark, sf_dir).select("symbol", "date", "industry"), late).drop("industry"))
 
@@ -260,10 +287,16 @@ _scored_query(
 _scored_query("label_xs_rank", f"SELECT {_D}, instrument, {r6('CASE WHEN label IS NOT NULL THEN CASE WHEN n > 1 THEN (r - 1) / (n - 1) - 0.5 ELSE 0 END END')} AS label FROM (SELECT *, {_AR('label', 'date')} AS r, count(label) OVER (PARTITION BY date) AS n FROM scored)", lambda s: labels.cross_section_rank(s).select("date", "instrument", "label"))
 _scored_query(
     "label_profit_tanh",
-    f", m AS (SELECT date, median(label) AS m, stddev_pop(label) AS sd, avg(abs(label)) AS sz FROM scored GROUP BY date), d AS (SELECT date, 1.4826 * median(abs(label - m)) AS mad FROM scored JOIN m USING (date) GROUP BY date) SELECT CAST(s.date AS VARCHAR) AS date, instrument, {r6('tanh(CASE WHEN abs(label) <= 0.05 THEN 0 ELSE sign(label) * (abs(label) - 0.05) END / ((CASE WHEN mad > 1e-12 THEN mad WHEN sd > 1e-12 THEN sd WHEN sz > 1e-12 THEN sz ELSE 1 END) * 1.5))')} AS label FROM scored s JOIN m USING (date) JOIN d USING (date)",
-    lambda s: labels.profit_tanh(s, band=0.05, multiplier=1.5).select("date", "instrument", "label"),
+    f", m AS (SELECT date, median(label) AS m, stddev_pop(label) AS sd, median(abs(label)) AS sz FROM scored GROUP BY date), d AS (SELECT date, 1.4826 * median(abs(label - m)) AS mad FROM scored JOIN m USING (date) GROUP BY date) SELECT CAST(s.date AS VARCHAR) AS date, instrument, {r6('tanh(sign(label) * greatest(abs(label) - 0.05::DOUBLE, 0.0::DOUBLE) / ((CASE WHEN mad >= 0.3 THEN mad WHEN sd >= 0.3 THEN sd WHEN sz >= 0.3 THEN sz ELSE 0.3 END) * 1.5))')} AS label FROM scored s JOIN m USING (date) JOIN d USING (date)",
+    lambda s: labels.profit_tanh(s, band=0.05, multiplier=1.5, least=0.3).select("date", "instrument", "label"),
+)
+# Labels in steps of a twentieth, so that some lie on every bound.
+_STEPS = "(round(label * 20) / 20)"
+_scored_query(
+    "label_profit_bucket",
+    f"SELECT {_D}, instrument, CAST(CASE WHEN x IS NULL THEN NULL WHEN x <= -0.5 THEN -2 WHEN x < -0.1 THEN -1 WHEN x >= 0.1 AND x < 0.5 THEN 1 WHEN x >= 0.5 THEN 2 ELSE 0 END AS DOUBLE) AS bucket, CAST(CASE WHEN x > 0.05 THEN 1 WHEN x < -0.05 THEN 0 END AS DOUBLE) AS beyond_margin, CAST(CASE WHEN x > 0 THEN 1 WHEN x IS NOT NULL THEN 0 END AS DOUBLE) AS buyable FROM (SELECT *, {_STEPS} AS x FROM scored)",
+    lambda s: s.withColumn("x", F.expr(_STEPS)).select("date", "instrument", labels.profit_bucket(F.col("x"), 0.1, 0.5).alias("bucket"), labels.buyability(F.col("x"), 0.05).alias("beyond_margin"), labels.buyability(F.col("x")).alias("buyable")),
 )
-_scored_query("label_profit_bucket", f"SELECT {_D}, instrument, CAST(CASE WHEN label IS NULL THEN NULL WHEN abs(label) <= 0.1 THEN 0 ELSE sign(label) * CASE WHEN abs(label) <= 0.5 THEN 1 ELSE 2 END END AS DOUBLE) AS bucket, CAST(CASE WHEN label > 0.15 THEN 1 WHEN label <= 0.05 THEN 0 END AS DOUBLE) AS buyable FROM scored", lambda s: s.select("date", "instrument", labels.profit_bucket(F.col("label"), 0.1, 0.5).alias("bucket"), labels.buyability(F.col("label"), 0.1, 0.05).alias("buyable")))
 _scored_query(
     "sample_weights",
     f", w AS (SELECT *, greatest(1 + power(abs(label) / 0.5, 1.5), 1.2) AS raw FROM scored WHERE label IS NOT NULL), d AS (SELECT *, raw / avg(raw) OVER (PARTITION BY date) AS dw FROM w) SELECT {_D}, instrument, {r6('dw / (SELECT avg(dw) FROM d)')} AS weight FROM d",
@@ -276,12 +309,17 @@ _scored_query(
 )
 _scored_query(
     "ranking_relevance",
-    f"SELECT {_D}, instrument, CAST(CASE WHEN n <= 1 OR lo = hi THEN 0 ELSE least(4, greatest(0, floor((r - 1) * 5 / n + 1e-8))) END AS BIGINT) AS relevance FROM (SELECT *, {_AR('label', 'date')} AS r, count(label) OVER (PARTITION BY date) AS n, min(label) OVER (PARTITION BY date) AS lo, max(label) OVER (PARTITION BY date) AS hi FROM scored) WHERE label IS NOT NULL",
-    lambda s: labels.relevance(s, 5).where("label IS NOT NULL").select("date", "instrument", "relevance"),
+    f"SELECT {_D}, instrument, CAST(CASE WHEN x IS NULL OR n <= 1 OR lo = hi THEN 0 ELSE least(4, greatest(0, floor((r - 1) * 5 / n + 1e-8))) END AS BIGINT) AS relevance FROM (SELECT *, {_AR('x', 'date')} AS r, count(x) OVER (PARTITION BY date) AS n, min(x) OVER (PARTITION BY date) AS lo, max(x) OVER (PARTITION BY date) AS hi FROM (SELECT *, CAST(label AS FLOAT) AS x FROM scored))",
+    lambda s: labels.relevance(s, 5).select("date", "instrument", "relevance"),
 )
 _scored_query("ranking_groups", f"SELECT {_D}, count(*) AS size FROM scored WHERE label IS NOT NULL GROUP BY date", lambda s: labels.group_sizes(s.where("label IS NOT NULL")))
 _scored_query(
     "opportunity_label",
-    f"SELECT {_D}, instrument, {r6('label - m - 0.0123456789')} AS edge, CAST(CASE WHEN label - m - 0.0123456789 > 0 THEN 1 WHEN label - m - 0.0123456789 <= 0 THEN 0 END AS DOUBLE) AS opportunity FROM (SELECT *, avg(label) OVER (PARTITION BY date, industry) AS m FROM scored)",
-    lambda s: s.withColumn("edge", training.opportunity_edge(s, "industry_excess", 0.0123456789)).select("date", "instrument", "edge", labels.opportunity_label(F.col("edge")).alias("opportunity")),
+    f", e AS (SELECT *, label IS NOT NULL AS ok FROM scored) SELECT {_D}, instrument, {r6('label - m - 0.0123456789')} AS edge, CAST(CASE WHEN label - m - 0.0123456789 > 0 THEN 1 WHEN label - m - 0.0123456789 <= 0 THEN 0 END AS DOUBLE) AS opportunity FROM (SELECT *, avg(label) FILTER (ok) OVER (PARTITION BY date, industry) AS m FROM e)",
+    lambda s: training.with_edge(s, "industry_excess", 0.0123456789, ["score", "score2"]).select("date", "instrument", "edge", labels.opportunity_label(F.col("edge")).alias("opportunity")),
+)
+_scored_query(
+    "opportunity_edges",
+    f", b AS (SELECT date, avg(ret) AS ret FROM scored GROUP BY date HAVING avg(ret) IS NOT NULL), f AS (SELECT date, CASE WHEN count(ret) OVER w = 2 THEN product(1 + ret) OVER w - 1 END AS fwd FROM b WINDOW w AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) SELECT CAST(s.date AS VARCHAR) AS date, instrument, {r6('label')} AS positive, {r6('(label - 0.01)')} AS threshold, {r6('(label - fwd - 0.01)')} AS benchmark FROM scored s LEFT JOIN f USING (date)",
+    lambda s: training.with_edge(training.with_edge(training.with_edge(s, "positive", out="positive"), "threshold", 0.01, out="threshold"), "benchmark_excess", 0.01, benchmark=labels.forward_compound(labels.cross_section_benchmark(s, "ret"), 2), out="benchmark").select("date", "instrument", "positive", "threshold", "benchmark"),
 )

@@ -24,11 +24,12 @@ def registered(sql: str | None = None):
 
 
 _D = "CAST(date AS VARCHAR) AS date"
-_PAIRS = ", p AS (SELECT date, instrument, score AS a, score2 AS b FROM scored WHERE score IS NOT NULL AND score2 IS NOT NULL AND CAST(symbol AS BIGINT) % 4 > 0)"
+_PAIRS = ", p AS (SELECT date, instrument, score AS a, score2 AS b FROM scored WHERE score IS NOT NULL AND score2 IS NOT NULL)"
 
 
 def _two(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return s.where(F.col("symbol").cast("long") % 4 > 0).select("date", "instrument", "score"), s.select("date", "instrument", F.col("score2").alias("score"))
+    """Both scores; each is missing where its look-back is, on other rows than the other's."""
+    return s.select("date", "instrument", "score"), s.select("date", "instrument", F.col("score2").alias("score"))
 
 
 @registered(f"{_PAIRS} SELECT {_D}, instrument, {r6('(ra / n) * (rb / n)')} AS score FROM (SELECT *, {avg_rank_sql('a', 'date')} AS ra, {avg_rank_sql('b', 'date')} AS rb, count(*) OVER (PARTITION BY date) AS n FROM p)")
@@ -155,13 +156,16 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUCKETS = f", k AS (SELECT *, {avg_rank_sql('score', 'date')} AS r, count(*) OVER (PARTITION BY date) AS c FROM scored WHERE score IS NOT NULL AND label IS NOT NULL), b AS (SELECT 10 - CAST(greatest(0, least(9, floor(r / c * 10 - 1e-12))) AS BIGINT) AS bucket, label FROM k), sb AS (SELECT bucket, avg(label) AS v FROM b GROUP BY bucket)"
 
 
-@registered(f"{_BUCKETS}, r AS (SELECT *, rank() OVER (ORDER BY v) AS vr, rank() OVER (ORDER BY v DESC) AS pl FROM sb) SELECT {r6('max(v) FILTER (bucket = 1)')} AS top_mean, {r6('max(v) FILTER (bucket = 10)')} AS bottom_mean, {r6('avg(v) FILTER (bucket BETWEEN 2 AND 9)')} AS middle_mean, arg_max(bucket, v) AS best_bucket, arg_min(bucket, v) AS worst_bucket, max(pl) FILTER (bucket = 1) AS top_place, {r6('covar_pop(bucket, vr) / (stddev_pop(bucket) * stddev_pop(vr))')} AS spearman FROM r")
+@registered(f"""{_BUCKETS}, r AS (SELECT *, rank() OVER (ORDER BY v) AS vr, rank() OVER (ORDER BY v DESC) AS pl FROM sb), t AS (SELECT max(v) FILTER (bucket = 1) AS top, max(v) FILTER (bucket = 10) AS bottom, avg(v) FILTER (bucket BETWEEN 3 AND 7) AS m, max(v) FILTER (bucket BETWEEN 3 AND 7) AS mb, max(v) AS hi, min(v) AS lo,
+arg_max(bucket, v) AS best, arg_min(bucket, v) AS worst, max(pl) FILTER (bucket = 1) AS place, covar_pop(bucket, vr) / (stddev_pop(bucket) * stddev_pop(vr)) AS rho FROM r)
+SELECT CAST(1 AS BIGINT) AS top_bucket, CAST(10 AS BIGINT) AS bottom_bucket, {', '.join(f'{r6(x)} AS {n}' for n, x in (('top_label_mean', 'top'), ('bottom_label_mean', 'bottom'), ('top_minus_bottom', '(top - bottom)'), ('middle_label_mean', 'm'), ('middle_best_label_mean', 'mb'), ('top_minus_middle_mean', '(top - m)'), ('top_minus_middle_best', '(top - mb)'), ('best_bucket_label_mean', 'hi'), ('worst_bucket_label_mean', 'lo'), ('bucket_label_spearman', 'rho')))},
+best AS best_bucket, worst AS worst_bucket, place AS top_bucket_label_rank FROM t""")
 def bucket_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = compare.score_buckets(scored(spark, sf_dir).withColumn("run", F.lit("a")))
     return doubles(compare.bucket_shape(b).drop("run"))
 
 
-@registered(f"{_RUNS_SQL}{_REB}, k AS (SELECT *, lag(ret) OVER (PARTITION BY run ORDER BY block) AS metric FROM rb), p AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY metric, period_start) - 1 AS p FROM k WHERE metric IS NOT NULL) SELECT run, CASE WHEN p < floor(n / 3) THEN 'low' WHEN p < 2 * floor(n / 3) THEN 'middle' ELSE 'high' END AS tercile, count(*) AS n, {r6('avg(metric)')} AS metric_mean, {r6('avg(ret)')} AS ret_mean FROM p WHERE n >= 9 GROUP BY 1, 2")
+@registered(f"{_RUNS_SQL}{_REB}, k AS (SELECT *, lag(ret) OVER (PARTITION BY run ORDER BY block) AS metric FROM rb), p AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY metric, period_start) - 1 AS p FROM k WHERE metric IS NOT NULL) SELECT run, CASE WHEN p < floor(n / 3) THEN 'low' WHEN p < 2 * floor(n / 3) THEN 'mid' ELSE 'high' END AS bin, count(*) AS n, CAST(count(*) FILTER (ret > 0) AS BIGINT) AS positive_count, {r6('count(*) FILTER (ret > 0) / count(*)')} AS positive_rate, {r6('avg(metric)')} AS metric_mean, {r6('avg(ret)')} AS ret_mean FROM p WHERE n >= 9 GROUP BY 1, 2")
 def validation_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -169,11 +173,11 @@ def validation_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(compare.validation_terciles(blocks))
 
 
-_IMP_SQL = ", im AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS feature, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS run, sum(CAST(p_size AS BIGINT))::DOUBLE AS importance FROM part WHERE p_partkey % 7 > 0 GROUP BY 1, 2)"
+_IMP_SQL = ", im AS (SELECT CAST(p_partkey % 60 AS VARCHAR) AS feature, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS run, sum(CAST(p_size AS BIGINT))::DOUBLE AS importance FROM part GROUP BY 1, 2)"
 
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 7 > 0")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.groupBy((F.col("p_partkey") % 60).cast("string").alias("feature"), F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b").alias("run")).agg(F.sum("p_size").cast("double").alias("importance"))
 
 
@@ -183,9 +187,54 @@ def importance_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.importance_compare(im.where("run = 'a'"), im.where("run = 'b'"))
 
 
-@registered(f"{_IMP_SQL} SELECT run, family, importance, {r6('importance / sum(importance) OVER (PARTITION BY run)')} AS share FROM (SELECT run, CASE WHEN length(feature) = 1 THEN 'short' ELSE 'long' END AS family, sum(importance) AS importance FROM im GROUP BY 1, 2)")
+_FAMILY_SQL = "CASE WHEN p_name LIKE 'TS_stock_vs_industry_%' THEN 'ts_stock_vs_industry' WHEN p_name LIKE 'TS_industry_%' THEN 'ts_industry_state' WHEN p_name LIKE '%_minus_industry' THEN 'ts_relative_value_quality' WHEN starts_with(p_name, 'TS_dividend') OR starts_with(p_name, 'TS_bp') OR starts_with(p_name, 'TS_sp') OR starts_with(p_name, 'TS_ep') THEN 'ts_valuation' WHEN contains(p_name, 'amihud') OR contains(p_name, 'turnover') THEN 'liquidity' WHEN starts_with(p_name, 'LGBM_') THEN 'lgbm' WHEN starts_with(p_name, 'TEMP_') THEN 'temporal' WHEN starts_with(p_name, 'TECH_') THEN 'technical' ELSE 'other' END"
+#: Feature names that the parts of the synthetic table stand for.
+_NAMES = ["TS_stock_vs_industry_ret_5", "TS_industry_ret_20", "TS_bp_minus_industry", "TS_bp_ttm", "TS_dividend_z", "TS_turnover_gap", "LGBM_amihud_20", "LGBM_ret_20", "TEMP_std_60", "TECH_rsi_6", "KMID", "TS_sem_value"]
+_NAMED_SQL = f", nm AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS run, ({_NAMES!r})[1 + CAST(p_partkey % {len(_NAMES)} AS INTEGER)] AS p_name, p_size FROM part)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(k % 2 == 0, "a").otherwise("b").alias("run"), F.get(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES)).cast("int")).alias("feature"), F.col("p_size").cast("double").alias("importance"))
+
+
+@registered(f"{_NAMED_SQL} SELECT run, family, importance, {r6('importance / sum(importance) OVER (PARTITION BY run)')} AS share FROM (SELECT run, {_FAMILY_SQL} AS family, sum(CAST(p_size AS BIGINT))::DOUBLE AS importance FROM nm GROUP BY 1, 2)")
 def family_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(compare.family_shares(_importance(spark, sf_dir), F.when(F.length("feature") == 1, "short").otherwise("long")))
+    return doubles(compare.family_shares(_named(spark, sf_dir), compare.feature_family(F.col("feature"))))
+
+
+_GROUPS = {"TS_stock_vs_industry_ret_5": "tushare_industry", "TS_industry_ret_20": "tushare_industry", "TS_bp_minus_industry": "tushare_valuation_dividend", "TS_bp_ttm": "tushare_valuation_dividend", "TS_dividend_z": "tushare_valuation_dividend", "TS_turnover_gap": "tushare_flow_liquidity", "LGBM_amihud_20": "lgbm_purified", "LGBM_ret_20": "lgbm_purified", "TEMP_std_60": "temporal", "TECH_rsi_6": "technical", "KMID": "alpha158", "TS_sem_value": "tushare_semantic_alpha"}
+
+
+@registered(f"{_NAMED_SQL} SELECT p_name AS feature, CASE p_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _GROUPS.items()) + " END AS feature_group, count(*) AS n FROM nm GROUP BY 1, 2")
+def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.diagnostics import feature_group
+
+    return _named(spark, sf_dir).groupBy("feature", feature_group(F.col("feature")).alias("feature_group")).agg(F.count("*").alias("n"))
+
+
+_POOL_SQL = """, f AS (SELECT CAST(c_custkey AS VARCHAR) AS run, c_custkey AS k, CAST(c_acctbal AS DOUBLE) / 10000 AS b FROM customer),
+p AS (SELECT *, b AS annualized_return, b * 5 AS sharpe_ratio, -abs(b) / 3 AS max_drawdown, abs(b) AS top5, CASE WHEN k % 9 > 0 THEN b - 0.2 END AS tmb, k % 4 + 1 AS best, k % 3 + 1 AS place, b - 0.5 AS tmm, CASE WHEN k % 11 > 0 THEN b - 0.4 END AS yearly,
+  CASE WHEN k % 5 > 0 THEN b / 10 END AS spread, b AS winrate, CASE WHEN k % 6 = 0 THEN b - 0.6 END AS fx, CASE WHEN k % 6 = 0 THEN b END AS fw, CASE WHEN k % 2 = 0 THEN b - 0.7 END AS cx, CASE WHEN k % 2 = 0 THEN b - 0.1 END AS cw FROM f),
+g AS (SELECT *, annualized_return >= 0.3 AND sharpe_ratio >= 1.5 AS g1, max_drawdown >= -0.15 AS g2, top5 <= 0.5 AS g3, coalesce(tmb, 0) > 0 AS g4, best <= 2 AND place <= 2 AND tmm >= 0 AS g5, coalesce(yearly >= -0.005, false) AS g6, coalesce(spread, 0) >= 0.01 AND winrate >= 0.6 AS g7,
+  fx IS NOT NULL AS hf, fx IS NULL AND cx IS NOT NULL AS hc, coalesce(fx, 0) >= 0 AND coalesce(fw, 0) >= 0.55 AS g8, coalesce(cx, 0) >= 0 AND coalesce(cw, 0) >= 0.55 AS g9 FROM p),
+x AS (SELECT *, concat_ws(',', CASE WHEN hf AND NOT g8 THEN 'beats_fixed_risk_rank_avg_factor_baseline' END, CASE WHEN hc AND NOT g9 THEN 'beats_rank_ic_weighted_factor_baseline' END, CASE WHEN NOT g5 THEN 'bucket_calibrated_for_sizing' END, CASE WHEN NOT g4 THEN 'bucket_separates_bad_tail' END, CASE WHEN NOT g3 THEN 'concentration_control' END,
+  CASE WHEN NOT g2 THEN 'drawdown_control' END, CASE WHEN NOT g1 THEN 'return_quality' END, CASE WHEN NOT g7 THEN 'validation_metric_supports_risk_gate' END, CASE WHEN NOT g6 THEN 'yearly_bucket_not_inverted' END) AS failed,
+  CAST(g1 AS INTEGER) + CAST(g2 AS INTEGER) + CAST(g3 AS INTEGER) + CAST(g4 AS INTEGER) + CAST(g5 AS INTEGER) + CAST(g6 AS INTEGER) + CAST(g7 AS INTEGER) + CAST(hf AND g8 AS INTEGER) + CAST(hc AND g9 AS INTEGER) AS passed, 7 + CAST(hf AS INTEGER) + CAST(hc AS INTEGER) AS total FROM g)"""
+
+
+@registered(f"""{_POOL_SQL} SELECT run, CASE WHEN NOT g1 THEN 'research_archive' WHEN (hf AND NOT g8) OR (hc AND NOT g9) THEN 'portfolio_candidate_requires_router' WHEN g5 AND g7 THEN 'ranker_and_sizer' WHEN g4 AND g7 THEN 'pool_selector_with_validation_gate' WHEN g4 THEN 'pool_selector_only' ELSE 'portfolio_candidate_requires_router' END AS candidate_role,
+CAST(passed AS BIGINT) AS passed_count, CAST(total AS BIGINT) AS total_count, failed AS failed_gates FROM x""")
+def candidate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for runs, whose figures lie on both sides of every bound."""
+    b, k = F.col("c_acctbal").cast("double") / 10000, F.col("c_custkey")
+    given = {
+        "annualized_return": b, "sharpe_ratio": b * 5, "max_drawdown": -F.abs(b) / 3, "top5_positive_share": F.abs(b), "top_minus_bottom": F.when(k % 9 > 0, b - 0.2), "best_bucket": k % 4 + 1, "top_bucket_label_rank": k % 3 + 1,
+        "top_minus_middle_best": b - 0.5, "min_yearly_top_minus_bottom": F.when(k % 11 > 0, b - 0.4), "high_low_return_spread": F.when(k % 5 > 0, b / 10), "high_positive_rebalance_rate": b,
+        "fixed_risk_rank_avg_factor_baseline_excess": F.when(k % 6 == 0, b - 0.6), "fixed_risk_rank_avg_factor_baseline_win": F.when(k % 6 == 0, b),
+        "rank_ic_weighted_factor_baseline_excess": F.when(k % 2 == 0, b - 0.7), "rank_ic_weighted_factor_baseline_win": F.when(k % 2 == 0, b - 0.1),
+    }
+    return compare.promotion(spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("run"), *(v.alias(n) for n, v in given.items())))
 
 
 @registered(f"{_RUNS_SQL}, s AS (SELECT x.date, x.held AS h, y.held AS g FROM runs x JOIN runs y USING (date) WHERE x.run = 'a' AND y.run = 'b'), c AS (SELECT date, len(list_intersect(h, g)) AS n_common, len(h) AS nh, len(g) AS ng FROM s) SELECT {_D}, nh + ng - n_common AS n_union, n_common, nh - n_common AS n_only_a, ng - n_common AS n_only_b, {r6('n_common / (nh + ng - n_common)')} AS jaccard FROM c")
@@ -242,9 +291,9 @@ def simulate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(simulate.run_scenarios(rows, SETTINGS))
 
 
-@registered(f"SELECT CAST(d.date AS VARCHAR) AS date, instrument, {r6('score')} AS score FROM (SELECT DISTINCT date FROM scored WHERE month(date) < 3) d CROSS JOIN (SELECT DISTINCT instrument FROM scored WHERE month(date) < 3) i LEFT JOIN scored s USING (date, instrument)")
+@registered(f"SELECT CAST(d.date AS VARCHAR) AS date, instrument, {r6('score')} AS score FROM (SELECT DISTINCT date FROM scored) d CROSS JOIN (SELECT DISTINCT instrument FROM scored) i LEFT JOIN scored s USING (date, instrument)")
 def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(joins.dense(scored(spark, sf_dir).where("month(date) < 3").select("date", "instrument", "score")))
+    return doubles(joins.dense(scored(spark, sf_dir).select("date", "instrument", "score")))
 
 
 @registered(f"SELECT count(*) AS rows, count(DISTINCT date) AS dates, count(DISTINCT instrument) AS instruments, count(score) AS finite, count(DISTINCT date) * count(DISTINCT instrument) AS cells, count(DISTINCT date) * count(DISTINCT instrument) - count(score) AS missing, {r6('count(score) / (count(DISTINCT date) * count(DISTINCT instrument))')} AS density FROM scored")

@@ -104,7 +104,7 @@ def _summary_sql(extra: str = "", source: str = "long") -> str:
 
 @registered(f"{_LONG_SQL}{_summary_sql()} SELECT feature, 'alpha158' AS feature_group, {', '.join(COUNTS)}, {', '.join(f'{r6(c)} AS {c}' for c in METRICS)} FROM summary")
 def factor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnostics.summary(_long(spark, sf_dir), BINS).select("feature", "feature_group", *COUNTS, *METRICS), METRICS)
+    return rounded(diagnostics.wide_summary(scored(spark, sf_dir).where("label IS NOT NULL"), FEATURES, BINS).select("feature", "feature_group", *COUNTS, *METRICS), METRICS)
 
 
 SEGMENTS = [("early", "1992-01-01", "1997-12-31"), ("late", "1998-01-01", "2003-12-31")]
@@ -204,11 +204,20 @@ def validation_metric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_date(joins.metric_of_date(scored(spark, sf_dir).select("date").distinct(), records))
 
 
-@registered(f""", p AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, instrument) AS p, row_number() OVER (PARTITION BY date ORDER BY score, instrument DESC) AS q FROM scored WHERE score IS NOT NULL AND label IS NOT NULL),
-d AS (SELECT date, avg(label) FILTER (p = 1) AS top1, avg(label) FILTER (p <= 5) AS t, avg(label) AS a, avg(label) FILTER (q <= 5) AS b, avg(CAST(label > 0 AS INTEGER)) FILTER (p <= 5) AS h, count(*) AS n FROM p GROUP BY date)
-SELECT count(*) AS days, {r6('avg(top1)')} AS top1_label_mean, {r6('avg(t)')} AS topk_label_mean, {r6('avg(t - a)')} AS topk_excess_mean, {r6('avg(a)')} AS universe_label_mean, {r6('avg(b)')} AS bottomk_label_mean, {r6('avg(t - b)')} AS topk_bottomk_spread, {r6('avg(h)')} AS topk_hit_rate, {r6('avg(CAST(t > a AS INTEGER))')} AS topk_beat_rate, {r6('avg(n)')} AS names_mean FROM d""")
+@registered(f""", p AS (SELECT *, CASE WHEN score2 IS NOT NULL THEN CAST(label > 0.1 AS INTEGER) END AS o, row_number() OVER (PARTITION BY date ORDER BY score DESC, instrument DESC) AS p FROM scored WHERE score IS NOT NULL AND label IS NOT NULL),
+k AS (SELECT * FROM p WHERE p <= 5), f AS (SELECT date, arg_min(label, instrument) AS y, arg_min(o, instrument) AS o FROM (SELECT *, max(score) OVER (PARTITION BY date) AS m FROM k) WHERE score = m GROUP BY date),
+d AS (SELECT date, avg(label) AS t, median(label) AS md, min(label) AS mn, avg(CAST(label > 0 AS INTEGER)) AS h, avg(o) AS orate FROM k GROUP BY date), a AS (SELECT date, avg(label) AS a FROM p GROUP BY date), one AS (SELECT f.y, f.o, d.*, a.a FROM f JOIN d USING (date) JOIN a USING (date))
+SELECT count(*) AS valid_topk_days, {r6('avg(y)')} AS valid_top1_label_mean, {r6('avg(CAST(y > 0 AS INTEGER))')} AS valid_top1_positive_rate, {r6('avg(t)')} AS valid_topk_label_mean, {r6('avg(md)')} AS valid_topk_label_median, {r6('avg(mn)')} AS valid_topk_min_label_mean, {r6('avg(h)')} AS valid_topk_positive_rate, {r6('avg(t - a)')} AS valid_topk_excess_mean,
+{r6('avg(o)')} AS valid_top1_opportunity_rate, {r6('avg(orate)')} AS valid_topk_opportunity_rate FROM one""")
 def topk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(training.topk_summary(scored(spark, sf_dir), 5, prediction="score"))
+    s = scored(spark, sf_dir).withColumn("opportunity", F.when(F.col("score2").isNotNull(), (F.col("label") > 0.1).cast("double")))
+    return doubles(training.topk_summary(s, 5, prediction="score", opportunity="opportunity"))
+
+
+@registered(f"SELECT CAST(date AS VARCHAR) AS date, instrument, {r6('label')} AS label FROM scored WHERE (date, instrument) IN (SELECT (date, instrument) FROM scored WHERE score3 > 0.1)")
+def labels_of_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir)
+    return doubles(training.of_predictions(s.select("date", "instrument", "label"), s.where("score3 > 0.1")))
 
 
 @registered()

@@ -22,7 +22,6 @@ def test_periods_segments_and_provenance():
     for bad in (lambda: batches.feature_profile("p", [], 1, {"period": "test"}), lambda: batches.period(config, "valid"), lambda: batches.segments("x", a, b), lambda: batches.presets("x"), lambda: batches.one_day_labels({"backtest_label_horizon": 5})):
         with pytest.raises(ValueError):
             bad()
-    assert batches.role({"a": 1, "b": 0}, {"a": 0.5}) == "champion" and batches.role({"a": 0}, {"a": 0.5}) == "archive"
 
 
 def test_bundle_checks(spark):

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from alphaloom.functions import dsl
@@ -99,10 +101,42 @@ def test_generate_over_a_short_panel(spark):
         generate(panel, ["nothing"])
 
 
-def test_recursive_smoothing_equals_the_recurrence():
-    import numpy as np
-    import pandas as pd
+def smooth(x: pd.Series, alpha: float, least: int) -> pd.Series:
+    """Recursive mean seeded with the first observed value; missing rows stay missing and do not decay it."""
+    return x.ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean().where(x.notna())
+
+
+def span(x: pd.Series, n: int) -> pd.Series:
+    return smooth(x, 2 / (n + 1), n)
+
+
+def smoothed(bars: pd.DataFrame) -> pd.DataFrame:
+    """The recursive indicators of one symbol's bars in date order."""
+    c, h, l = bars["close"], bars["high"], bars["low"]
+    out = {}
+    line = span(c, 12) - span(c, 26)
+    signal = span(line, 9)
+    out["macd_line_12_26_9"], out["macd_signal_12_26_9"], out["macd_hist_12_26_9"] = line, signal, line - signal
+    move = c.diff()
+    for n in technical.RSI:
+        gain, loss = smooth(move.clip(lower=0), 1 / n, n), smooth((-move).clip(lower=0), 1 / n, n)
+        no_gain, no_loss = ~(gain > 1e-12), ~(loss > 1e-12)
+        out[f"rsi_{n}"] = (100 - 100 / (1 + gain / (loss + 1e-12))).where(~no_loss, 100.0).where(~(no_gain & no_loss), 50.0)
+    up, down = h.diff(), -l.diff()
+    plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
+    c1 = c.shift(1)
+    span_ = pd.concat([(h - l).abs(), (h - c1).abs(), (l - c1).abs()], axis=1).max(axis=1)
+    width = smooth(span_, 1 / 14, 14)
+    p, m = (100 * smooth(x, 1 / 14, 14) / (width + 1e-12) for x in (plus, minus))
+    out["adx_14"], out["plus_di_14"], out["minus_di_14"] = smooth(100 * (p - m).abs() / (p + m + 1e-12), 1 / 14, 14), p, m
+    third = span(span(span(c, 15), 15), 15)
+    trix = (third / third.shift(1) - 1) * 100
+    signal = span(trix, 9)
+    out["trix_15"], out["trix_signal_15_9"], out["trix_hist_15_9"] = trix, signal, trix - signal
+    return pd.DataFrame(out)
+
 
+def test_recursive_smoothing_equals_the_recurrence():
     rng = np.random.default_rng(0)
     x = rng.normal(10, 1, 60)
     x[[3, 17, 18]] = np.nan
@@ -113,10 +147,10 @@ def test_recursive_smoothing_equals_the_recurrence():
             continue
         level, seen = v if level is None else alpha * v + (1 - alpha) * level, seen + 1
         want.append(level if seen >= least else np.nan)
-    assert np.allclose(technical.smooth(pd.Series(x), alpha, least), want, equal_nan=True)
-    flat = technical.smoothed(pd.DataFrame({"close": [5.0] * 40, "high": [5.0] * 40, "low": [5.0] * 40}))
+    assert np.allclose(smooth(pd.Series(x), alpha, least), want, equal_nan=True)
+    flat = smoothed(pd.DataFrame({"close": [5.0] * 40, "high": [5.0] * 40, "low": [5.0] * 40}))
     assert (flat["rsi_6"] == 50).all() and flat["adx_14"].dropna().eq(0).all()
-    rising = technical.smoothed(pd.DataFrame({"close": np.arange(40.0), "high": np.arange(40.0) + 1, "low": np.arange(40.0) - 1}))
+    rising = smoothed(pd.DataFrame({"close": np.arange(40.0), "high": np.arange(40.0) + 1, "low": np.arange(40.0) - 1}))
     assert (rising["rsi_6"].iloc[10:] == 100).all()
 
 
@@ -187,12 +221,10 @@ def test_no_formula_looks_ahead(spark):
 
 def test_kernels_agree_with_sql(spark):
     """All factors by numpy kernels over Arrow batches and by SQL windows, on a panel with holes."""
-    import numpy as np
-
     from alphaloom.functions.kernel import with_kernels
 
     rng = np.random.default_rng(4)
-    names = sorted({s for x in registry(canonicalize=False).values() for s in sources(x)} - set(technical.SMOOTHED))
+    names = sorted({s for x in registry(canonicalize=False).values() for s in sources(x)})
     rows = []
     for symbol, n in ((1, 1), (2, 70), (3, 40), (4, 130)):
         for i in range(n):
@@ -206,8 +238,9 @@ def test_kernels_agree_with_sql(spark):
         assert (np.isnan(a) == np.isnan(b))[~big].all(), k
         ok = ~np.isnan(a) & ~big & ~np.isnan(b)
         assert np.allclose(a[ok], b[ok], rtol=1e-6, atol=1e-6), k
-    smooth = technical.with_smoothing(panel.select("symbol", "date", "close", "high", "low")).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+    bars = panel.select("symbol", "date", "close", "high", "low").toPandas().sort_values(["symbol", "date"])
+    by_hand = pd.concat([smoothed(g[["close", "high", "low"]].astype(float)) for _, g in bars.groupby("symbol")]).reset_index(drop=True)
     again = with_kernels(panel, technical.recursive(), keep=["symbol", "date"]).toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
     for k in technical.SMOOTHED:
-        a, b = (np.where(np.isfinite(x), x, np.nan) for x in (smooth[k].to_numpy(float), again[k].to_numpy(float)))
+        a, b = (np.where(np.isfinite(x), x, np.nan) for x in (by_hand[k].to_numpy(float), again[k].to_numpy(float)))
         assert np.allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True), k

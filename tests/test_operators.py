@@ -135,10 +135,14 @@ def test_windows_and_validation(spark):
     w = one(training.rolling_windows(days, 5, 3, 4, 2), "window_id")
     assert [(r["train_start"].day, r["train_end"].day, r["valid_start"].day, r["valid_end"].day, r["test_start"].day, r["test_end"].day) for r in w] == [(1, 5, 6, 8, 11, 14), (5, 9, 10, 12, 15, 18), (9, 13, 14, 16, 19, 20)]
     df = spark.createDataFrame([(1, "a", 0.01, 0.2), (1, "b", 0.03, 0.9), (2, "a", -0.02, 0.1), (2, "b", 0.04, 0.8)], "date int, instrument string, label double, prediction double")
-    top = training.topk_summary(df, 1).first()
-    assert top["topk_label_mean"] == pytest.approx(0.035) and top["topk_excess_mean"] == pytest.approx(0.02)
+    top = training.topk_summary(df.withColumn("o", F.lit(1.0)), 1, opportunity="o").first()
+    assert top["valid_topk_days"] == 2 and top["valid_topk_excess_mean"] == pytest.approx(0.02)
+    assert all(top[f"valid_{c}"] == pytest.approx(0.035) for c in ("top1_label_mean", "topk_label_mean", "topk_label_median", "topk_min_label_mean"))
+    assert all(top[f"valid_{c}"] == 1.0 for c in ("top1_positive_rate", "topk_positive_rate", "top1_opportunity_rate", "topk_opportunity_rate"))
     ties = spark.createDataFrame([(1, "a", 1.0, 0.9), (1, "b", 2.0, 0.8), (1, "c", 100.0, 0.8), (1, "d", 0.0, 0.1)], "date int, instrument string, label double, prediction double")
-    assert training.topk_summary(ties, 2).first()["topk_label_mean"] == 1.5 and training.topk_summary(ties, 2, earlier=False).first()["topk_label_mean"] == 50.5
+    assert training.topk_summary(ties, 2).first()["valid_topk_label_mean"] == 50.5 and training.topk_summary(ties, 2, earlier=True).first()["valid_topk_label_mean"] == 1.5
+    level = spark.createDataFrame([(1, "a", 1.0, 0.5), (1, "b", 2.0, 0.5), (1, "c", 5.0, 0.5)], "date int, instrument string, label double, prediction double")
+    assert training.topk_summary(level, 2).first()["valid_top1_label_mean"] == 2.0
     rows = spark.createDataFrame([(1.0, 0.1), (float("inf"), 0.1), (None, 0.1), (1.0, nan)], "f double, label double")
     assert training.trainable(rows, ["f"]).count() == 2 and training.predictable(rows, ["f"]).count() == 3
 
@@ -279,12 +283,27 @@ def test_text_forms(spark):
 
 def test_lifecycle_pending_chunks_universe(spark):
     target = F.lit("2024-01-10").cast("date")
-    df = spark.createDataFrame([("a", day(20), None, None), ("b", day(1), day(5), day(4)), ("c", day(1), None, day(8)), ("d", day(1), None, day(10))], "symbol string, list_date date, delist_date date, last_trade date")
-    df = df.withColumn("status", collect.lifecycle(df, target))
-    assert [r["status"] for r in one(df, "symbol")] == ["not_yet_listed", "delisted", "suspended", "active"]
-    m = spark.createDataFrame([("b", day(4)), ("d", day(10))], "symbol string, max_date date")
-    end = collect.effective_end(F.col("status"), target)
-    assert {r["symbol"] for r in collect.pending(df, m, target).collect()} == {"b", "c"} and [r["e"] for r in one(df.select("symbol", end.alias("e")), "symbol")][1:3] == [day(4), day(8)]
+    life = "symbol string, list_status string, list_date date, delist_date date, last_trade date, last_factor date, last_limit date"
+    df = spark.createDataFrame([
+        ("a", "L", day(20), None, None, None, None), ("b", "D", day(1), day(5), day(4), None, None), ("c", "L", day(1), None, day(8), day(10), day(10)), ("d", "L", day(1), None, day(10), day(10), day(10)),
+        ("e", "L", day(1), day(5), day(8), None, None), ("f", "L", day(1), None, day(8), day(10), day(9)), ("g", "D", day(1), day(5), None, None, None),
+    ], life)
+    df = df.withColumn("status", collect.lifecycle(target))
+    assert [r["status"] for r in one(df, "symbol")] == ["not_yet_listed", "delisted", "suspended", "active", "active", "active", "delisted"]
+    early = spark.createDataFrame([("L", None, None, dt.date(2006, 1, 8), dt.date(2006, 1, 10), None)], life.removeprefix("symbol string, "))
+    assert [early.select(collect.lifecycle(F.lit(d).cast("date"))).first()[0] for d in ("2006-01-10", "2007-01-04")] == ["suspended", "active"]
+    m = spark.createDataFrame([("b", day(4)), ("d", day(10)), ("c", day(8)), ("e", day(8))], "symbol string, max_date date")
+    df = df.withColumn("effective_end", collect.effective_end(F.col("status"), target))
+    assert [r["effective_end"] for r in one(df, "symbol")] == [day(10), day(4), day(8), day(10), day(10), day(10), day(5)]
+    assert {r["symbol"] for r in collect.pending(df, m, target).collect()} == {"e", "f", "g"}
+    stages = spark.createDataFrame([("x", day(10), day(10), day(10), day(10), day(10)), ("y", day(10), day(10), day(10), day(9), day(10)), ("z", day(10), day(10), day(10), day(10), day(9)), ("n", None, day(10), day(10), day(10), day(10))], "symbol string, daily_latest date, daily_basic_latest date, adj_factor_latest date, stk_limit_latest date, processed_latest date")
+    stages = stages.withColumns({"status": F.lit("active"), "effective_end": target})
+    todo, done = collect.split_pending(stages, target)
+    assert {r["symbol"] for r in done.collect()} == {"x"} and todo.count() == 3
+    begun = stages.withColumns({f"{s}_earliest": F.lit(d).cast("date") for s, d in zip(collect.STAGES, ("2020-01-01", "2020-01-02", "2020-01-01"))} | {f"{s}_ready": F.col("symbol") == "?" for s in collect.STAGES})
+    assert collect.split_pending(begun, target, F.lit("2020-01-01").cast("date"))[1].count() == 0 and collect.split_pending(begun, target, F.lit("2020-01-02").cast("date"))[1].count() == 1
+    f = spark.createDataFrame([(day(5), day(5), None), (day(5), day(6), None), (day(5), None, day(5)), (day(5), day(6), day(4)), (None, None, None)], "expected date, earliest date, exhausted date")
+    assert [r[0] for r in f.select(collect.backfilled(F.col("expected"), F.col("earliest"), F.col("exhausted"))).collect()] == [True, False, True, False, True]
     c = spark.range(1).select(collect.chunks(F.lit("2000-01-01").cast("date"), F.lit("2025-06-30").cast("date")).alias("c")).first()["c"]
     assert [(x["start"].year, str(x["end"])) for x in c] == [(2000, "2011-12-31"), (2012, "2023-12-31"), (2024, "2025-06-30")]
     u = spark.createDataFrame([("1", "20240101", None), ("1", "20240101", None)], "code string, in_date string, out_date string")
@@ -354,15 +373,108 @@ def test_experiments(spark):
 
 
 def test_comparisons(spark):
-    b = spark.createDataFrame([("r", 1, 0.03), ("r", 2, 0.01), ("r", 3, 0.0)], "run string, bucket int, mean_label double")
-    s = compare.bucket_shape(b).first()
-    assert (s["best_bucket"], s["worst_bucket"], s["top_place"]) == (1, 3, 1) and s["spearman"] == -1.0 and s["middle_mean"] == 0.01
+    b = spark.createDataFrame([("r", 1, 0.04), ("r", 2, 0.02), ("r", 3, -0.01)], "run string, bucket int, mean_label double")
+    s = compare.bucket_shape(b, middle=(2,)).first()
+    assert (s["best_bucket"], s["worst_bucket"], s["top_bucket_label_rank"], s["bottom_bucket"]) == (1, 3, 1, 3) and s["bucket_label_spearman"] == -1.0 and s["middle_label_mean"] == 0.02
+    assert s["top_minus_bottom"] == pytest.approx(0.05) and s["top_minus_middle_best"] == pytest.approx(0.02) and compare.bucket_shape(b, middle=(7,)).first()["middle_label_mean"] is None
+    flat = spark.createDataFrame([("r", 1, 0.1), ("r", 2, 0.2), ("r", 3, 0.2), ("r", 4, 0.1)], "run string, bucket int, mean_label double")
+    t = compare.bucket_shape(flat).first()
+    assert (t["best_bucket"], t["worst_bucket"], t["top_bucket_label_rank"]) == (3, 1, 3)
+    with pytest.raises(Exception, match="no top bucket"):
+        compare.bucket_shape(b.where("bucket > 1")).collect()
     h = spark.createDataFrame([(1, "{'a': 1.0, 'b': 2}"), (2, "")], "date int, t string").select("date", compare.holdings(F.col("t")).alias("held"))
     o = one(compare.overlap(h, h.withColumn("held", F.array(F.lit("b"), F.lit("c"))).where("date = 1").union(h.where("date = 2"))), "date")
     assert (o[0]["n_union"], o[0]["n_common"], o[0]["n_only_a"], o[0]["n_only_b"]) == (3, 1, 1, 1) and o[1]["jaccard"] == 1.0
     rows = spark.createDataFrame([("r", i, float(i), float(-i)) for i in range(10)], "run string, period_start int, metric double, ret double")
-    assert {r["tercile"]: r["n"] for r in compare.validation_terciles(rows).collect()} == {"low": 3, "middle": 3, "high": 4} and compare.validation_terciles(rows.limit(8)).count() == 0
+    assert {r["bin"]: r["n"] for r in compare.validation_terciles(rows).collect()} == {"low": 3, "mid": 3, "high": 4} and compare.validation_terciles(rows.limit(8)).count() == 0
     m = spark.createDataFrame([("{\"x\": 1.5}",), ("{\"x\": {\"risk\": 2}}",), ("{}",)], "d string")
     assert [r[0] for r in m.select(compare.metric_of(F.col("d"), "x")).collect()] == [1.5, 2.0, None]
     g = compare.gates(spark.createDataFrame([(1.0, None)], "a double, b double"), {"a": 0.5, "b": 0.0}).first()
     assert g["failed_gates"] == "b" and not g["promoted"]
+
+
+def test_candidate_pool(spark):
+    """Roles from reports: all gates held, then one after the other lost."""
+    good = {"annualized_return": 0.5, "sharpe_ratio": 2.0, "max_drawdown": -0.1}
+    lost = {"a": {}, "b": {"annualized_return": 0.1}, "c": {"max_drawdown": -0.5}, "d": {"rank_avg_factor_baseline_win": 0.5}, "e": {"fixed_risk_rank_avg_factor_baseline_excess": 0.1, "fixed_risk_rank_avg_factor_baseline_win": 0.6, "rank_avg_factor_baseline_win": 0.5}}
+    names = [*good, *(f"{b}_{x}" for b in ("rank_avg_factor_baseline", "fixed_risk_rank_avg_factor_baseline") for x in ("excess", "win"))]
+    rows = [(r, *({**good, "rank_avg_factor_baseline_excess": 0.1, "rank_avg_factor_baseline_win": 0.6, **x}.get(n) for n in names)) for r, x in lost.items()]
+    portfolio = spark.createDataFrame(rows, "run string, " + ", ".join(f"{n} double" for n in names))
+    monthly = spark.createDataFrame([(r, m, 0.01) for r in lost for m in range(12)], "run string, month int, ret double")
+    buckets = spark.createDataFrame([(r, b, 0.1 / b) for r in lost for b in range(1, 11)], "run string, bucket int, mean_label double")
+    yearly = buckets.withColumn("year", F.lit(2020))
+    aligned = spark.createDataFrame([(r, i, float(i), 0.01 * i, 0.0) for r in "abcd" for i in range(1, 13)], "run string, window_start int, valid_topk_excess_mean double, ret double, excess double")
+    windows, periods = aligned.select("run", "window_start", "valid_topk_excess_mean"), aligned.select("run", F.col("window_start").alias("period_start"), F.col("window_start").alias("period_end"), "ret", "excess")
+    bins = compare.signal_bins(compare.windows_with_rebalances(windows, periods))
+    assert bins.count() == 12
+    got = {r["run"]: r for r in compare.candidate_pool(portfolio, monthly, buckets, yearly, compare.validation_edges(bins)).collect()}
+    assert {k: r["candidate_role"] for k, r in got.items()} == {"a": "ranker_and_sizer", "b": "research_archive", "c": "ranker_and_sizer", "d": "portfolio_candidate_requires_router", "e": "pool_selector_only"}
+    assert got["a"]["failed_gates"] == "" and (got["a"]["passed_count"], got["a"]["total_count"]) == (8, 8) and got["c"]["failed_gates"] == "drawdown_control" and got["d"]["failed_gates"] == "beats_rank_avg_factor_baseline"
+    assert got["e"]["failed_gates"] == "validation_metric_supports_risk_gate"
+
+
+def test_labels_at_the_bounds(spark):
+    df = spark.createDataFrame([(float(x),) for x in (-0.5, -0.3, -0.1, 0.0, 0.1, 0.3, 0.5)] + [(None,), (nan,)], "v double")
+    got = [tuple(r) for r in df.select(labels.profit_bucket(F.col("v"), 0.1, 0.5), labels.buyability(F.col("v")), labels.buyability(F.col("v"), 0.1)).collect()]
+    assert got == [(-2, 0, 0), (-1, 0, 0), (0, 0, None), (0, 0, None), (1, 1, None), (1, 1, 1), (2, 1, 1), (None, None, None), (None, None, None)]
+    scale = lambda v, least: labels.robust_scale(spark.createDataFrame([(1, x) for x in v], "date int, v double"), "v", least=least).first()["scale"]
+    assert scale([1.0, 2.0, 4.0], 0.1) == pytest.approx(1.4826) and scale([0.0, 0.0, 0.0, 3.0], 0.1) == pytest.approx(np.std([0, 0, 0, 3])) and scale([2.0, 2.0], 0.1) == 2.0 and scale([0.0, 0.0], 0.1) == 0.1
+    rel = labels.relevance(spark.createDataFrame([(1, 0.1), (1, None), (1, 0.3), (2, None)], "date int, label double"), 2)
+    assert sorted(r["relevance"] for r in rel.collect()) == [0, 0, 0, 1]
+    whole = spark.createDataFrame([(3.0,), (5.0,), (None,)], "label double")
+    assert labels.already_relevance(whole, 2) and not labels.already_relevance(whole, 1) and not labels.already_relevance(spark.createDataFrame([(0.5,), (1.0,)], "label double"), 9)
+    assert sorted(r["relevance"] for r in labels.direct_relevance(whole).collect()) == [0, 0, 2]
+    with pytest.raises(Exception, match="whole numbers"):
+        labels.direct_relevance(spark.createDataFrame([(0.5,), (1.0,)], "label double")).collect()
+    w = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
+    assert w.select(labels.combined_weights(F.col("a"), F.col("b"))).first()[0] == 6.0 and w.select(labels.combined_weights(None, F.col("b"))).first()[0] == 3.0
+
+
+def _water(raw, most):
+    """Shares with caps, by handing what is over to the others until nothing is."""
+    out, rest = np.zeros(len(raw)), [i for i in range(len(raw)) if raw[i] > 0]
+    left = 1.0
+    while rest and left > 1e-15:
+        total = sum(raw[i] for i in rest)
+        over = [i for i in rest if raw[i] / total * left > most[i]]
+        for i in over or rest:
+            out[i] = most[i] if over else raw[i] / total * left
+        if not over:
+            break
+        left -= sum(most[i] for i in over)
+        rest = [i for i in rest if i not in over]
+    return out
+
+
+def test_caps_equal_handing_over():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 12))
+        raw = np.round(rng.random(n) * rng.integers(0, 2, n), 2)
+        most = np.where(rng.random(n) < 0.2, np.inf, np.round(rng.random(n), 2) + 0.01)
+        assert np.allclose(simulate.leveled(raw, most), _water(raw, np.minimum(most, 2.0)))
+    w, g = np.array([0.4, 0.3, 0.2, 0.1]), np.array(["x", "x", None, "y"], object)
+    assert simulate.group_capped(w, g, 0.5) == pytest.approx([0.5 * 4 / 7, 0.5 * 3 / 7, 1 / 3, 1 / 6])
+
+
+def test_wide_diagnostics_equal_the_long_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(dt.date(2024, 1 + d % 6, 1 + d % 20), f"s{k}", None if rng.random() < 0.1 else round(float(rng.normal()), 2), *(None if rng.random() < 0.2 else float(rng.integers(0, 9)) for _ in range(3))) for d in range(12) for k in range(int(rng.integers(1, 20)))]
+    df = spark.createDataFrame(rows, "date date, symbol string, label double, a double, b double, c double").dropDuplicates(["date", "symbol"])
+    long, wide = diagnostics.summary(diagnostics.long_form(df, ["a", "b", "c"]), 3), diagnostics.wide_summary(df, ["a", "b", "c"], 3)
+    for x, y in zip(one(long, "feature"), one(wide.select(long.columns), "feature")):
+        for c in long.columns:
+            assert x[c] == y[c] or x[c] == pytest.approx(y[c], abs=1e-9), c
+    assert diagnostics.wide_summary(df.where("false"), ["a"], 3).count() == 0
+
+
+def test_correlations_of_many_features(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 200))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    import pandas as pd
+
+    frame = pd.DataFrame(x, columns=[f"f{i}" for i in range(200)])
+    got = {(r["a"], r["b"]): r["corr"] for r in prefilter.correlations(spark.createDataFrame(frame).repartition(3), list(frame.columns)).collect()}
+    want = frame.corr()
+    assert len(got) == 200 * 199 // 2 and all(abs(c - want.loc[a, b]) < 1e-9 for (a, b), c in got.items())
