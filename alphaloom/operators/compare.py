@@ -197,3 +197,62 @@ def metric_of(document: Column, name: str) -> Column:
     whole = F.get_json_object(document, f"$.{name}")
     inner = F.get_json_object(document, f"$.{name}.risk")
     return F.coalesce(inner, whole).try_cast("double")
+
+
+def metric_pair(a: DataFrame, b: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric, a, b and difference of two runs' single rows of figures."""
+    long = lambda df, name: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in metrics))).alias("x")).select("x.*")
+    return long(a, "a").join(long(b, "b"), "metric").withColumn("difference", F.col("a") - F.col("b"))
+
+
+def training_table(windows: DataFrame, columns: list[str], keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Per run the number of windows, the median number of features, and mean, median, least and most of training columns that there are."""
+    have = [c for c in columns if c in windows.columns]
+    agg = [f(observed(c)).alias(f"{c}_{n}") for c in have for n, f in (("mean", F.avg), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("min", F.min), ("max", F.max))]
+    features = [F.percentile("feature_count", F.lit(0.5)).alias("feature_count_median")] if "feature_count" in windows.columns else []
+    return windows.groupBy(*keys).agg(F.count("*").alias("window_count"), *features, *agg)
+
+
+def period_pair(frames: dict[str, DataFrame], key: str, values: list[str], differences: list[str]) -> DataFrame:
+    """`side_by_side` of two runs, with the first's lead in some values; a missing number counts as 0 in it."""
+    x, y = frames
+    zero = lambda n, c: F.coalesce(observed(f"{n}_{c}"), F.lit(0.0))
+    return side_by_side(frames, key, values).withColumns({f"{c}_diff": zero(x, c) - zero(y, c) for c in differences})
+
+
+def yearly_pair(monthly: DataFrame, column: str = "ret_diff", key: str = "month") -> DataFrame:
+    """Of a monthly comparison: per year the number of months, in how many the first leads, and the mean, worst and best lead."""
+    v = F.col(column)
+    return monthly.groupBy(F.year(key).cast("long").alias("year")).agg(F.count("*").alias("months"), F.count(F.when(v > 0, 1)).alias("months_ahead"), F.avg(v).alias("mean_lead"), F.min(v).alias("worst_lead"), F.max(v).alias("best_lead"))
+
+
+def trace_pair(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"), date: str = "date") -> DataFrame:
+    """`overlap` of the holdings after each date of two traces (of `simulate.run_scenarios`), with their risk, their numbers of trades and the lead in value growth."""
+    grown = lambda df: df.withColumns({"net_return": F.col("end_value") / F.col("start_value") - 1, "buy_count": F.size("buy_list").cast("long"), "sell_count": F.size("sell_list").cast("long"), "held": F.map_keys("holdings_after")})
+    x, y = grown(a), grown(b)
+    pair = period_pair({names[0]: x, names[1]: y}, date, ["net_return", "risk_degree", "buy_count", "sell_count"], ["net_return"])
+    return pair.join(overlap(x, y, date), date)
+
+
+def strategy_pair(a: dict[str, DataFrame], b: dict[str, DataFrame], names: tuple[str, str] = ("a", "b"), metrics: list[str] | None = None) -> dict[str, DataFrame]:
+    """All comparisons of two runs by the reports that both have: metrics, training, buckets, yearly_buckets, monthly (and yearly), daily, importance and trace."""
+    have, out = set(a) & set(b), {}
+    labelled = lambda k: reduce(DataFrame.unionByName, (f[k].withColumn("run", F.lit(n)) for n, f in zip(names, (a, b))))
+    if "metrics" in have:
+        out["metrics"] = metric_pair(a["metrics"], b["metrics"], metrics or [c for c, t in a["metrics"].dtypes if t in ("double", "bigint", "int", "float") and c in b["metrics"].columns])
+    if "training" in have:
+        out["training"] = training_table(labelled("training"), list(SIGNALS))
+    if "buckets" in have:
+        out["buckets"], out["bucket_shape"] = labelled("buckets"), bucket_shape(labelled("buckets"))
+    if "yearly_buckets" in have:
+        out["yearly_bucket_shape"] = bucket_shape(labelled("yearly_buckets"), ("run", "year"))
+    if "monthly" in have:
+        out["monthly"] = period_pair({names[0]: a["monthly"], names[1]: b["monthly"]}, "month", ["ret"], ["ret"])
+        out["yearly"] = yearly_pair(out["monthly"])
+    if "daily" in have:
+        out["daily"] = period_pair({names[0]: a["daily"], names[1]: b["daily"]}, "date", ["net_return"], ["net_return"])
+    if "importance" in have:
+        out["importance"] = importance_compare(a["importance"], b["importance"])
+    if "trace" in have:
+        out["trace"] = trace_pair(a["trace"], b["trace"], names)
+    return out

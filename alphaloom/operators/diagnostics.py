@@ -249,3 +249,34 @@ def topped(summaries: DataFrame, n: int) -> DataFrame:
     return summaries.orderBy(F.desc_nulls_last("rank_ic_abs_mean"), F.desc_nulls_last("rank_ic_ir_abs"), F.desc_nulls_last("coverage_pct"), "feature").limit(n)
 
 
+def segment_pivot(by_segment: DataFrame, names: list[str], metrics: list[str]) -> DataFrame:
+    """A row per feature with a column metric__segment for each metric and segment."""
+    cells = [F.max(F.when(F.col("segment") == s, F.col(m))).alias(f"{m}__{s}") for m in metrics for s in names]
+    return by_segment.groupBy("feature").agg(*cells)
+
+
+def enriched(summaries: DataFrame, by_feature: DataFrame) -> DataFrame:
+    """Summaries with what segments say of a feature; of columns that both have, the segments' value replaces the summary's wherever the feature is there."""
+    more = [c for c in by_feature.columns if c != "feature"]
+    side = by_feature.select("feature", F.struct(*more).alias("_side"))
+    both = summaries.join(side, "feature", "left")
+    known = F.col("_side").isNotNull()
+    pick = lambda c: F.when(known, F.col(f"_side.{c}")).otherwise(F.col(c)) if c in summaries.columns else F.col(f"_side.{c}")
+    return both.select(*(pick(c).alias(c) if c in more else F.col(c) for c in summaries.columns), *(pick(c).alias(c) for c in more if c not in summaries.columns))
+
+
+#: Orders that a batch's tops are listed in (fixed values).
+TOPS = {"top_abs_rankic": "rank_ic_abs_mean", "top_rankic": "rank_ic_mean", "top_rankic_ir": "rank_ic_ir"}
+
+
+def batch_report(summaries: DataFrame, features: list[str] | None = None, n: int = 50, least_rank_ic: float = 0.02, least_coverage: float = 0.9) -> dict[str, DataFrame]:
+    """Of a batch's summaries (or some features of them): the whole, the n first in each order, and how many pass both thresholds."""
+    some = summaries if features is None else summaries.where(F.col("feature").isin(features))
+    passes = (F.col("rank_ic_abs_mean") >= least_rank_ic) & (F.col("coverage_pct") >= least_coverage)
+    tops = {k: some.orderBy(F.desc_nulls_last(c), F.desc_nulls_last("coverage_pct"), "feature").limit(n) for k, c in TOPS.items()}
+    return {"summary": some, **tops, "counts": some.agg(F.count("*").alias("features"), F.count(F.when(passes, 1)).alias("passing"))}
+
+
+def merged_batches(batches: dict[str, DataFrame]) -> DataFrame:
+    """Counts or summaries of several runs as one table with the run's name first; columns that a run lacks are missing there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.select(F.lit(k).alias("run"), "*") for k, f in batches.items()))

@@ -71,6 +71,29 @@ def drawdown_period(daily: DataFrame, keys: tuple[str, ...] = ("run",), date: st
     return peak.select(*keys, "max_drawdown", "peak_date", "trough_date")
 
 
+# The report's names of what a simulation gives.
+_REPORT = {
+    "gross_return": "gross_return", "net_return": "net_return", "return": "net_return", "turnover": "turnover", "cost": "cost", "bench": "bench", "buy_count": "buy_count", "sell_count": "sell_count", "holdings": "holdings",
+    "frozen_holdings": "frozen_holdings", "account_value": "account_value", "risk_degree": "risk_degree", "effective_n_drop": "effective_n_drop", "risk_control_signal": "risk_signal", "desticky_active": "desticky_active",
+    "intraperiod_exit_count": "exit_count", "intraperiod_exit_score_candidate_count": "exit_candidates", "intraperiod_exit_price_confirm_required_count": "confirm_required", "intraperiod_exit_price_confirm_blocked_count": "confirm_blocked",
+    "intraperiod_exit_price_confirm_bypassed_remaining_steps_count": "confirm_bypassed_steps", "intraperiod_exit_price_confirm_bypassed_force_exit_count": "confirm_bypassed_force", "intraperiod_exit_remaining_steps": "remaining_steps",
+    "intraperiod_exit_signal_mean": "signal_mean", "intraperiod_exit_signal_min": "signal_min", "intraperiod_exit_residual_mean": "residual_mean", "intraperiod_exit_residual_min": "residual_min", "intraperiod_exit_residual_max": "residual_max",
+    "intraperiod_exit_saved_return": "saved_return", "intraperiod_exit_missed_return": "missed_return", "intraperiod_exit_beneficial_count": "beneficial_count", "intraperiod_exit_harmful_count": "harmful_count",
+}
+#: When price confirmations look and act, as the report says it (fixed values).
+TIMING = {"intraperiod_exit_price_confirm_signal_timing": "", "intraperiod_exit_price_confirm_execution_timing": ""}
+
+
+def full_report(simulated: DataFrame, baselines: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("scenario",), date: str = "date", timing: dict[str, str] | None = None) -> DataFrame:
+    """The daily report of simulations: 36 columns by date, then {baseline}_return of other simulations, 0 where they have no date."""
+    made = simulated.select(*keys, F.col(date).alias("datetime"), *(F.col(c).alias(n) for n, c in _REPORT.items()), *(F.lit(v).alias(k) for k, v in (TIMING | (timing or {})).items()))
+    w = Window.partitionBy(*keys).orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    made = made.withColumns({f"cum_{c}_return": F.product(1 + F.coalesce(observed(f"{c}_return"), F.lit(0.0))).over(w) - 1 for c in ("gross", "net")})
+    for name, frame in (baselines or {}).items():
+        made = made.join(frame.select(F.col(date).alias("datetime"), F.col("net_return").alias(f"{name}_return")), "datetime", "left").withColumn(f"{name}_return", F.coalesce(f"{name}_return", F.lit(0.0)))
+    return made
+
+
 def daily_report(daily: DataFrame, others: dict[str, DataFrame] | None = None, keys: tuple[str, ...] = ("run",), date: str = "date") -> DataFrame:
     """daily with cumulative gross and net returns, and other runs' net returns on the same dates (0 where they have none)."""
     w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)

@@ -159,3 +159,18 @@ def prune_correlated(df: DataFrame, ordered: list[str], most: float = 0.97) -> t
         else:
             kept.append(f)
     return kept, dropped
+
+
+def build_profile(df: DataFrame, summaries: DataFrame, n: int, thresholds: Thresholds = Thresholds(), most: float = 0.97, neutral: DataFrame | None = None) -> dict[str, object]:
+    """From summaries to a feature list: the robust merge (with neutral ones), thresholds, exact duplicates, correlated features, and the first n.
+
+    selected, dropped_duplicates and dropped_correlated (feature, the one that rules it out), and how many were left after each step.
+    """
+    merged = scored(summaries if neutral is None else robust(summaries, neutral))
+    fit = passing(merged, thresholds)
+    told = without_duplicates(fit)
+    ordered = [r["feature"] for r in told.where("kept").orderBy(*order()).select("feature").collect()]
+    twins = [(r["feature"], r["dropped_by"]) for r in told.where("NOT kept").select("feature", "dropped_by").orderBy("feature").collect()]
+    kept, close = prune_correlated(df, ordered, most)
+    steps = {"candidates": merged.count(), "passing": len(ordered) + len(twins), "without_duplicates": len(ordered), "without_correlated": len(kept), "selected": len(kept[:n])}
+    return {"selected": kept[:n], "dropped_duplicates": twins, "dropped_correlated": close, "steps": steps}

@@ -60,26 +60,38 @@ def ridge(train: pd.DataFrame, valid: pd.DataFrame, features: list[str], strengt
     return lambda f: z(f) @ beta + center
 
 
-def walk_forward(rows: DataFrame, windows: DataFrame, features: list[str], learner: Learner = ridge, date: str = "date", instrument: str = "symbol") -> DataFrame:
+def walk_forward(rows: DataFrame, windows: DataFrame, features: list[str], learner: Learner = ridge, date: str = "date", instrument: str = "symbol", report: str = "prediction") -> DataFrame:
     """window_id, date, instrument and prediction of each window's test rows, by a learner fitted on its train and valid rows.
 
-    A window is a group: its rows are bounded by the window's length and the number of instruments, not by the history.
+    With report "importance" (feature and gain) or "history" (round and validation metric) what the learner tells of itself instead. A
+    window is a group: its rows are bounded by the window's length and the number of instruments, not by the history, and
+    travel as single-precision features.
     """
     from .joins import windows_of
 
-    dealt = windows_of(rows.select(date, instrument, "label", *features, *(["sample_weight"] if "sample_weight" in rows.columns else [])), windows.select("window_id", *(f"{p}_{e}" for p in ("train", "valid", "test") for e in ("start", "end"))), date)
-    schema = f"window_id long, {date} {dict(rows.dtypes)[date]}, {instrument} {dict(rows.dtypes)[instrument]}, prediction double"
+    some = rows.select(date, instrument, "label", *(F.col(f).cast("float").alias(f) for f in features), *(["sample_weight"] if "sample_weight" in rows.columns else []))
+    dealt = windows_of(some, windows.select("window_id", *(f"{p}_{e}" for p in ("train", "valid", "test") for e in ("start", "end"))), date)
+    schemas = {
+        "prediction": f"window_id long, {date} {dict(rows.dtypes)[date]}, {instrument} {dict(rows.dtypes)[instrument]}, prediction double",
+        "importance": "window_id long, feature string, gain double", "history": "window_id long, round int, metric double",
+    }
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         part = {p: group[group["part"] == p].sort_values([date, instrument]) for p in ("train", "valid", "test")}
         known = {p: part[p][np.isfinite(part[p]["label"].astype(float))] for p in ("train", "valid")}
         test = part["test"]
-        if not len(test) or not len(known["train"]):
-            return pd.DataFrame({"window_id": [], date: [], instrument: [], "prediction": []})
+        if not len(known["train"]) or not len(test):
+            return pd.DataFrame({c.split()[0]: [] for c in schemas[report].split(", ")})
         model = learner(known["train"], known["valid"], features)
+        if report == "importance":
+            told = getattr(model, "importance", {})
+            return pd.DataFrame({"window_id": key[0], "feature": list(told), "gain": list(told.values())})
+        if report == "history":
+            told = getattr(model, "history", [])
+            return pd.DataFrame({"window_id": key[0], "round": range(1, len(told) + 1), "metric": told})
         return pd.DataFrame({"window_id": test["window_id"], date: test[date], instrument: test[instrument], "prediction": model(test)})
 
-    return dealt.groupBy("window_id").applyInPandas(run, schema)
+    return dealt.groupBy("window_id").applyInPandas(run, schemas[report])
 
 
 def topk_summary(df: DataFrame, k: int, date: str = "date", prediction: str = "prediction", label: str = "label", tie: str = "instrument", earlier: bool = False, opportunity: str | None = None) -> DataFrame:

@@ -323,3 +323,11 @@ _scored_query(
     f", b AS (SELECT date, avg(ret) AS ret FROM scored GROUP BY date HAVING avg(ret) IS NOT NULL), f AS (SELECT date, CASE WHEN count(ret) OVER w = 2 THEN product(1 + ret) OVER w - 1 END AS fwd FROM b WINDOW w AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) SELECT CAST(s.date AS VARCHAR) AS date, instrument, {r6('label')} AS positive, {r6('(label - 0.01)')} AS threshold, {r6('(label - fwd - 0.01)')} AS benchmark FROM scored s LEFT JOIN f USING (date)",
     lambda s: training.with_edge(training.with_edge(training.with_edge(s, "positive", out="positive"), "threshold", 0.01, out="threshold"), "benchmark_excess", 0.01, benchmark=labels.forward_compound(labels.cross_section_benchmark(s, "ret"), 2), out="benchmark").select("date", "instrument", "positive", "threshold", "benchmark"),
 )
+
+
+@registered("SELECT CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first_date, CAST(max(CAST(l_shipdate AS DATE)) AS VARCHAR) AS last_date, count(*) AS rows FROM lineitem")
+def footer_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last date, and the rows, of a store by the footers of its files."""
+    path = f"{sf_dir}/lineitem.parquet"
+    found = stores.date_range(spark, path, "l_shipdate")
+    return stores.layout(spark, path).agg(F.lit(found[0][:10]).alias("first_date"), F.lit(found[1][:10]).alias("last_date"), F.sum("rows").alias("rows"))

@@ -309,3 +309,62 @@ def labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"{_RUNS_SQL}, y AS (SELECT *, year(date) AS year, product(1 + net_return) OVER (PARTITION BY run, year(date) ORDER BY date) AS nav FROM runs), p AS (SELECT *, greatest(1.0::DOUBLE, max(nav) OVER (PARTITION BY run, year ORDER BY date)) AS peak FROM y) SELECT run, year, {r6('product(1 + net_return) - 1')} AS ret, {r6('stddev_samp(net_return) * sqrt(242)')} AS volatility, {r6('min(net_return)')} AS worst_day, {r6('min(nav / peak - 1)')} AS max_drawdown FROM p GROUP BY run, year")
 def yearly_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(batches.yearly_risk(runs(spark, sf_dir)))
+
+
+_MONTHS_SQL = ", mm AS (SELECT run, last_day(date) AS month, product(1 + net_return) - 1 AS ret FROM runs GROUP BY run, last_day(date)), mp AS (SELECT month, x.ret AS a, y.ret AS b, x.ret - y.ret AS lead FROM (SELECT * FROM mm WHERE run = 'a') x JOIN (SELECT * FROM mm WHERE run = 'b') y USING (month))"
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    r = runs(spark, sf_dir)
+    of = lambda n: {"daily": r.where(f"run = '{n}'"), "monthly": metrics.by_month(r).where(f"run = '{n}'"), "metrics": metrics.portfolio(r).where(f"run = '{n}'")}
+    return compare.strategy_pair(of("a"), of("b"), metrics=["total_return", "max_drawdown", "win_rate"])
+
+
+@registered(f"{_RUNS_SQL}{_MONTHS_SQL} SELECT CAST(month AS VARCHAR) AS month, {r6('a')} AS a_ret, {r6('b')} AS b_ret, {r6('lead')} AS ret_diff FROM mp")
+def monthly_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(_pair(spark, sf_dir)["monthly"])
+
+
+@registered(f"{_RUNS_SQL}{_MONTHS_SQL} SELECT year(month) AS year, count(*) AS months, count(*) FILTER (lead > 0) AS months_ahead, {r6('avg(lead)')} AS mean_lead, {r6('min(lead)')} AS worst_lead, {r6('max(lead)')} AS best_lead FROM mp GROUP BY year(month)")
+def yearly_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(_pair(spark, sf_dir)["yearly"])
+
+
+@registered(f"{_RUNS_SQL}{_NAV}, f AS (SELECT run, product(1 + net_return) - 1 AS total_return, min(least(0, nav / peak - 1)) AS max_drawdown, avg(CAST(net_return > 0 AS INTEGER))::DOUBLE AS win_rate FROM dd GROUP BY run), l AS (UNPIVOT f ON total_return, max_drawdown, win_rate INTO NAME metric VALUE v) SELECT x.metric, {r6('x.v')} AS a, {r6('y.v')} AS b, {r6('(x.v - y.v)')} AS difference FROM l x JOIN l y USING (metric) WHERE x.run = 'a' AND y.run = 'b'")
+def metric_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(_pair(spark, sf_dir)["metrics"])
+
+
+@registered(f"""{_RUNS_SQL}{_REB}, wn AS (SELECT run, period_start, ret, ret - 0.01 AS excess, lag(ret) OVER (PARTITION BY run ORDER BY block) AS valid_topk_excess_mean, -ret AS valid_topk_label_mean FROM rb), lg AS (UNPIVOT wn ON valid_topk_excess_mean, valid_topk_label_mean INTO NAME signal_metric VALUE m),
+p AS (SELECT *, count(*) OVER (PARTITION BY run, signal_metric) AS n, row_number() OVER (PARTITION BY run, signal_metric ORDER BY m, period_start) - 1 AS p FROM lg WHERE m IS NOT NULL), hl AS (SELECT run, signal_metric, avg(ret) FILTER (p >= 2 * floor(n / 3)) AS hr, avg(ret) FILTER (p < floor(n / 3)) AS lr, avg(excess) FILTER (p >= 2 * floor(n / 3)) AS he, avg(excess) FILTER (p < floor(n / 3)) AS le, avg(CAST(ret > 0 AS INTEGER)) FILTER (p >= 2 * floor(n / 3)) AS hp, avg(CAST(ret > 0 AS INTEGER)) FILTER (p < floor(n / 3)) AS lp FROM p WHERE n >= 9 GROUP BY run, signal_metric)
+SELECT run, signal_metric, {r6('(hr - lr)')} AS high_low_return_spread, {r6('(he - le)')} AS high_low_excess_spread, {r6('hp')} AS high_positive_rebalance_rate, {r6('lp')} AS low_positive_rebalance_rate FROM hl""")
+def validation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training windows with the rebalances that begin on their day, in thirds of two metrics."""
+    from pyspark.sql import Window
+
+    blocks = metrics.by_rebalance(runs(spark, sf_dir), 4).withColumn("excess", F.col("ret") - 0.01)
+    windows = blocks.select("run", F.col("period_start").alias("window_start"), F.lag("ret").over(Window.partitionBy("run").orderBy("block")).alias("valid_topk_excess_mean"), (-F.col("ret")).alias("valid_topk_label_mean"))
+    return doubles(compare.validation_edges(compare.signal_bins(compare.windows_with_rebalances(windows, blocks))))
+
+
+def _scenario_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir).withColumn("label", F.greatest(F.lit(-0.3), F.least(F.lit(0.3), F.col("label"))))
+    rows = s.join(risk.benchmark_schedule(_bench(s), 3, 9, 0.95, 0.6, 0.3, 0.5), "date")
+    return rows.select(F.lit("equal").alias("scenario"), "date", "instrument", "score", "label", "risk", "score2")
+
+
+@registered()
+def daily_report_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole daily report of a strategy beside one baseline, at the strategy's risk and at a fixed one (a recurrence)."""
+    rows = _scenario_rows(spark, sf_dir)
+    rows, settings = simulate.with_baselines(rows.drop("score2"), {"avg": rows.select("date", "instrument", F.col("score2").alias("score"))}, "equal", {"equal": SETTINGS["equal"]})
+    made = simulate.run_scenarios(rows, settings)
+    of = lambda n: made.where(F.col("scenario") == n)
+    return doubles(metrics.full_report(of("equal"), {n: of(n) for n in ("avg", "fixed_risk_avg")}).withColumnRenamed("datetime", "date"))
+
+
+@registered()
+def trade_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a strategy sold, bought and held on each date (a recurrence)."""
+    made = simulate.run_scenarios(_scenario_rows(spark, sf_dir).drop("score2"), {"equal": SETTINGS["equal"]}, trace=True)
+    return doubles(made.select("date", "start_value", "end_value", F.size("holdings_before").alias("n_before"), F.size("holdings_after").alias("n_after"), F.size("sell_list").alias("n_sold"), F.size("buy_list").alias("n_bought"), "buy_value", "sell_value"))

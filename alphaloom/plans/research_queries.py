@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
-from ..operators import compare, diagnostics, joins, prefilter, training
+from ..operators import boosting, compare, diagnostics, joins, labels, prefilter, training
 from .frames import SCORED_SQL, avg_rank_sql, r6, scored, text_date
 from .panel_queries import doubles
 
@@ -238,3 +238,41 @@ def factor_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f", k AS (SELECT *, {avg_rank_sql('score', 'date')} AS r, count(*) OVER (PARTITION BY date) AS c FROM scored WHERE score IS NOT NULL AND label IS NOT NULL), b AS (SELECT 10 - CAST(greatest(0, least(9, floor(r / c * 10 - 1e-12))) AS BIGINT) AS bucket, label FROM k) SELECT bucket, count(*) AS n, {r6('avg(label)')} AS mean_label FROM b GROUP BY bucket")
 def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(compare.score_buckets(scored(spark, sf_dir).withColumn("run", F.lit("a"))).drop("run"))
+
+
+_PIVOTED = ["rank_ic_mean", "coverage_pct"]
+
+
+_PIVOT_SQL = ", ".join(r6(f"max({m}) FILTER (segment = '{n}')") + f" AS {m}__{n}" for m in _PIVOTED for n, _, _ in SEGMENTS)
+
+
+@registered(f"{_SEG_SQL} SELECT feature, {_PIVOT_SQL} FROM summary GROUP BY feature")
+def segment_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(diagnostics.segment_pivot(_segments(spark, sf_dir), [n for n, _, _ in SEGMENTS], _PIVOTED))
+
+
+@registered(f"{_SEG_SQL}, g AS (SELECT feature, max(abs(rank_ic_mean)) AS m, avg(coverage_pct) AS c FROM summary GROUP BY feature), w AS (SELECT feature, count(y) FILTER (x IS NOT NULL) / count(*) AS cov FROM long GROUP BY feature) SELECT w.feature, {r6('CASE WHEN g.feature IS NOT NULL THEN c ELSE cov END')} AS coverage_pct, {r6('m')} AS strongest FROM w LEFT JOIN (SELECT * FROM g WHERE feature <> 'score2') g USING (feature)")
+def segment_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-period coverage, replaced by the segments' mean for the features that segments tell of."""
+    side = _segments(spark, sf_dir).where("feature <> 'score2'").groupBy("feature").agg(F.max(F.abs("rank_ic_mean")).alias("strongest"), F.avg("coverage_pct").alias("coverage_pct"))
+    whole = diagnostics.wide_summary(scored(spark, sf_dir).where("label IS NOT NULL"), FEATURES, BINS).select("feature", "coverage_pct")
+    return doubles(diagnostics.enriched(whole, side))
+
+
+@registered(f"{_LONG_SQL}{_summary_sql()} SELECT CAST(count(*) AS BIGINT) AS features, count(*) FILTER (rank_ic_abs_mean >= 0.005 AND coverage_pct >= 0.9) AS passing, (SELECT feature FROM summary ORDER BY rank_ic_mean DESC NULLS LAST LIMIT 1) AS first_by_rankic FROM summary")
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = diagnostics.batch_report(diagnostics.wide_summary(scored(spark, sf_dir).where("label IS NOT NULL"), FEATURES, BINS), n=1, least_rank_ic=0.005)
+    return report["counts"].withColumn("first_by_rankic", report["top_rankic"].select("feature").scalar())
+
+
+@registered()
+def walk_forward_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of boosted trees that stop early by daily rank correlation (a fit is not a relational query)."""
+    s = scored(spark, sf_dir)
+    return doubles(training.walk_forward(s, _windows(s), FEATURES, boosting.learner(boosting.Boosting(rounds=30, patience=8, leaves=8))))
+
+
+@registered(f", w AS (SELECT *, 0.1 + 0.9 * power(0.5, date_diff('day', date, (SELECT max(date) FROM scored)) / 365.0::DOUBLE) AS raw FROM scored) SELECT CAST(date AS VARCHAR) AS date, instrument, round(CAST(CAST(raw / (SELECT avg(raw) FROM w) AS FLOAT) * CAST(abs(label) AS FLOAT) AS DOUBLE), 4) + 0.0 AS weight FROM w")
+def weight_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = labels.decay_weights(scored(spark, sf_dir), 365, 0.1)
+    return text_date(s.select("date", "instrument", (F.round(labels.combined_weights(F.col("weight"), F.abs("label")).cast("double"), 4) + 0.0).alias("weight")))

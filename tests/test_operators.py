@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alphaloom.operators import collect, compare, crosssection, diagnostics, experiment, fusion, industry, joins, labels, metrics, prefilter, risk, simulate, training
+from alphaloom.operators import boosting, collect, compare, crosssection, diagnostics, experiment, fusion, industry, joins, labels, metrics, prefilter, risk, simulate, training
 from alphaloom.sources import artifacts, panels, stores
 
 nan = math.nan
@@ -330,7 +330,21 @@ def test_bucket_store(spark, sf, tmp_path):
     assert back.count() == panel.count()
     some = stores.read(spark, path, ["symbol", "date", "close"], symbols=["1", "2"], start="1996-01-01", buckets=8)
     assert {r["symbol"] for r in some.select("symbol").distinct().collect()} <= {"1", "2"} and "PartitionFilters: [bucket" in some._jdf.queryExecution().toString()
-    assert stores.layout_summary(stores.layout(spark, path)).first()["files"] >= 1
+    files = stores.layout(spark, path)
+    assert stores.layout_summary(files).first()["files"] >= 1 and files.agg(F.sum("rows")).first()[0] == panel.count() and files.where("row_groups < 1 OR columns < 5").count() == 0
+    assert stores.incomplete_files(spark, path, ["close", "bucket"]).count() == 0 and stores.incomplete_files(spark, path, ["close", "nothing"]).first()["missing"] == ["nothing"]
+    dates = panel.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    assert stores.date_range(spark, path) == tuple(dates) and stores.discover(spark, path) == sorted(stores.discover(spark, path)) != []
+    wanted = spark.createDataFrame([("1",), ("2",)], "symbol string").join(panel.select("symbol", "date"), "symbol").where("month(date) = 3")
+    assert stores.closes(spark, path, wanted, buckets=8).count() == wanted.count() and stores.closes(spark, path, wanted.where("false"), buckets=8).count() == 0
+    few = panel.where("symbol IN ('1', '2')")
+    kept = {r[0] for r in few.select(collect.bucket_of(F.col("symbol"), 8)).distinct().collect()}
+    stores.write(few, path, 8, only=True)
+    assert {r["bucket"] for r in stores.read(spark, path).select("bucket").distinct().collect()} == kept
+    stores.write_metadata(spark, path, {"rows": 1})
+    assert stores.read_metadata(spark, path) == {"rows": 1}
+    small = stores.downcast(spark.createDataFrame([(1, 2**40, 0.5)], "a long, b long, c double"))
+    assert [t for _, t in small.dtypes] == ["int", "bigint", "float"]
     assert stores.missing_columns(back, ["close", "nothing"]) == ["nothing"] and stores.read(spark, path, ["close", "nothing"], strict=False).columns == ["close"]
     with pytest.raises(ValueError):
         stores.read(spark, path, ["nothing"])
@@ -478,3 +492,149 @@ def test_correlations_of_many_features(spark):
     got = {(r["a"], r["b"]): r["corr"] for r in prefilter.correlations(spark.createDataFrame(frame).repartition(3), list(frame.columns)).collect()}
     want = frame.corr()
     assert len(got) == 200 * 199 // 2 and all(abs(c - want.loc[a, b]) < 1e-9 for (a, b), c in got.items())
+
+
+def test_reports_and_documents(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 0.123456, None), ("c", float("nan"), 2)], "name string, x double, n int")
+    assert artifacts.markdown_table(df, 1) == "| name | x | n |\n| --- | --- | --- |\n| a\\|b | 0.1235 |  |\n\n1 more rows"
+    text = artifacts.readme("Title", {"runs": 2}, {"Table": df})
+    assert text.startswith("# Title\n\n- runs: 2\n\n## Table\n\n| name") and text.count("|") > 8
+    artifacts.tsv_report(df, str(tmp_path / "t"))
+    artifacts.json_report(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).columns == df.columns
+    assert artifacts.csv_rows(spark, _csv(tmp_path, "b,a\n1,2\n"), ["a"]).columns == ["b", "a"]
+    for bad, need in (("b,a\n", []), ("b\n1\n", ["a"])):
+        with pytest.raises(ValueError):
+            artifacts.csv_rows(spark, _csv(tmp_path, bad), need)
+
+
+def _csv(folder, text):
+    import uuid
+
+    path = folder / f"{uuid.uuid4().hex}.csv"
+    path.write_text(text)
+    return str(path)
+
+
+def test_yaml_documents():
+    text = """
+# a profile
+name: "base # not a comment"
+extends: ~
+on: true
+windows: {train: 600, valid: [1, 2.5, 'x, y']}
+factors:
+  - name: a
+    expr: ts_mean(close, 5) / close
+  - name: b   # with a comment
+    expr: 'it''s'
+list:
+- 1
+- [a, b]
+-
+  deep:
+    deeper: 1e-3
+empty:
+"""
+    assert artifacts.document(text) == {
+        "name": "base # not a comment", "extends": None, "on": True, "windows": {"train": 600, "valid": [1, 2.5, "x, y"]},
+        "factors": [{"name": "a", "expr": "ts_mean(close, 5) / close"}, {"name": "b", "expr": "it's"}], "list": [1, ["a", "b"], {"deep": {"deeper": 0.001}}], "empty": None,
+    }
+    assert artifacts.document("") == {} and artifacts.document('{"a": 1}') == {"a": 1}
+    for bad in ("a: 1\n  - b", "just words"):
+        with pytest.raises(ValueError):
+            artifacts.document(bad)
+
+
+def test_segments_beside_summaries(spark):
+    s = spark.createDataFrame([("a", 1.0, 5.0), ("b", 2.0, 6.0)], "feature string, x double, y double")
+    e = spark.createDataFrame([("a", None, 9.0)], "feature string, x double, z double")
+    assert {r["feature"]: tuple(r)[1:] for r in diagnostics.enriched(s, e).collect()} == {"a": (None, 5.0, 9.0), "b": (2.0, 6.0, None)}
+    m = diagnostics.merged_batches({"r": s, "t": e})
+    assert m.columns == ["run", "feature", "x", "y", "z"] and m.count() == 3
+    summaries = spark.createDataFrame([("a", 0.03, -0.03, -0.2, 0.95), ("b", 0.01, 0.01, 0.3, 0.99), ("c", 0.05, 0.05, 0.1, 0.5)], "feature string, rank_ic_abs_mean double, rank_ic_mean double, rank_ic_ir double, coverage_pct double")
+    report = diagnostics.batch_report(summaries, ["a", "b", "c"], 2)
+    assert [r["feature"] for r in report["top_abs_rankic"].collect()] == ["c", "a"] and [r["feature"] for r in report["top_rankic_ir"].collect()] == ["b", "c"]
+    assert report["counts"].first()["passing"] == 1
+
+
+def test_profile_of_summaries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame([(float(a), float(a * 2), float(b)) for a, b in zip(x, rng.normal(size=300))], "RSV5 double, twin double, other double")
+    rows = [("RSV5", 0.99, 0.04, 0.3, 0.7, ""), ("TEMP_rsv_5", 0.99, 0.03, 0.2, 0.7, ""), ("twin", 0.99, 0.03, 0.2, 0.7, ""), ("other", 0.99, 0.03, 0.2, 0.7, ""), ("weak", 0.2, 0.0, 0.0, 0.7, "")]
+    made = prefilter.build_profile(df.withColumn("TEMP_rsv_5", F.col("RSV5")), _summaries(spark, rows), 2)
+    assert made["selected"] == ["RSV5", "other"] and made["dropped_duplicates"] == [("TEMP_rsv_5", "RSV5")] and made["dropped_correlated"] == [("twin", "RSV5")]
+    assert made["steps"] == {"candidates": 5, "passing": 4, "without_duplicates": 3, "without_correlated": 2, "selected": 2}
+
+
+def test_boosted_trees():
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+
+    def frame(dates, n=40):
+        x = rng.normal(size=(len(dates) * n, 4))
+        x[rng.random(x.shape) < 0.05] = np.nan
+        y = np.where(np.nan_to_num(x[:, 0]) > 0, 1.0, -1.0) * np.nan_to_num(x[:, 1]) + 0.1 * rng.normal(size=len(x))
+        return pd.DataFrame(x, columns=list("abcd")).assign(label=y, date=np.repeat(dates, n))
+
+    train, valid, test = frame(range(30)), frame(range(30, 40)), frame(range(40, 50))
+    for objective in ("l2", "l1", "huber", "ranking"):
+        s = boosting.Boosting(objective, rounds=150, rate=0.1, patience=20, least_rows=5)
+        model = boosting.fit(train, valid, list("abcd"), s)
+        assert np.corrcoef(model(test[list("abcd")].to_numpy()), test["label"])[0, 1] > 0.8, objective
+        assert model.importance[:2].sum() > 5 * model.importance[2:].sum() and len(model.trees) == int(np.argmax(model.history)) + 1
+    sign = [f.assign(label=(f["label"] > 0).astype(float)) for f in (train, valid, test)]
+    p = boosting.fit(*sign[:2], list("abcd"), boosting.Boosting("binary", rounds=80, rate=0.1, least_rows=5))(sign[2][list("abcd")].to_numpy())
+    assert ((p > 0.5) == (sign[2]["label"] > 0)).mean() > 0.85 and 0 <= p.min() <= p.max() <= 1
+    # A tree's values are those of its leaves, found row by row.
+    codes = boosting.coded(train[list("abcd")].to_numpy(), model.edges)
+    f, last, left, right, value = model.trees[0]
+    for k in range(50):
+        at = 0
+        while f[at] >= 0:
+            at = left[at] if codes[k, f[at]] <= last[at] else right[at]
+        assert boosting.tree_values(model.trees[0], codes[k : k + 1])[0] == value[at]
+    score, y, day = np.array([0.9, 0.8, 0.8, 0.1]), np.array([1.0, 2.0, 100.0, 0.0]), np.zeros(4, int)
+    assert boosting.metric(boosting.Boosting(metric="valid_topk_label_mean", topk=2), score, y, day) == 1.5
+    empty = boosting.fit(train.head(0), valid.head(0), list("abcd"))
+    assert not empty.trees and (empty(test[list("abcd")].to_numpy()) == 0).all()
+
+
+def test_boosted_windows_and_reports(spark):
+    rows = [(day(d), f"s{k}", 2.0 * k + d / 10, float(k)) for d in range(1, 21) for k in range(8)]
+    df = spark.createDataFrame(rows, "date date, symbol string, label double, f double")
+    learn = boosting.learner(boosting.Boosting(rounds=40, rate=0.2, least_rows=1, patience=5))
+    windows = training.rolling_windows(df, 5, 3, 4, 2)
+    out = training.walk_forward(df, windows, ["f"], learn)
+    got = out.where("window_id = 0").groupBy("symbol").agg(F.avg("prediction").alias("p")).orderBy("symbol").collect()
+    assert out.count() == 80 and np.all(np.diff([r["p"] for r in got]) > 0.2)
+    gains = training.walk_forward(df, windows, ["f"], learn, report="importance").collect()
+    assert len(gains) == 3 and all(r["feature"] == "f" and r["gain"] > 0 for r in gains)
+    assert training.walk_forward(df, windows, ["f"], learn, report="history").groupBy("window_id").count().count() == 3
+
+
+def test_traces_and_baselines(spark):
+    rows = spark.createDataFrame([("s", d, i, float((d * k) % 5), 0.01 * k, 0.5) for d in range(6) for k, i in enumerate("abcd")], "scenario string, date int, instrument string, score double, label double, risk double")
+    settings = {"s": simulate.Settings(topk=2, n_drop=1, account=1000.0, min_cost=0.0)}
+    plain, traced = simulate.run_scenarios(rows, settings), simulate.run_scenarios(rows, settings, trace=True)
+    a, b = one(plain, "date"), one(traced, "date")
+    assert [r["account_value"] for r in a] == [r["end_value"] for r in b] and [len(r["holdings_after"]) for r in b] == [r["holdings"] for r in a]
+    for x, y in zip(b, b[1:]):
+        assert x["holdings_after"] == y["holdings_before"] and x["cash_after"] == y["cash_before"]
+    assert all(set(r["buy_list"]).isdisjoint(r["holdings_before"]) for r in b)
+    more, known = simulate.with_baselines(rows, {"flat": rows.select("date", "instrument", F.lit(1.0).alias("score"))}, "s", settings)
+    made = simulate.run_scenarios(more, known)
+    got = {r["scenario"]: r["risk"] for r in made.groupBy("scenario").agg(F.max("risk_degree").alias("risk")).collect()}
+    assert got == {"s": 0.5, "flat": 0.5, "fixed_risk_flat": 0.95}
+    full = metrics.full_report(made.where("scenario = 's'"), {"flat": made.where("scenario = 'flat'")}, keys=("scenario",))
+    assert len(full.columns) == 1 + 36 + 1 and full.count() == 6
+    pair = compare.strategy_pair({"trace": traced.drop("scenario")}, {"trace": traced.drop("scenario")})["trace"]
+    assert pair.where("jaccard = 1 AND net_return_diff = 0").count() == 6
+
+
+def test_training_table_and_periods(spark):
+    w = spark.createDataFrame([("a", 3, 0.1), ("a", 5, 0.3), ("b", 4, None)], "run string, feature_count int, valid_topk_label_mean double")
+    got = {r["run"]: r for r in compare.training_table(w, list(compare.SIGNALS)).collect()}
+    assert got["a"]["window_count"] == 2 and got["a"]["feature_count_median"] == 4 and got["a"]["valid_topk_label_mean_max"] == 0.3 and got["b"]["valid_topk_label_mean_mean"] is None
