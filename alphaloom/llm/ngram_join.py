@@ -446,3 +446,23 @@ def repeated(docs: DataFrame) -> bool:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') AS l FROM documents
+), words AS (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS k FROM split) WHERE word <> ''
+), shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, i, n, concat_ws(' ', word, lead(word) OVER d, lead(word, 2) OVER d) AS shingle FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE i + 2 <= n OR (n < 3 AND i = 1)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 90 * (s.n + t.n - c)
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id)) AS component_id, (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+"""
