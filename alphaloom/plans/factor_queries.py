@@ -12,6 +12,7 @@ from ..functions.factors.registry import generate, sources
 from ..functions.kernel import with_kernels
 from ..operators.industry import compound
 from ..sources import panels
+from . import twins
 from .frames import formulas_query, text_date
 
 C, V, H, L = (col(x) for x in ("close", "volume", "high", "low"))
@@ -52,7 +53,8 @@ _FORMULAS = {
 _DIGITS = dict.fromkeys(("lag_delta", "roll_quantile", "roll_extreme"), 9)
 _made = {k: formulas_query(f, digits=_DIGITS.get(k, 6)) for k, f in _FORMULAS.items()}
 QUERIES = {k: q for k, (q, _) in _made.items()}
-ORACLES = {k: s for k, (_, s) in _made.items()}
+#: Where there is a twin written by hand, it stands for the one that is compiled from the same formula.
+ORACLES = {k: s for k, (_, s) in _made.items()} | twins.TWINS
 
 # ---- the provider family over the signals, industry context and announced side table
 
@@ -159,3 +161,4 @@ def registry_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["registry_projection"] = registry_projection
+ORACLES["registry_projection"] = "SELECT family, CAST(n AS BIGINT) AS n_sources FROM (VALUES ('alpha158', 6), ('purified', 10), ('temporal', 6), ('technical', 4), ('provider', 121)) v(family, n)"

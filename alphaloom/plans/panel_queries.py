@@ -155,9 +155,14 @@ def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_date(stores.manifest(panels.monthly_bars(spark, sf_dir)).drop("bucket"), "min_date", "max_date")
 
 
-@registered()
+# The other engine has no CRC-32: it is worked out bit by bit, 8 steps to a character.
+@registered("""WITH RECURSIVE s AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS symbol, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code FROM lineitem),
+c(symbol, code, step, crc) AS (SELECT symbol, code, 0, 4294967295::BIGINT FROM s UNION ALL
+  SELECT symbol, code, step + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END
+  FROM (SELECT *, CASE WHEN step % 8 = 0 THEN xor(crc, ascii(substr(code, step // 8 + 1, 1))::BIGINT) ELSE crc END AS x FROM c WHERE step < 48))
+SELECT symbol, CAST(xor(crc, 4294967295::BIGINT) % 128 AS BIGINT) AS bucket FROM c WHERE step = 48""")
 def symbol_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard of every symbol (the other engine has no CRC-32)."""
+    """Shard of every symbol."""
     return panels.monthly_bars(spark, sf_dir).select("symbol").distinct().select("symbol", collect.bucket_of(F.lpad("symbol", 6, "0")).alias("bucket"))
 
 

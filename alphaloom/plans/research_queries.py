@@ -143,9 +143,12 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(prefilter.correlations(scored(spark, sf_dir), FEATURES))
 
 
-@registered()
+@registered(""", m AS (SELECT abs(corr(score, score2)) AS c12, abs(corr(score, score3)) AS c13, abs(corr(score2, score3)) AS c23 FROM scored), k AS (SELECT *, NOT coalesce(c12 >= 0.6, false) AS keep2 FROM m),
+l AS (SELECT *, greatest(c13, CASE WHEN keep2 THEN c23 END) AS near FROM k)
+SELECT 'score' AS feature, true AS kept, CAST(NULL AS VARCHAR) AS dropped_by UNION ALL SELECT 'score2', keep2, CASE WHEN NOT keep2 THEN 'score' END FROM l
+UNION ALL SELECT 'score3', NOT coalesce(near >= 0.6, false), CASE WHEN near >= 0.6 THEN CASE WHEN keep2 AND c23 >= c13 THEN 'score2' ELSE 'score' END END FROM l""")
 def corr_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy pruning of correlated features (the greedy choice is not a relational query)."""
+    """Greedy pruning of correlated features in the order of FEATURES."""
     kept, dropped = prefilter.prune_correlated(scored(spark, sf_dir), FEATURES, 0.6)
     return spark.createDataFrame([(f, True, None) for f in kept] + [(f, False, by) for f, by in dropped], "feature string, kept boolean, dropped_by string")
 

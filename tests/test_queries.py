@@ -49,3 +49,31 @@ def test_entry(spark):
 def test_scans_read_only_what_they_need(spark, sf):
     plan = catalogue.QUERIES["flagship_factors"](spark, sf)._jdf.queryExecution().toString()
     assert "l_returnflag" not in plan.split("ReadSchema")[1] and "Python" not in plan
+
+
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+def test_no_plan_multiplies_tables(spark, sf, name):
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_windows_scan_their_tables_once(spark, sf):
+    """The calendar and the rows of walk-forward windows come from one scan each."""
+    plan = catalogue.QUERIES["walk_forward"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 8, plan.count("Scan parquet")
+
+
+def test_only_deleted_modules_may_be_absent(monkeypatch):
+    import importlib
+
+    import __spark_entry__
+
+    def lost(name):
+        raise ModuleNotFoundError("gone", name=lost.name)
+
+    monkeypatch.setattr(importlib, "import_module", lost)
+    lost.name = "alphaloom.llm"
+    assert __spark_entry__._optional("alphaloom.llm.queries") is None
+    lost.name = "zstandard"
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__._optional("alphaloom.llm.queries")
