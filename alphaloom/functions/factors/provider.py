@@ -16,7 +16,7 @@ NEAR, MID, FAR = 5, 20, 60
 
 def columns() -> list[str]:
     """Source columns that the family reads besides prices; absent ones count as missing."""
-    market = ["turnover", "turnover_free", "volume_ratio", "pe", "pe_ttm", "pb", "ps", "ps_ttm", "dv_ratio", "dv_ttm", "circ_mv", "total_mv", "total_share", "circ_share", "free_share", "up_limit", "down_limit", "limit_pre_close", "pre_close", "amplitude", "pct_chg", "amount", "close"]
+    market = ["turnover", "turnover_free", "volume_ratio", "pe", "pe_ttm", "pb", "ps", "ps_ttm", "dv_ratio", "dv_ttm", "circ_mv", "total_mv", "total_share", "circ_share", "free_share", "up_limit", "down_limit", "limit_pre_close", "amplitude", "pct_chg", "amount", "close"]
     announced = [*(f"fi_{c}" for c in FI), *(f"div_{c}" for c in DIV), *(f"fc_{c}" for c in FC), "fc_days_since_ann", *(f"exp_{c}" for c in EXP), "exp_days_since_ann"]
     industry = ["ind_member_count", "ind_daily_ret", "ind_excess_daily_ret", *(f"ind_{k}_{w}" for k in ("ret", "std", "excess_ret", "pos_rate", "dispersion") for w in (NEAR, MID, FAR))]
     industry += [f"ind_{k}_{w}" for k in ("turnover_mean", "free_turnover_mean", "volume_ratio_mean", "amihud_mean", "downside_amihud_mean", "amplitude_mean", "hit_up_limit_rate", "hit_down_limit_rate") for w in (MID, FAR)]
@@ -41,7 +41,7 @@ def base() -> dict[str, Node]:
     """The signals of single rows and short windows; later groups build on them."""
     c = nonzero(col("close"))
     up, down = col("up_limit"), col("down_limit")
-    before = when(known(col("limit_pre_close")), col("limit_pre_close"), col("pre_close"))
+    before = nonzero(col("limit_pre_close"))
     place = (c - down) / (up - down + EPS)
     s: dict[str, Node] = {
         "gap_up_limit": up / c - 1.0, "gap_down_limit": c / down - 1.0, "limit_band_pct": (up - down) / (before + EPS), "limit_band_pos": place,
@@ -78,9 +78,9 @@ def flows(s: dict[str, Node]) -> dict[str, Node]:
         out |= {f"{k}_count_{w}": s[k].sum(w) for k in ("hit_up_limit", "hit_down_limit")}
         out |= {f"{k}_mean_{w}": col(k).mean(w) for k in ("amplitude", "pct_chg")}
     for w in (20, 60):
-        out |= {f"{k}_chg_{w}": s[k].change(w) for k in ("free_float_ratio", "free_to_circ_ratio", "float_mv_ratio", "sp_ttm", "sp_ttm_clean", "dividend_yield_ttm")}
+        out |= {f"{k}_change_{w}": s[k].change(w) for k in ("free_float_ratio", "free_to_circ_ratio", "float_mv_ratio", "sp_ttm", "sp_ttm_clean", "dividend_yield_ttm")}
         bp, ep = fill(s["bp_clean"], -1.0), fill(s["ep_ttm_clean"], -1.0)
-        out |= {f"{k}_chg_{w}": x.diff(w) for k, x in (("ep_ttm", ep), ("ep_ttm_clean", s["ep_ttm_clean"]), ("bp", bp), ("bp_clean", s["bp_clean"]))}
+        out |= {f"{k}_change_{w}": x.diff(w) for k, x in (("ep_ttm", ep), ("ep_ttm_clean", s["ep_ttm_clean"]), ("bp", bp), ("bp_clean", s["bp_clean"]))}
     for w in (NEAR, MID, FAR):
         out |= {f"industry_{k}_{w}": col(f"ind_{k}_{w}") for k in ("ret", "std", "excess_ret", "pos_rate", "dispersion")}
         out[f"industry_rel_ret_{w}"] = c.change(w) - col(f"ind_ret_{w}")

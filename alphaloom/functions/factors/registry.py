@@ -41,6 +41,9 @@ def generate(panel: DataFrame, names: list[str] | None = None, provider_source:
     if "vwap" in needed and "vwap" not in have:
         panel = with_vwap(panel)
         have.add("vwap")
+    if "limit_pre_close" in needed and "limit_pre_close" not in have and "pre_close" in have:
+        panel = panel.withColumn("limit_pre_close", F.col("pre_close"))
+        have.add("limit_pre_close")
     panel = panel.withColumns({c: F.lit(None).cast("double") for c in sorted(needed - have)}) if needed - have else panel
     return with_kernels(panel, {n: known[n] for n in wanted}, keep=list(keep), floats=True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsl
-from ..functions.expr import call, col, corr, duck_sql, rounded, sure, when
+from ..functions.expr import call, col, corr, rounded, sure, when
 from ..functions.factors import alpha158, provider, purified, technical, temporal
 from ..functions.factors.registry import generate, sources
 from ..functions.kernel import with_kernels
@@ -88,12 +88,11 @@ def _provider_query(formulas: dict):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return text_date(rounded(with_kernels(provider_panel(spark, sf_dir), formulas, keep=["symbol", "date"]), formulas))
 
-    sql = duck_sql("wide", formulas, ["symbol", "date"], ctes=_PROVIDER_SQL)
-    return query, f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({sql})"
+    return query
 
 
 for _name, _part in provider.groups().items():
-    QUERIES[f"provider_{_name}"], ORACLES[f"provider_{_name}"] = _provider_query(_part)
+    QUERIES[f"provider_{_name}"], ORACLES[f"provider_{_name}"] = _provider_query(_part), twins.provider_twin(_name, _PROVIDER_SQL)
 
 # ---- recursive smoothing
 

@@ -170,3 +170,124 @@ TWINS = {
     "obv_flow": _query({f"obv_flow_{n}": _full(f"sum({_SIGNED}) OVER f{n} / (sum(coalesce(volume, 0)) OVER f{n} + {EPS})", n, "1") for n in (20, 60)}),
     "mean_abs_dev": _query({"m": _full("avg(close) OVER f8", 8), "l": "list(close) OVER f8"}).rpartition("SELECT symbol, CAST(date AS VARCHAR) AS date,")[0] + f"SELECT symbol, CAST(date AS VARCHAR) AS date, {_r('CASE WHEN m IS NOT NULL THEN (SELECT avg(abs(e - m)) FROM (SELECT unnest(l) AS e)) END', 6)} AS mad_8 FROM made",
 }
+
+
+# ---- the provider family, over a wide panel
+
+
+def bounded(x: str, scale: float = 1.0) -> str:
+    return f"tanh(({x}) / {scale}::DOUBLE)"
+
+
+def blend(parts: list[tuple[float, str]], least: float = 0.5) -> str:
+    """Weighted sum of what is known, if it has at least a share of the weight."""
+    total = sum(abs(w) for w, _ in parts)
+    seen = " + ".join(f"CASE WHEN ({x}) IS NOT NULL THEN {abs(w)}::DOUBLE ELSE 0 END" for w, x in parts)
+    return f"CASE WHEN {seen} >= {total * least}::DOUBLE - 1e-12::DOUBLE THEN {' + '.join(f'coalesce({w}::DOUBLE * ({x}), 0)' for w, x in parts)} END"
+
+
+_inv = lambda x: f"CASE WHEN {x} > 0 THEN 1 / {x} END"
+_bad = lambda x: f"CASE WHEN {x} <= 0 THEN 1.0::DOUBLE WHEN {x} > 0 THEN 0 END"
+_yes = lambda x: f"CASE WHEN {x} THEN 1.0::DOUBLE WHEN NOT ({x}) THEN 0 END"
+_z = lambda x: f"({x} - avg({x}) OVER f20) / (stddev_samp({x}) OVER f20 + {EPS})"
+_pos = lambda x, y: f"CASE WHEN {y} > {EPS} THEN {x} / {y} END"
+
+#: What single rows say, in steps: each may read the ones before.
+_STEPS = [
+    {"c": "nullif(close, 0)", "nth": "row_number() OVER s"},
+    {"ret": "c / lag(c) OVER s - 1", "up": "up_limit", "dn": "down_limit", "yield_proxy": f"div_cash_div / CASE WHEN c > {EPS} THEN c END", "fresh_fc": "exp(-greatest(fc_days_since_ann, 0) / 20) * CASE WHEN fc_days_since_ann IS NOT NULL THEN 1 END", "fresh_exp": "exp(-greatest(exp_days_since_ann, 0) / 20) * CASE WHEN exp_days_since_ann IS NOT NULL THEN 1 END",
+     "ep_": _inv("pe"), "sp_": _inv("ps"), "spt_": _inv("ps_ttm"), "ept_": _inv("pe_ttm"), "bp_": _inv("pb"), "mid": "(fc_p_change_min + fc_p_change_max) / 2", "width": "fc_p_change_max - fc_p_change_min", "np_mid": "(fc_net_profit_min + fc_net_profit_max) / 2", "exp_all": "exp_yoy_sales + exp_yoy_op + exp_yoy_dedu_np + exp_yoy_eps"},
+    {"place": f"(c - dn) / (up - dn + {EPS})", "hit_up": _yes("c >= up * (1 - 1e-6)"), "hit_dn": _yes("c <= dn * (1 + 1e-6)"), "gap_up": "up / c - 1", "gap_dn": "c / dn - 1", "band": f"(up - dn) / (nullif(limit_pre_close, 0) + {EPS})", "ff": "free_share / nullif(total_share, 0)", "fc_ratio": "free_share / nullif(circ_share, 0)", "mv": "circ_mv / nullif(total_mv, 0)",
+     "ft": "turnover_free / nullif(turnover, 0)", "fs": "turnover_free - turnover", "illiquid": f"abs(ret) / (abs(amount) + {EPS})", "illiquid_dn": f"CASE WHEN ret < 0 THEN abs(ret) END / (abs(amount) + {EPS})", "div_eps": _pos("div_cash_div", "fi_eps"), "div_ocf": _pos("div_cash_div", "fi_ocfps"),
+     "sure_of": f"CASE WHEN mid IS NULL THEN NULL WHEN fc_p_change_min > 0 THEN mid / (abs(width) + {EPS}) WHEN fc_p_change_max < 0 THEN -abs(mid) / (abs(width) + {EPS}) ELSE 0 END",
+     **{f"rel{n}": f"c / lag(c, {n}) OVER s - 1 - ind_ret_{n}" for n in (5, 20, 60)}, **{f"own{n}": f"c / lag(c, {n}) OVER s - 1" for n in (5,)}, "vol20": f"stddev_samp(ret) OVER f20 / (ind_std_20 + {EPS})", "vol60": f"stddev_samp(ret) OVER f60 / (ind_std_60 + {EPS})", "vol5": f"stddev_samp(ret) OVER f5 / (ind_std_5 + {EPS})",
+     "ocf_rel": f"fi_ocfps / (abs(fi_eps) + {EPS}) - ind_fi_ocf_to_eps_mean", "margin_rel": "fi_grossprofit_margin - fi_netprofit_margin - ind_fi_margin_quality_mean", "yield_rel": "dv_ttm - ind_dividend_yield_ttm_mean", "cash_rel": "yield_proxy - ind_dividend_cash_yield_proxy_mean"},
+    {"near_up": "CASE WHEN place >= 0.9 AND hit_up <= 0 THEN 1.0::DOUBLE ELSE 0 END", "near_dn": "CASE WHEN place <= 0.1 AND hit_dn <= 0 THEN 1.0::DOUBLE ELSE 0 END", "pressure": f"sum(CASE WHEN ret < 0 THEN turnover END) OVER f20 / (sum(turnover) OVER f20 + {EPS})",
+     "ud": f"sum(CASE WHEN ret > 0 THEN turnover END) OVER f20 / (sum(CASE WHEN ret < 0 THEN turnover END) OVER f20 + {EPS})", "rt": "corr(ret, turnover) OVER f20", **{f"dr{n}": f"avg(illiquid_dn) OVER f{n} / (ind_downside_amihud_mean_{n} + {EPS})" for n in (20, 60)},
+     "quality": blend([(0.35, bounded("fi_roe_dt", 20)), (0.25, bounded("ocf_rel", 2)), (0.2, bounded("fi_ocf_yoy - fi_netprofit_yoy", 50)), (0.1, bounded("margin_rel", 20)), (-0.2, bounded("fi_debt_to_assets", 60))]),
+     "value": blend([(1.0, "bp_ - ind_bp_clean_mean"), (1.0, "spt_ - ind_sp_ttm_clean_mean"), (0.25, bounded("yield_rel", 5))]),
+     "growth": blend([(0.3, bounded("fi_or_yoy", 50)), (0.25, bounded("fi_op_yoy", 50)), (0.3, bounded("fi_ocf_yoy", 50)), (0.15, bounded("fi_netprofit_yoy", 50)), (-0.25, bounded("abs(fi_netprofit_yoy - fi_ocf_yoy)", 50))]),
+     "express": blend([(0.35, bounded("exp_yoy_sales", 50)), (0.35, bounded("exp_yoy_dedu_np", 50)), (0.2, bounded("exp_yoy_eps", 50)), (0.1, bounded("exp_yoy_dedu_np - exp_yoy_tp", 30)), (-0.15, bounded("exp_growth_assets", 50))]),
+     **{f"trend{n}": blend([(0.35, bounded(f"ind_ret_{n}", a)), (0.25, bounded(f"ind_excess_ret_{n}", b)), (0.25, bounded(f"ind_pos_rate_{n} - 0.5", 0.2)), (-0.15, bounded(f"ind_std_{n}", d))]) for n, a, b, d in ((20, 0.2, 0.1, 0.05), (60, 0.3, 0.15, 0.08))}},
+    {"near_dn20": "sum(near_dn) OVER f20", "up20": "sum(hit_up) OVER f20", "dn20": "sum(hit_dn) OVER f20", "payout": "CASE WHEN x_payout IS NOT NULL THEN greatest(x_payout, 0) END"},
+]
+_STEPS[3]["x_payout"] = blend([(0.5, bounded("div_eps - 0.8", 0.5)), (0.5, bounded("div_ocf - 0.6", 0.5))], 0.25)
+
+
+def _provider(columns: dict[str, str], ctes: str) -> str:
+    """Rounded columns of the wide panel after all steps, each a select over the one before."""
+    out, before = [ctes], "wide"
+    for k, step in enumerate([*_STEPS, columns]):
+        sizes = sorted({int(n) for x in step.values() for n in _sizes(x)})
+        frames = "".join(f", f{n} AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in sizes)
+        made = ", ".join(f"{x} AS {name}" for name, x in step.items())
+        keep = "*" if k < len(_STEPS) else "symbol, date"
+        out.append(f"step{k} AS (SELECT {keep}, {made} FROM {before} WINDOW s AS (PARTITION BY symbol ORDER BY date){frames})")
+        before = f"step{k}"
+    return f"WITH {', '.join(out)} SELECT symbol, CAST(date AS VARCHAR) AS date, {', '.join(f'{_r(n, 6)} AS {n}' for n in columns)} FROM {before}"
+
+
+_FI = "eps dt_eps bps ocfps roe roe_dt roa grossprofit_margin netprofit_margin debt_to_assets q_eps q_dtprofit q_roe q_dt_roe tr_yoy or_yoy op_yoy netprofit_yoy ocf_yoy".split()
+_EXP = "revenue operate_profit total_profit n_income total_assets diluted_eps diluted_roe yoy_sales yoy_op yoy_tp yoy_dedu_np yoy_eps yoy_roe growth_assets yoy_assets".split()
+_calm = lambda n: bounded(f"vol{n} - 1", 0.5)
+
+
+def _relative(n: int) -> dict[str, str]:
+    ratio = lambda x, k: f"avg({x}) OVER f{n} / (ind_{k}_{n} + {EPS})"
+    r = {"turnover_ratio": ratio("turnover", "turnover_mean"), "free_turnover_ratio": ratio("turnover_free", "free_turnover_mean"), "volume_ratio_gap": f"avg(volume_ratio) OVER f{n} - ind_volume_ratio_mean_{n}", "amihud_ratio": ratio("illiquid", "amihud_mean"), "downside_amihud_ratio": f"dr{n}", "amplitude_ratio": ratio("amplitude", "amplitude_mean"), "hit_up_limit_gap": f"avg(hit_up) OVER f{n} - ind_hit_up_limit_rate_{n}", "hit_down_limit_gap": f"avg(hit_dn) OVER f{n} - ind_hit_down_limit_rate_{n}"}
+    over = lambda k: bounded(f"{r[k]} - 1")
+    r["crowding"] = blend([(0.25, over("turnover_ratio")), (0.25, over("free_turnover_ratio")), (0.2, bounded(r["volume_ratio_gap"], 2)), (0.2, over("amplitude_ratio")), (0.1, bounded(f"({r['hit_up_limit_gap']}) - ({r['hit_down_limit_gap']})", 0.5))])
+    r["liquidity_stress"] = blend([(0.45, over("downside_amihud_ratio")), (0.25, over("amihud_ratio")), (0.2, over("amplitude_ratio")), (0.1, bounded(r["hit_down_limit_gap"], 0.5))])
+    r["low_vol_liquidity"] = blend([(-0.45, _calm(n)), (-0.25, over("amihud_ratio")), (-0.15, over("downside_amihud_ratio")), (0.15, over("free_turnover_ratio"))])
+    return {f"stock_vs_industry_{k}_{n}": x for k, x in r.items()}
+
+
+PROVIDER = {
+    "base": {
+        "gap_up_limit": "gap_up", "gap_down_limit": "gap_dn", "limit_band_pct": "band", "limit_band_pos": "place", "hit_up_limit": "hit_up", "hit_down_limit": "hit_dn", "free_float_ratio": "ff", "circ_float_ratio": "circ_share / nullif(total_share, 0)", "free_to_circ_ratio": "fc_ratio", "free_turnover_ratio": "ft", "free_turnover_spread": "fs",
+        **{f"free_turnover_mean_{n}": f"avg(turnover_free) OVER f{n}" for n in (5, 20)}, **{f"{k}_accel_5_20": f"avg({x}) OVER f5 / (avg({x}) OVER f20 + {EPS}) - 1" for k, x in (("turnover", "turnover"), ("free_turnover", "turnover_free"))}, "volume_ratio_raw": "volume_ratio", "float_mv_ratio": "mv",
+        "ep": "coalesce(ep_, -1)", "sp": "coalesce(sp_, -1)", "sp_ttm": "coalesce(spt_, -1)", "ep_ttm_gap": "coalesce(ep_, -1) - coalesce(ept_, -1)", "ep_clean": "ep_", "ep_invalid": _bad("pe"), "sp_clean": "sp_", "sp_invalid": _bad("ps"), "sp_ttm_clean": "spt_", "sp_ttm_invalid": _bad("ps_ttm"), "ep_ttm_clean": "ept_", "ep_ttm_invalid": _bad("pe_ttm"),
+        "ep_ttm_gap_clean": "ep_ - ept_", "bp_clean": "bp_", "bp_invalid": _bad("pb"), "dividend_yield": "dv_ratio", "dividend_yield_ttm": "dv_ttm", "has_dividend": _yes("dv_ttm > 0"), "dividend_cash_to_eps": "div_eps", "dividend_cash_to_ocfps": "div_ocf", "dividend_cash_yield_proxy": "yield_proxy",
+        "industry_member_count": "ind_member_count", "industry_daily_ret": "ind_daily_ret", "industry_excess_daily_ret": "ind_excess_daily_ret",
+    },
+    "flows": {
+        **{f"{k}_mean_{n}": f"avg({x}) OVER f{n}" for n in (5, 20) for k, x in (("limit_band_pct", "band"), ("limit_band_pos", "place"), ("gap_up_limit", "gap_up"), ("gap_down_limit", "gap_dn"), ("amplitude", "amplitude"), ("pct_chg", "pct_chg"))}, **{f"hit_{k}_limit_count_{n}": f"sum(hit_{x}) OVER f{n}" for n in (5, 20) for k, x in (("up", "up"), ("down", "dn"))},
+        **{f"{k}_change_{n}": f"{x} / lag({x}, {n}) OVER s - 1" for n in (20, 60) for k, x in (("free_float_ratio", "ff"), ("free_to_circ_ratio", "fc_ratio"), ("float_mv_ratio", "mv"), ("sp_ttm", "coalesce(spt_, -1)"), ("sp_ttm_clean", "spt_"), ("dividend_yield_ttm", "dv_ttm"))},
+        **{f"{k}_change_{n}": f"{x} - lag({x}, {n}) OVER s" for n in (20, 60) for k, x in (("ep_ttm", "coalesce(ept_, -1)"), ("ep_ttm_clean", "ept_"), ("bp", "coalesce(bp_, -1)"), ("bp_clean", "bp_"))},
+        **{f"industry_{k}_{n}": f"ind_{k}_{n}" for n in (5, 20, 60) for k in ("ret", "std", "excess_ret", "pos_rate", "dispersion")}, **{f"industry_rel_ret_{n}": f"rel{n}" for n in (5, 20, 60)}, **{f"stock_vs_industry_std_ratio_{n}": f"vol{n}" for n in (5, 20, 60)},
+        **{f"{k}_zscore_20": _z(x) for k, x in (("amplitude", "amplitude"), ("pct_chg", "pct_chg"), ("free_turnover_ratio", "ft"), ("free_turnover_spread", "fs"), ("volume_ratio_raw", "volume_ratio"))}, "amihud_term_5_20": f"avg(illiquid) OVER f5 / (avg(illiquid) OVER f20 + {EPS}) - 1", "downside_amihud_20": "avg(illiquid_dn) OVER f20",
+        **{f"{k}_surprise_20": f"{x} - avg({x}) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)" for k, x in (("dividend_yield_ttm", "dv_ttm"), ("dividend_cash_yield_proxy", "yield_proxy"))},
+    },
+    "announced": {
+        "fi_ocf_to_eps": f"fi_ocfps / (abs(fi_eps) + {EPS})", "fi_ocfps_minus_eps": "fi_ocfps - fi_eps", "fi_ocf_yoy_minus_np_yoy": "fi_ocf_yoy - fi_netprofit_yoy", "fi_roe_quality_gap": "fi_roe_dt - fi_roe", "fi_q_roe_quality_gap": "fi_q_dt_roe - fi_q_roe", "fi_margin_quality": "fi_grossprofit_margin - fi_netprofit_margin",
+        "fi_profitability_combo": "fi_roe_dt + fi_roa + fi_netprofit_margin", "fi_growth_quality_combo": "fi_or_yoy + fi_op_yoy + fi_netprofit_yoy + fi_ocf_yoy", "fc_p_change_mid": "mid", "fc_p_change_width": "width", "fc_net_profit_mid": "np_mid", "fc_net_profit_width": "fc_net_profit_max - fc_net_profit_min", "fc_net_profit_mid_ratio": f"np_mid / (abs(fc_last_parent_net) + {EPS})",
+        "fc_positive_confidence": "sure_of", "fc_days_since_ann": "fc_days_since_ann", "fc_freshness_weight": "fresh_fc", "fc_surprise_fresh": "mid * fresh_fc", "exp_growth_combo": "exp_all", "exp_profit_quality_gap": "exp_yoy_dedu_np - exp_yoy_tp", "exp_asset_efficiency": "exp_yoy_sales - exp_growth_assets", "exp_profit_margin_proxy": f"exp_n_income / (abs(exp_revenue) + {EPS})",
+        "exp_op_margin_proxy": f"exp_operate_profit / (abs(exp_revenue) + {EPS})", "exp_days_since_ann": "exp_days_since_ann", "exp_freshness_weight": "fresh_exp", "exp_growth_fresh": "exp_all * fresh_exp",
+    },
+    "events": {
+        "up_down_turnover_ratio_20": "ud", "return_turnover_corr_20": "rt", "downside_turnover_pressure_20": "pressure", **{f"days_since_last_{k}_limit": f"row_number() OVER s - max(CASE WHEN {x} > 0 THEN nth END) OVER s" for k, x in (("up", "hit_up"), ("down", "hit_dn"))},
+        **{f"{k}_limit_streak": f"row_number() OVER s - coalesce(max(CASE WHEN NOT coalesce({x} > 0, false) THEN nth END) OVER s, 0)" for k, x in (("up", "hit_up"), ("down", "hit_dn"))}, "near_up_limit_count_20": "sum(near_up) OVER f20", "near_down_limit_count_20": "near_dn20",
+    },
+    "industry": {
+        "industry_breadth_accel_20_60": "ind_pos_rate_20 - ind_pos_rate_60", "industry_momentum_accel_20_60": "ind_ret_20 - ind_ret_60", "stock_industry_ret_gap_5_20": "rel5 - rel20", "stock_industry_ret_gap_20_60": "rel20 - rel60", **{f"stock_relative_strength_quality_{n}": f"rel{n} / (ind_std_{n} + {EPS})" for n in (20, 60)}, **_relative(20), **_relative(60),
+        **{f"{k}_minus_industry_{k}": f"coalesce({x}, -1) - ind_{k}_mean" for k, x in (("ep", "ep_"), ("sp", "sp_"), ("sp_ttm", "spt_"), ("bp", "bp_"))}, **{f"{k}_clean_minus_industry_{k}_clean": f"{x} - ind_{k}_clean_mean" for k, x in (("ep", "ep_"), ("sp", "sp_"), ("sp_ttm", "spt_"), ("bp", "bp_"))},
+        "dividend_yield_minus_industry": "dv_ratio - ind_dividend_yield_mean", "dividend_yield_ttm_minus_industry": "yield_rel", "dividend_cash_to_eps_minus_industry": "div_eps - ind_dividend_cash_to_eps_mean", "dividend_cash_to_ocfps_minus_industry": "div_ocf - ind_dividend_cash_to_ocfps_mean", "dividend_cash_yield_proxy_minus_industry": "cash_rel",
+        "dividend_yield_ttm_industry_spread_zscore_20": _z("yield_rel"), "dividend_cash_yield_industry_spread_zscore_20": _z("cash_rel"), "fi_ocf_to_eps_minus_industry": "ocf_rel", "fi_ocfps_minus_eps_minus_industry": "fi_ocfps - fi_eps - ind_fi_ocfps_minus_eps_mean", "fi_roe_quality_gap_minus_industry": "fi_roe_dt - fi_roe - ind_fi_roe_quality_gap_mean", "fi_margin_quality_minus_industry": "margin_rel",
+    },
+    "semantic": {
+        "sem_value_quality": "value + quality", "sem_value_quality_low_vol": f"value + quality - {_calm(20)}", "sem_dividend_quality": "yield_rel * (1 + CASE WHEN quality IS NOT NULL THEN least(greatest(quality, -0.5::DOUBLE), 0.75::DOUBLE) END)", "sem_profitability_resilience": f"quality - {_calm(20)}", "sem_growth_cash_quality": "growth",
+        "sem_growth_cash_quality_accel_20": "growth - avg(growth) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", "sem_forecast_confidence_fresh": f"{bounded('mid', 50)} * {bounded('sure_of')} * fresh_fc", "sem_forecast_unpriced_5": f"{bounded('mid', 50)} * {bounded('sure_of')} * fresh_fc - {bounded('own5', 0.1)}",
+        "sem_express_growth_quality_fresh": "express * fresh_exp", **{f"sem_industry_strength_low_vol_{n}": f"trend{n} - {_calm(n)}" for n in (20, 60)}, "sem_industry_relative_winner_20": f"trend20 + {bounded('rel20', 0.2)} - {_calm(20)}", "sem_industry_pullback_recovery_5_20": f"trend20 + {bounded('rel20', 0.2)} - {bounded('rel5', 0.1)}",
+        "sem_liquidity_absorption_20": blend([(1.0, bounded("ud - 1", 2)), (1.0, bounded("rt")), (-1.0, bounded("pressure - 0.5", 0.3))]), "sem_downside_liquidity_relief_20": blend([(-1.0, bounded("dr20 - 1")), (-1.0, bounded("pressure - 0.5", 0.3)), (-1.0, bounded("near_dn20", 3))]),
+        "sem_limit_breakout_quality_20": blend([(1.0, bounded("up20", 3)), (-1.0, bounded("dn20", 3)), (1.0, "trend20"), (-1.0, bounded("near_dn20", 3))]), "sem_low_vol_value_reversal_5": f"value + quality - {_calm(20)} - {bounded('own5', 0.1)}",
+        "sem_dividend_cash_quality": blend([(0.35, bounded("yield_rel", 5)), (0.3, bounded("cash_rel", 0.05)), (0.25, "quality"), (-0.1, "payout")]),
+    },
+    "snapshots": {
+        **{f"latest_{x}": f"fi_{x}" for x in _FI}, "latest_div_cash": "div_cash_div", "latest_div_cash_tax": "div_cash_div_tax", "latest_div_stock": "div_stk_div", "latest_div_bo_rate": "div_stk_bo_rate", "latest_div_co_rate": "div_stk_co_rate", "latest_div_base_share": "div_base_share", "latest_div_cash_yield_proxy": f"div_cash_div / (c + {EPS})",
+        "latest_div_stock_ratio": "div_stk_div + div_stk_bo_rate + div_stk_co_rate", "has_stock_dividend": _yes("div_stk_div + div_stk_bo_rate + div_stk_co_rate > 0"), **{f"latest_fc_{x}": f"fc_{x}" for x in ("p_change_min", "p_change_max", "net_profit_min", "net_profit_max", "last_parent_net")}, **{f"latest_exp_{x}": f"exp_{x}" for x in _EXP},
+    },
+}
+
+
+def provider_twin(group: str, ctes: str) -> str:
+    return _provider(PROVIDER[group], ctes)
