@@ -401,7 +401,9 @@ class _Compiler:
         for key, name in self.held.items():
             n = self.nodes[key]
             place = (self.level[key], 0 if n.op in ROLLING else depth(n))
-            steps.setdefault(place, {})[name] = self.text(n, inside=False)
+            text = self.text(n, inside=False)
+            # Frames skip what is missing, so infinity times 0 must be missing before one sees it.
+            steps.setdefault(place, {})[name] = self.d.clean(text) if n.op in ("+", "-", "*", "/") else text
         return [steps[k] for k in sorted(steps)]
 
     def _below(self, n: Node) -> list[Node]:
