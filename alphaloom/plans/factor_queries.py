@@ -13,7 +13,7 @@ from ..functions.kernel import with_kernels
 from ..operators.industry import compound
 from ..sources import panels
 from . import twins
-from .frames import formulas_query, text_date
+from .frames import formulas_query, significant, text_date
 
 C, V, H, L = (col(x) for x in ("close", "volume", "high", "low"))
 _rolling = {w: alpha158.rolling(w) for w in alpha158.WINDOWS}
@@ -86,7 +86,8 @@ def _provider_query(formulas: dict):
     formulas = {k.lower(): x for k, x in formulas.items()}
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return text_date(rounded(with_kernels(provider_panel(spark, sf_dir), formulas, keep=["symbol", "date"]), formulas))
+        made = with_kernels(provider_panel(spark, sf_dir), formulas, keep=["symbol", "date"])
+        return text_date(made.select("symbol", "date", *(F.expr(significant(f"`{n}`", "DOUBLE('Infinity')")).alias(n) for n in formulas)))
 
     return query
 
@@ -160,4 +161,4 @@ def registry_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["registry_projection"] = registry_projection
-ORACLES["registry_projection"] = "SELECT family, CAST(n AS BIGINT) AS n_sources FROM (VALUES ('alpha158', 6), ('purified', 10), ('temporal', 6), ('technical', 4), ('provider', 121)) v(family, n)"
+ORACLES["registry_projection"] = "SELECT family, CAST(n AS BIGINT) AS n_sources FROM (VALUES ('alpha158', 6), ('purified', 10), ('temporal', 6), ('technical', 4), ('provider', 120)) v(family, n)"

@@ -44,6 +44,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED_SQL = panels.SIGNALS_SQL + ", scored AS (SELECT *, symbol AS instrument FROM (" + duck_sql("panel", SCORED, ["symbol", "date", "industry", "nation", "close", "volume"]) + "))"
 
 
+def significant(x: str, infinity: str) -> str:
+    """SQL of both engines: x to six decimals, and beyond 1 to seven digits, for columns whose sizes differ by powers of ten."""
+    unit = f"power(CAST(10 AS DOUBLE), floor(log10(abs({x}))))"
+    return f"CASE WHEN abs({x}) < {infinity} THEN CASE WHEN abs({x}) >= 1 THEN round({x} / {unit}, 6) * {unit} ELSE round({x}, 6) + CAST(0 AS DOUBLE) END END"
+
+
 def avg_rank_sql(x: str, by: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {by}, {x} IS NOT NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0::DOUBLE END"
 

@@ -6,7 +6,9 @@ They share no formula with `functions/`: a wrong formula there shows here.
 from __future__ import annotations
 
 from ..sources import panels
+from .frames import significant
 
+INFINITY = "CAST('Infinity' AS DOUBLE)"
 EPS = "1e-12::DOUBLE"
 
 
@@ -224,7 +226,7 @@ def _provider(columns: dict[str, str], ctes: str) -> str:
         keep = "*" if k < len(_STEPS) else "symbol, date"
         out.append(f"step{k} AS (SELECT {keep}, {made} FROM {before} WINDOW s AS (PARTITION BY symbol ORDER BY date){frames})")
         before = f"step{k}"
-    return f"WITH {', '.join(out)} SELECT symbol, CAST(date AS VARCHAR) AS date, {', '.join(f'{_r(n, 6)} AS {n}' for n in columns)} FROM {before}"
+    return f"WITH {', '.join(out)} SELECT symbol, CAST(date AS VARCHAR) AS date, {', '.join(f"{significant(n, INFINITY)} AS {n}" for n in columns)} FROM {before}"
 
 
 _FI = "eps dt_eps bps ocfps roe roe_dt roa grossprofit_margin netprofit_margin debt_to_assets q_eps q_dtprofit q_roe q_dt_roe tr_yoy or_yoy op_yoy netprofit_yoy ocf_yoy".split()
