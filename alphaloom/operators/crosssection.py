@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .grouped import column_ranks, whole_groups
 
 
 def observed(x: str | Column) -> Column:
@@ -26,13 +31,28 @@ def group_count(value: Column, *keys: str) -> Column:
 
 
 def rank_pct(df: DataFrame, columns: list[str], date: str = "date", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Each column as its average rank within a date over the number of finite values; non-finite values stay as they are."""
-    out = {}
-    for c in columns:
-        if c not in exclude:
-            v = observed(c)
-            out[c] = F.when(v.isNotNull(), average_rank(v, date) / group_count(v, date)).otherwise(F.col(c))
-    return df.withColumns(out)
+    """Each column as its average rank within a date over the number of finite values; non-finite values stay as they are.
+
+    A date's rows come together once, and all columns are ranked in one pass over them.
+    """
+    names = [c for c in columns if c not in exclude]
+    if not names:
+        return df
+    source = df.select(F.col(date).alias("_by"), *(F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in df.columns))
+    places = [1 + df.columns.index(c) for c in names]
+
+    def run(batches):
+        for part in whole_groups(batches, 1):
+            x = np.column_stack([part.column(k).to_numpy() for k in places])
+            known = np.isfinite(x)
+            share = column_ranks(np.where(known, x, np.nan)) / np.maximum(known.sum(axis=0), 1)
+            missing = np.column_stack([part.column(k).chunk(0).is_null().to_numpy(zero_copy_only=False) for k in places])
+            made = dict(zip(places, range(len(places))))
+            arrays = [pa.array(np.where(known[:, made[k]], share[:, made[k]], x[:, made[k]]), pa.float64(), mask=missing[:, made[k]]) if k in made else part.column(k).chunk(0) for k in range(1, part.num_columns)]
+            yield pa.record_batch(arrays, names=df_columns)
+
+    df_columns = df.columns
+    return source.repartition("_by").sortWithinPartitions("_by").mapInArrow(run, StructType(source.schema.fields[1:]))
 
 
 def zscore_clip(df: DataFrame, column: str, out: str, clip: float = 0.0, date: str = "date") -> DataFrame:

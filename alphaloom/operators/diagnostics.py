@@ -6,12 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from .crosssection import average_rank, observed, quantile_bin
+from .grouped import column_ranks, whole_groups
 
 #: Features that one unpivot carries; more are done in chunks, to bound the growth of rows.
 CHUNK = 64
@@ -95,17 +95,6 @@ def icir(x: str) -> Column:
     return F.when(F.stddev_samp(x) > 1e-8, F.avg(x) / F.stddev_samp(x))
 
 
-def _ranks(v: np.ndarray) -> np.ndarray:
-    """Average ranks from 1."""
-    order = np.argsort(v, kind="stable")
-    s = v[order]
-    run = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
-    often = np.bincount(run)
-    out = np.empty(len(v))
-    out[order] = (np.cumsum(often) - (often - 1) / 2)[run]
-    return out
-
-
 def _correlation(x: np.ndarray, y: np.ndarray) -> float:
     """As `correlation`; NaN where that is missing."""
     if len(x) < 2 or x.min() == x.max() or y.min() == y.max():
@@ -137,8 +126,8 @@ def daily_shapes(df: DataFrame, features: list[str], bins: int = 5, keys: tuple[
             ic = rank_ic = spread = shape = np.nan
             varied = None
             if n:
-                r = _ranks(a)
-                ic, rank_ic = _correlation(a, b), _correlation(r, _ranks(b))
+                r, q = column_ranks(np.column_stack([a, b])).T
+                ic, rank_ic = _correlation(a, b), _correlation(r, q)
                 if np.isnan(ic) or np.isnan(rank_ic):
                     ic = rank_ic = np.nan
                 if n >= bins and a.min() < a.max():
@@ -147,7 +136,7 @@ def daily_shapes(df: DataFrame, features: list[str], bins: int = 5, keys: tuple[
                     held = np.flatnonzero(often)
                     means = total[held] / often[held]
                     if len(held) > 1:
-                        spread, shape, varied = means[-1] - means[0], _correlation(_ranks(held.astype(float)), _ranks(means)), bool(b.min() < b.max())
+                        spread, shape, varied = means[-1] - means[0], _correlation(*column_ranks(np.column_stack([held, means])).T), bool(b.min() < b.max())
             out.append((part.num_rows, n, ic, rank_ic, spread, shape, varied))
         columns = list(zip(*out))
         first = part.slice(0, 1)
@@ -156,23 +145,8 @@ def daily_shapes(df: DataFrame, features: list[str], bins: int = 5, keys: tuple[
         return pa.record_batch([*ids, names, pa.array(columns[0]), pa.array(columns[1]), *doubles, pa.array(columns[6], pa.bool_())], names=schema.names)
 
     def run(batches):
-        """Dates are kept whole: the last of a batch waits for the next."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            change = np.zeros(table.num_rows, bool)
-            for k in range(len(by)):
-                c = table.column(k).chunk(0)
-                change[1:] |= pc.invert(pc.equal(pc.fill_null(c[1:].cast(pa.string()), ""), pc.fill_null(c[:-1].cast(pa.string()), ""))).to_numpy(zero_copy_only=False)
-            starts = [0, *np.flatnonzero(change).tolist()]
-            for a, b in zip(starts, starts[1:]):
-                yield one(table.slice(a, b - a).combine_chunks())
-            held = table.slice(starts[-1]).combine_chunks().to_batches()
-        if held:
-            yield one(pa.Table.from_batches(held).combine_chunks())
+        for part in whole_groups(batches, len(by)):
+            yield one(part)
 
     return source.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 

@@ -638,3 +638,25 @@ def test_training_table_and_periods(spark):
     w = spark.createDataFrame([("a", 3, 0.1), ("a", 5, 0.3), ("b", 4, None)], "run string, feature_count int, valid_topk_label_mean double")
     got = {r["run"]: r for r in compare.training_table(w, list(compare.SIGNALS)).collect()}
     assert got["a"]["window_count"] == 2 and got["a"]["feature_count_median"] == 4 and got["a"]["valid_topk_label_mean_max"] == 0.3 and got["b"]["valid_topk_label_mean_mean"] is None
+
+
+def test_column_ranks_and_whole_groups(spark):
+    import pandas as pd
+
+    from alphaloom.operators.grouped import column_ranks
+
+    rng = np.random.default_rng(10)
+    for n, k in ((1, 1), (7, 3), (40, 5)):
+        x = rng.integers(0, 6, (n, k)).astype(float)
+        x[rng.random(x.shape) < 0.3] = np.nan
+        assert np.allclose(column_ranks(x), pd.DataFrame(x).rank().to_numpy(), equal_nan=True)
+    rows = [(d, f"s{i}", *(None if rng.random() < 0.2 else float(rng.integers(0, 9)) for _ in range(3))) for d in range(30) for i in range(int(rng.integers(1, 12)))] + [(99, "x", float("inf"), nan, None)]
+    df = spark.createDataFrame(rows, "date int, symbol string, a double, b double, c double").repartition(5)
+    got = crosssection.rank_pct(df, ["a", "b"])
+    want = df.toPandas()
+    for c in ("a", "b"):
+        want[c] = want.where(np.isfinite(want[c])).groupby(want["date"])[c].rank(pct=True).where(np.isfinite(want[c]), want[c])
+    order = ["date", "symbol"]
+    assert got.columns == df.columns
+    for c in ("a", "b", "c"):
+        assert np.allclose(got.toPandas().sort_values(order)[c].to_numpy(float), want.sort_values(order)[c].to_numpy(float), equal_nan=True), c
