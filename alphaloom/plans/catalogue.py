@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import factor_queries, panel_queries, portfolio_queries, research_queries
+from . import detail_queries, factor_queries, panel_queries, portfolio_queries, research_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (factor_queries, panel_queries, research_queries, portfolio_queries):
+for _module in (factor_queries, panel_queries, research_queries, portfolio_queries, detail_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
