@@ -29,6 +29,8 @@ LEAF = 64
 BLOCK = 4096
 #: Pairs of a vector and a query that a task looks at together.
 PAIRS = 1 << 22
+#: By how much a matrix product may differ from the exact cosine, and more.
+SLACK = 1e-9
 #: Best axes of each function that probe sequences are made of.
 _AXES = 24
 
@@ -140,12 +142,13 @@ class Asked:
     def __init__(self, places: np.ndarray, rows: np.ndarray, functions: int, tables: int, probes: int):
         self.places, self.rows, self.functions, self.tables, self.probes = places, rows, functions, tables, probes
         self.norm = np.sqrt(summed(rows, rows))
+        self.unit = rows / self.norm[:, None]
         self._lookup = None
 
     def lookup(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per table the probed buckets, sorted, and who probes them; made where it is used."""
         if self._lookup is None:
-            unit, self._lookup = _padded(self.rows / self.norm[:, None]), []
+            unit, self._lookup = _padded(self.unit), []
             for t in range(self.tables):
                 code = probed(unit, t, self.functions, self.probes)
                 who = np.repeat(np.arange(len(unit)), code.shape[1])
@@ -182,7 +185,11 @@ def _nearest(ids: np.ndarray, asked: dict[int, Asked], nearest: int, exact: bool
                         continue
                     own, length = every[at], np.sqrt(summed(x, x))
                     mask = np.ones((len(x), len(who.rows)), bool) if exact else who.candidates(codes[at])
-                    r, q = np.nonzero(mask & (own[:, None] != ids[who.places][None, :]))
+                    mask &= own[:, None] != ids[who.places][None, :]
+                    # A matrix product tells which candidates can be among the nearest; their scores are then summed up exactly.
+                    rough = np.where(mask, (x / length[:, None]) @ who.unit.T, -np.inf)
+                    last = np.partition(rough, len(x) - nearest, axis=0)[len(x) - nearest] if len(x) > nearest else -np.inf
+                    r, q = np.nonzero(mask & (rough >= np.maximum(best[who.places, -1], last) - SLACK))
                     for k in range(0, len(r), 1 << 15):
                         i, j = r[k : k + (1 << 15)], q[k : k + (1 << 15)]
                         score, place = summed(x[i], who.rows[j]) / (length[i] * who.norm[j]), who.places[j]

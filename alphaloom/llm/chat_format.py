@@ -66,7 +66,7 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def _tokens(encoder: Encoder):
-    """A mapInArrow function over (row, keys, escaped turns): per turn token ids, their number and the loss span within them."""
+    """A mapInArrow function over (row, keys, escaped turns, conv_id): per turn token ids, their number and the loss span within them."""
 
     def run(batches):
         known, held = {}, 0
@@ -86,7 +86,7 @@ def _tokens(encoder: Encoder):
                 for column, value in zip(out, ([len(f[0]) for f in found], *([f[k] for f in found] for k in range(3)))):
                     column.append(value)
             types = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types))], names=["row", "keys", "n", "ids", "loss_start", "loss_end"])
+            yield pa.record_batch([batch.column(0), batch.column(3), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types))], names=["row", "conv_id", "keys", "n", "ids", "loss_start", "loss_end"])
 
     return run
 
@@ -180,11 +180,20 @@ def forest(chats: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame,
     first token), ids, loss_start, loss_end (within its ids) and attention (intervals [start, end) in the sequence).
     paths: leaf (key of a last turn), and the keys of all turns up to it.
     """
-    encoder = encoder or default_encoder()
+    tokens = saved(tokenised(chats, encoder), "chat-tokens")
+    return _forest(tokens)
+
+
+def tokenised(chats: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """Of `turns` rows: row (a number), conv_id, keys, and of each turn its token ids, their number and the loss span."""
     said = F.transform("t", lambda x: F.struct(escaped_role(x["role"]).alias("role"), escaped(x["text"]).alias("text")))
-    rows = chats.select(F.monotonically_increasing_id().alias("row"), "keys", said.alias("t"))
-    tokens = saved(rows.mapInArrow(_tokens(encoder), "row long, keys array<string>, n array<long>, ids array<array<int>>, loss_start array<int>, loss_end array<int>"), "chat-tokens")
+    rows = chats.select(F.monotonically_increasing_id().alias("row"), "keys", said.alias("t"), "conv_id")
+    kind = dict(chats.dtypes)["conv_id"]
+    return rows.mapInArrow(_tokens(encoder or default_encoder()), f"row long, conv_id {kind}, keys array<string>, n array<long>, ids array<array<int>>, loss_start array<int>, loss_end array<int>")
 
+
+def _forest(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`forest` of a written table of `tokenised` rows; the nodes are not written."""
     # Equal conversations are one path. Only keys and sizes are sorted.
     paths = tokens.groupBy(F.element_at("keys", -1).alias("leaf")).agg(F.min(F.struct("row", "keys", "n")).alias("p")).select("p.row", "p.keys", "p.n")
     paths = saved(paths, "chat-paths")
@@ -252,16 +261,21 @@ def read_back(nodes: DataFrame, paths: DataFrame, leaves: DataFrame, encoder: En
 
 def format_chats(conversations: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, paths, leaves): the packed forest, the nodes of each path, and the node at which each conversation ends."""
-    chats = saved(turns(conversations), "chat-turns")
-    nodes, paths = forest(chats, encoder)
-    return saved(nodes, "chat-forest"), paths, chats.select("conv_id", F.element_at("keys", -1).alias("key"))
+    nodes, paths, leaves = laid_out(conversations, encoder)
+    return saved(nodes, "chat-forest"), paths, leaves
+
+
+def laid_out(conversations: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `format_chats`, but the forest is not written: for a single reader."""
+    tokens = saved(tokenised(turns(conversations), encoder), "chat-tokens")
+    return (*_forest(tokens), tokens.select("conv_id", F.element_at("keys", -1).alias("key")))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = f"{STOP}{START}assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    nodes, paths, leaves = format_chats(rows.unionByName(own))
+    nodes, paths, leaves = laid_out(rows.unionByName(own))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = read_paths(nodes, paths).select(
         "key", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
