@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: The others can't be written in SQL; tests/llm holds them against brute force.
-ORACLES = {"op3_url_filter": url_filter.OP3_SQL, "op5_chat_format": chat_format.OP5_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op10_warc": warc.OP10_SQL}
+ORACLES = {"op3_url_filter": url_filter.OP3_SQL, "op4_secret_scan": secret_scan.OP4_SQL, "op5_chat_format": chat_format.OP5_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op10_warc": warc.OP10_SQL}

@@ -134,3 +134,31 @@ def redact(docs: DataFrame, repository: Column | None = None, owner: Column | No
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _duck(kind: str, rank: int) -> str:
+    """A kind's spans in DuckDB: matches and what lies between them, side by side. The look-around of `upper` becomes a condition on whole runs of letters and digits."""
+    pattern, group, least = KINDS[kind]
+    pattern = "[0-9A-Za-z]+" if kind == "upper" else pattern.replace("'", "''")
+    fits = "AND regexp_full_match(m, '[0-9A-F]+') AND regexp_matches(left(m, 41), '[0-9]')" if kind == "upper" else ""
+    return f"""SELECT row_id, '{kind}' AS kind, {rank} AS rank, starts AS start, starts + length(m) AS stop, secret FROM (
+      SELECT row_id, m, regexp_extract(m, '{pattern}', {group}) AS secret, CAST(sum(length(b)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS starts
+      FROM (SELECT row_id, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(string_split_regex(text, '{pattern}')) AS b, unnest(range(len(string_split_regex(text, '{pattern}')))) AS k FROM docs)
+      WHERE m IS NOT NULL WINDOW w AS (PARTITION BY row_id ORDER BY k)) WHERE length(secret) >= {least} {fits}"""
+
+
+_LISTED = "string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank)"
+OP4_SQL = f"""
+WITH docs AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'row ' || row_id) AS repository, coalesce(source, 'row ' || row_id) AS owner FROM (SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS text FROM documents)
+), spans AS ({" UNION ALL ".join(_duck(k, n) for n, k in enumerate(KINDS))}
+), counts AS (SELECT secret, count(DISTINCT repository) AS repositories, count(DISTINCT owner) AS owners FROM spans JOIN docs USING (row_id) GROUP BY secret
+), judged AS (SELECT spans.*, repositories, owners, owners < {WIDELY} AND (owners < 2 OR repositories < {SPREAD}) AS live FROM spans JOIN counts USING (secret)
+), told AS (
+  SELECT row_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, {_LISTED} FILTER (rank < 3) AS base, {_LISTED} FILTER (rank < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (rank < 3 AND NOT live) AS n_copied, max(repositories) AS most_repositories, max(owners) AS most_owners FROM judged GROUP BY row_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_live", "n_copied", "most_repositories", "most_owners"))}
+FROM docs LEFT JOIN told USING (row_id)
+"""
