@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..expr import EPS, Node, call, col, corr, sure, when
 
+# The published windows and factor names, by group.
 WINDOWS = (5, 10, 20, 30, 60)
 GROUPS = {
     "trend": ("ROC", "MA", "STD", "BETA", "RSQR", "RESI"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..expr import EPS, Node, call, col, corr, nonzero
 
+# Fixed values.
 WINDOWS = (1, 5, 10, 20, 30, 60, 120)
 
 
