@@ -6,6 +6,8 @@ import copy
 import hashlib
 import json
 import re
+import time
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,3 +132,61 @@ def repeated(features: list[str], times: dict[str, int]) -> list[str]:
 
 def slug(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
+
+
+def layered(profiles: dict[str, dict], name: str, load: Callable[[str], dict] = lambda path: {}) -> dict:
+    """A profile's document from its layers, later ones over earlier: the profile that it extends, the file at its path, and what it says itself."""
+    layers: list[dict] = []
+    seen: list[str] = []
+    while name is not None:
+        if name in seen:
+            raise ValueError(f"profiles extend each other: {' -> '.join([*seen, name])}")
+        if name not in profiles:
+            raise ValueError(f"unknown profile {name}")
+        seen.append(name)
+        own = profiles[name]
+        layers += [{k: v for k, v in own.items() if k not in ("path", "extends")}, load(own["path"]) if own.get("path") else {}]
+        name = own.get("extends")
+    out: dict = {}
+    for layer in reversed(layers):
+        out = merged(out, layer)
+    return out
+
+
+def composed(*documents: dict, overrides: tuple[str, ...] = ()) -> dict:
+    """Runtime, experiment and model documents, later ones over earlier, and then command-line overrides like a.b=3 (JSON values, else text)."""
+    out: dict = {}
+    for d in documents:
+        out = merged(out, d)
+    for text in overrides:
+        path, equals, value = text.partition("=")
+        if not equals:
+            raise ValueError(f"an override is path=value, not {text}")
+        out = with_path(out, path.strip(), choices(f"[{value}]")[0] if value.strip() and not value.strip().startswith(("[", "{")) else json.loads(value) if value.strip() else "")
+    return out
+
+
+def run_jobs(jobs: list[dict], run: Callable[[dict], object], done: set[str] = frozenset(), key: str = "matrix_id", shared: str | None = None, load: Callable[[object], object] | None = None) -> list[dict]:
+    """Runs the jobs that aren't done one after the other (each is a distributed computation); a failed one is told of and the next begins.
+
+    With `shared`, jobs of an equal value of that field stand together, and `load` makes what they share once. Per job, in the order
+    given: key, status (success, skipped_done or failed), seconds and detail.
+    """
+    order = sorted(range(len(jobs)), key=lambda i: (str(jobs[i].get(shared)) if shared else "", i))
+    told: dict[int, dict] = {}
+    held: tuple = (None, None)
+    for i in order:
+        job, began = jobs[i], time.time()
+        name = str(job[key])
+        if name in done:
+            told[i] = {key: name, "status": "skipped_done", "seconds": 0.0, "detail": ""}
+            continue
+        try:
+            if load is not None and (held[1] is None or held[0] != job.get(shared)):
+                held = job.get(shared), load(job.get(shared))
+            run(job | {"shared": held[1]} if load is not None else job)
+            status, detail = "success", ""
+        except Exception as e:  # a batch outlives its jobs
+            status, detail = "failed", f"{type(e).__name__}: {e}"
+        told[i] = {key: name, "status": status, "seconds": round(time.time() - began, 3), "detail": detail}
+    return [told[i] for i in range(len(jobs))]

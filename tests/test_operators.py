@@ -660,3 +660,27 @@ def test_column_ranks_and_whole_groups(spark):
     assert got.columns == df.columns
     for c in ("a", "b", "c"):
         assert np.allclose(got.toPandas().sort_values(order)[c].to_numpy(float), want.sort_values(order)[c].to_numpy(float), equal_nan=True), c
+
+
+def test_layers_overrides_and_job_batches():
+    files = {"p.yaml": {"x": {"b": 2}, "y": 1}}
+    profiles = {"base": {"x": {"a": 1, "b": 1}, "z": 0}, "next": {"extends": "base", "path": "p.yaml", "y": 5}, "loop": {"extends": "pool"}, "pool": {"extends": "loop"}}
+    assert experiment.layered(profiles, "next", files.__getitem__) == {"x": {"a": 1, "b": 2}, "z": 0, "y": 5}
+    for bad in ("loop", "nothing"):
+        with pytest.raises(ValueError):
+            experiment.layered(profiles, bad)
+    made = experiment.composed({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}, overrides=("a.c=2.5", "d.e=text", "f=[1, 2]", "g=true"))
+    assert made == {"a": {"b": 3, "c": 2.5}, "d": {"e": "text"}, "f": [1, 2], "g": True}
+    with pytest.raises(ValueError):
+        experiment.composed({}, overrides=("a",))
+    loaded, ran = [], []
+
+    def run(job):
+        ran.append((job["matrix_id"], job["shared"]))
+        if job["matrix_id"] == "c":
+            raise RuntimeError("no data")
+
+    jobs = [{"matrix_id": m, "bundle": b} for m, b in (("a", 1), ("b", 2), ("c", 1), ("d", 2), ("e", 1))]
+    told = experiment.run_jobs(jobs, run, {"d"}, shared="bundle", load=lambda b: loaded.append(b) or f"bundle {b}")
+    assert [(t["matrix_id"], t["status"]) for t in told] == [("a", "success"), ("b", "success"), ("c", "failed"), ("d", "skipped_done"), ("e", "success")] and told[2]["detail"] == "RuntimeError: no data"
+    assert loaded == [1, 2] and ran == [("a", "bundle 1"), ("c", "bundle 1"), ("e", "bundle 1"), ("b", "bundle 2")]
