@@ -47,6 +47,16 @@ def test_provider_source(spark, tmp_path, monkeypatch):
     spark.dataSource.register(connectors.ProviderSource)
     df = spark.read.format("provider").option("fetch", "fake_provider:daily").option("symbols", "a, b").option("start", "1990-01-01").option("end", "2024-12-31").schema("symbol string, year int, value double").load()
     assert df.count() == 70 and df.rdd.getNumPartitions() == 6
+    (tmp_path / "flaky_provider.py").write_text("import os\ndef daily(symbol, start, end):\n    if symbol == 'bad' and not os.path.exists(os.path.join(os.path.dirname(__file__), 'up')):\n        raise ConnectionError\n    yield (symbol, start.year, 1.0)\n")
+    reader = connectors.ProviderReader({"fetch": "flaky_provider:daily", "symbols": "good,bad", "start": "2020-01-01", "end": "2020-12-31", "tries": "2", "wait": "0", "on_failure": "skip", "cache": str(tmp_path / "pages")})
+    asked = lambda: [r for p in reader.partitions() for r in reader.read(p)]
+    assert asked() == [("good", 2020, 1.0)] and len(list((tmp_path / "pages").iterdir())) == 1
+    (tmp_path / "up").write_text("")
+    assert asked() == [("good", 2020, 1.0), ("bad", 2020, 1.0)] == asked()
+    reader.options |= {"on_failure": "raise", "cache": ""}
+    (tmp_path / "up").unlink()
+    with pytest.raises(ConnectionError):
+        asked()
     assert connectors.ranges(dt.date(2000, 2, 29), dt.date(2000, 3, 1)) == [(dt.date(2000, 2, 29), dt.date(2000, 3, 1))]
 
 
