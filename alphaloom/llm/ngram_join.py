@@ -150,12 +150,6 @@ def routing_keys(element: np.ndarray, row: np.ndarray, rows: int, bound: Bound)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(tags)
 
 
-def _lists(owner: np.ndarray, rows: int, *values: pa.Array) -> list[pa.Array]:
-    order = pa.array(np.argsort(owner, kind="stable"))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, v.take(order)) for v in values]
-
-
 def digest(element: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """The set_id of each set."""
     total = np.zeros(rows, _U)
@@ -187,28 +181,38 @@ def tagged(docs: DataFrame, n: int, once: bool = False) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("set_id", LongType())]))
 
 
-def sketches(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
-    """Per document row: doc_id, n (size of its set), set_id, and the routing keys of the set with their tags, where its task meets it first."""
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """Per document row: doc_id, n (size of its set) and set_id."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        element, row = shingle_sets(batch.column(1), n)
+        size = np.bincount(row, minlength=batch.num_rows)
+        return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), pa.array(digest(element, row, batch.num_rows))], names=["doc_id", "n", "set_id"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_slices(work), "doc_id long, n long, set_id long")
+
+
+def keys_of(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """(key, node, tag) of the routing keys of all sets; a task gives those of a set once, however often it meets it."""
 
     def run(batches):
         seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = batch.num_rows
-            element, row = shingle_sets(batch.column(1), n)
-            ids, size = digest(element, row, rows), np.bincount(row, minlength=rows)
+            element, row = shingle_sets(batch.column(0), n)
+            ids = digest(element, row, rows)
             fresh = np.zeros(rows, bool)
             for k, x in enumerate(ids.tolist()):
                 fresh[k] = x not in seen
                 seen.add(x)
             use = fresh[row]
             key, owner, tag = routing_keys(element[use], row[use], rows, bound)
-            lists = _lists(owner, rows, pa.array(key.view(np.int64)), pa.array(tag, pa.int32()))
-            return pa.record_batch([batch.column(0), pa.array(size.astype(np.int64)), pa.array(ids), *lists], names=["doc_id", "n", "set_id", "keys", "tags"])
+            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array(tag, pa.int32())], names=["key", "node", "tag"])
 
-        yield from by_slices(work)(batches)
+        yield from by_slices(work, 0)(batches)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id long, keys array<long>, tags array<int>")
+    return docs.select("text").mapInArrow(run, "key long, node long, tag int")
 
 
 def _several(batches):
@@ -259,11 +263,9 @@ def _stars(batches):
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect sets which share a key that neither leaves out, from `sketches` rows."""
-    keys = rows.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "tags")).alias("k"), F.col("set_id").alias("node"))
-    keys = keys.select(F.col("k.keys").alias("key"), "node", F.col("k.tags").alias("tag"))
-    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_several, "key long, node long, tag int")
+def candidate_edges(docs: DataFrame, n: int, bound: Bound) -> DataFrame:
+    """Edges (a, b) that connect sets which share a key that neither leaves out. Keys are made from the texts once more, straight into the shuffle, instead of being stored."""
+    shared = keys_of(docs, n, bound).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_several, "key long, node long, tag int")
     shared = saved(shared, "ngram-shared")
     often = shared.withColumn("sets", F.count("*").over(Window.partitionBy("key")))
     place = F.row_number().over(Window.partitionBy("node", F.shiftright("tag", 8)).orderBy(F.desc("sets"), "key"))
@@ -397,9 +399,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, sets: bool = False) ->
     with_sets = sets
     bound = Bound(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(sketches(docs, n, bound), "ngram-sketches")
+    rows = saved(sketches(docs, n), "ngram-sketches")
     sets = saved(rows.where("n > 0").groupBy("set_id").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-sets")
-    group = components(candidate_edges(rows))
+    group = components(candidate_edges(docs, n, bound))
 
     # A group that is too large for a task is cut by size, and a size that still is by a hash: sums decide, nothing is sorted.
     members = sets.join(group, sets["set_id"] == group["node"]).select("set_id", "rep", "n", "copies", F.col("root").alias("group"))
