@@ -35,14 +35,22 @@ SLACK = 1e-9
 _AXES = 24
 
 
+def _small(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Orthonormal fast Hadamard transform of rows whose length is a power of two."""
-    n, h = x.shape[1], 1
-    x = x.copy()
-    while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
-        h *= 2
+    """Orthonormal fast Hadamard transform of rows whose length is a power of two: by factors of up to 16, one axis after the other."""
+    rows, n = x.shape
+    left = n
+    while left > 1:
+        r = min(16, left)
+        # The first axis is transformed and goes to the end; after all factors the axes stand as before.
+        x = (x.reshape(rows, r, n // r).swapaxes(1, 2).reshape(-1, r) @ _small(r)).reshape(rows, n)
+        left //= r
     return x / np.sqrt(n)
 
 
