@@ -4,7 +4,7 @@ Documents and benchmark items are folded (lower case, everything but letters and
 into overlapping windows of at most WINDOW bytes. A window of length L matches where a document holds it with at most
 k = floor(L * rate) edits, or fewer if fewer than LEAST shared q-grams would be left. By the q-gram lemma such a place shares at least
 L - q + 1 - k * q of the window's q-grams, on diagonals that lie within k of each other, so in one of the overlapping bands of 2(k + 1)
-diagonals. Bands with fewer hits are dropped, the others are aligned (semi-global, banded) and kept if the distance is within k.
+diagonals. Bands with fewer of them are dropped, the others are aligned (semi-global, banded) and kept if the distance is within k.
 
 Documents are read once, whole, and without a shuffle. Texts of benchmark items travel to the tasks, which make the index of their q-grams
 themselves (about 40 bytes for each byte of an item); a benchmark of more than BLOCK bytes is dealt in blocks of that size, each matched in a pass of its own.
@@ -113,6 +113,7 @@ class Index:
         order = np.argsort(gram, kind="stable")
         gram, self.window, self.place = gram[order], window[order], place[order]
         self.gram, self.begin = np.unique(gram, return_index=True)
+        self.need = np.minimum.reduceat(self.least[self.window], self.begin)
         self.begin = np.append(self.begin, len(gram))
         self.bits[self._slot(self.gram)] = True
 
@@ -133,10 +134,9 @@ class Index:
         at = np.minimum(np.searchsorted(self.gram, g[hit]), len(self.gram) - 1)
         real = self.gram[at] == g[hit]
         hit, at = hit[real], at[real]
-        # A place within the budget has at least `few` hits in a stretch as long as a window with its edits.
-        few, stretch = int(self.least.min()), int((self.length + self.edits).max())
-        ends = np.searchsorted(hit, hit + stretch)
-        dense = np.flatnonzero(ends - np.arange(len(hit)) >= few)
+        # From the first hit of a place on, a stretch as long as a window with its edits has as many hits as the least of the hit's windows needs.
+        ends = np.searchsorted(hit, hit + int((self.length + self.edits).max()))
+        dense = np.flatnonzero(ends - np.arange(len(hit)) >= self.need[at])
         cover = np.zeros(len(hit) + 1, np.int64)
         np.add.at(cover, dense, 1)
         np.add.at(cover, ends[dense], -1)
@@ -146,11 +146,20 @@ class Index:
             return none
         n = self.begin[at + 1] - self.begin[at]
         entry = np.repeat(self.begin[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window = self.window[entry].astype(np.int64)
-        diagonal = np.repeat(hit, n) - self.place[entry] + WINDOW
+        window, place = self.window[entry].astype(np.int64), self.place[entry]
+        diagonal = np.repeat(hit, n) - place + WINDOW
         band = diagonal // (self.edits[window] + 1)
-        key = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
-        key, often = np.unique(key, return_counts=True)
+        key, place = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1]), np.concatenate([place, place])
+        found, often = np.unique(key, return_counts=True)
+        found = found[often >= self.least[found >> 40]]
+        if not len(found):
+            return none
+        # A q-gram of the window counts once for a band, however often a repetitive text has it there.
+        inside = found[np.minimum(np.searchsorted(found, key), len(found) - 1)] == key
+        key, place = key[inside], place[inside]
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        key, often = np.unique(key[np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])], return_counts=True)
         window = key >> 40
         enough = often >= self.least[window]
         window, band = window[enough], (key & ((1 << 40) - 1))[enough]

@@ -408,6 +408,24 @@ def test_replaced_words_do_not_hide_a_leak(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(30)}
 
 
+def test_repetitive_items_and_texts(spark):
+    """Q-grams that repeat within an item and within a text: every place within the edits is found, and repetition alone is none."""
+    rng = np.random.default_rng(15)
+    beat = "la li lo la li lu " * 8
+    items = [(1, beat), (2, "one two three one two three four " * 4), (3, "a b a b a c " * 10)]
+    docs = [(10, f"start {beat} end"), (11, "la " * 400), (12, "one two " * 200), (13, items[1][1].replace("four one", "fXur one", 1)), (14, "x y " * 100 + items[2][1] * 3), (15, " ".join(rng.choice(["la", "li", "lo", "lu"], 300)))]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for d, text in docs:
+        t = decontaminate.fold(text)
+        for i, x in items:
+            f = decontaminate.fold(x)
+            cuts = [0] if len(f) <= 96 else [*range(0, len(f) - 96, 48), len(f) - 96]
+            if any(_semi_global(f[c : c + 96], t) <= decontaminate.budget(len(f[c : c + 96])) for c in cuts):
+                want.add((d, i))
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and {(10, 1), (13, 2), (14, 3)} <= want
+
+
 # ---- 9: packing
 
 
