@@ -179,5 +179,7 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: i
                 out = work(batch.slice(low, high - low))
                 if out is not None and out.num_rows:
                     yield out
+            # What a batch took goes back to the system: workers are kept, and so would it be.
+            pa.default_memory_pool().release_unused()
 
     return run
