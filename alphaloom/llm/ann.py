@@ -88,17 +88,25 @@ def bucket(x: np.ndarray, t: int, functions: int) -> np.ndarray:
     return code
 
 
+def _first(values: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least values of each row, in order."""
+    if values.shape[1] <= n:
+        return np.argsort(values, axis=1, kind="stable")
+    some = np.argpartition(values, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(values, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def probed(x: np.ndarray, t: int, functions: int, probes: int = PROBES) -> np.ndarray:
     """The buckets of table t that each unit row probes, its own first."""
     code, lost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
     for f in range(functions):
         near = _signed(rotated(x, 1000 * t + f))
-        axes = np.argsort(-near, axis=1, kind="stable")[:, :_AXES]
+        axes = _first(-near, _AXES)
         value = np.take_along_axis(near, axes, axis=1)
         gap = (value[:, :1] - value) ** 2
         code = (code[:, :, None] * near.shape[1] + axes[:, None, :]).reshape(len(x), -1)
         lost = (lost[:, :, None] + gap[:, None, :]).reshape(len(x), -1)
-        keep = np.argsort(lost, axis=1, kind="stable")[:, :probes]
+        keep = _first(lost, probes)
         code, lost = np.take_along_axis(code, keep, axis=1), np.take_along_axis(lost, keep, axis=1)
     return code
 
