@@ -195,11 +195,8 @@ def finite(x: Node) -> Node:
 
 
 def corr(x: Node, y: Node, n: int) -> Node:
-    """Pearson correlation from raw moments of the rows where both are known; missing below two rows or without variance."""
-    a, b = when(known(y), x), when(known(x), y)
-    m, sx, sy = Node("count", a, n), a.sum(n), b.sum(n)
-    dx, dy = m * (a * a).sum(n) - sx * sx, m * (b * b).sum(n) - sy * sy
-    return when((m >= 2.0) & (dx > 0.0) & (dy > 0.0), (m * (a * b).sum(n) - sx * sy) / call("sqrt", dx * dy))
+    """Pearson correlation of the rows where both are known, from centred values; missing below two rows or where either is constant."""
+    return Node("corr", when(known(y), x), when(known(x), y), n)
 
 
 def blend(parts: Iterable[tuple[float, Node]], share: float = 0.5) -> Node:
@@ -217,7 +214,7 @@ def bounded(x: Node, scale: float = 1.0) -> Node:
     return call("tanh", x / scale)
 
 
-ROLLING = {"lag", "lead", "count", "mean", "sum", "std", "max", "min", "quantile", "rank", "place", "since", "deviation", "slope", "fit", "intercept", "last", "running", "row", "peak"}
+ROLLING = {"lag", "lead", "count", "mean", "sum", "std", "max", "min", "quantile", "rank", "place", "since", "deviation", "slope", "fit", "intercept", "corr", "last", "running", "row", "peak"}
 
 
 class Spark:
@@ -384,6 +381,9 @@ class _Compiler:
         if op == "fit":
             f = d.frame(a[2])
             return f"CASE WHEN count({a[0]}) {f} >= 2 AND min({a[0]}) {f} < max({a[0]}) {f} THEN least({d.number(1.0)}, greatest({d.number(0.0)}, regr_r2({a[0]}, {a[1]}) {f})) END"
+        if op == "corr":
+            f = d.frame(a[2])
+            return f"CASE WHEN min({a[0]}) {f} < max({a[0]}) {f} AND min({a[1]}) {f} < max({a[1]}) {f} THEN {d.clean(f'covar_samp({a[0]}, {a[1]}) {f} / (stddev_samp({a[0]}) {f} * stddev_samp({a[1]}) {f})')} END"
         return getattr(d, op)(*a)
 
     def stages(self) -> list[dict[str, str]]:

@@ -328,6 +328,19 @@ class Batch:
 
         return self._frames(work, y, n, k)
 
+    def corr(self, x, y, n):
+        """x and y are known on the same rows."""
+
+        def work(v, t, _):
+            ok = ~np.isnan(v)
+            m = np.maximum(ok.sum(1), 1)
+            dv, dt = (np.where(ok, a - (np.nansum(a, 1) / m)[:, None], 0.0) for a in (v, t))
+            # Means are rounded, so what is constant is told by its extremes.
+            vary = [np.where(ok, a, np.inf).min(1) < np.where(ok, a, -np.inf).max(1) for a in (v, t)]
+            return np.where(vary[0] & vary[1], (dv * dt).sum(1) / (np.sqrt((dv * dv).sum(1)) * np.sqrt((dt * dt).sum(1))), np.nan)
+
+        return self._frames(work, x, n, y)
+
     def ewm(self, x, alpha, least):
         """Recursive mean seeded with the first known value, all symbols of the batch a row at a time; missing rows show nothing and change nothing."""
         x = self._full(x)

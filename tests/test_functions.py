@@ -69,6 +69,18 @@ def test_blend_is_gated_and_not_renormalised(spark):
     close(values(spark, formula, a=[1, nan, 1, nan], b=[1, 1, nan, nan]), [0.2, nan, 0.6, nan])
 
 
+def test_correlations_of_close_and_constant_values(spark):
+    """Close values keep their digits, and a constant that sums round has no correlation, in SQL and in the kernels."""
+    from alphaloom.functions.kernel import with_kernels
+
+    panel = series(spark, x=[1.0, 1.0 + 1e-8, nan, 1.0 + 3e-8], y=[0.3, 0.1, 0.9, -0.3], flat=[1 / 9, 1 / 9, 1 / 9, 1 / 9], other=[1 / 3, 0.05, 0.7, -0.4])
+    formulas = {"near": corr(X, col("y"), 4), "none": corr(col("other"), col("flat"), 4)}
+    for make in (with_formulas, with_kernels):
+        out = make(panel, formulas).orderBy("date").collect()
+        close([nan if r["near"] is None else r["near"] for r in out], [nan, -1, -1, -1], 1e-7)
+        assert [r["none"] for r in out] == [None] * 4
+
+
 def test_one_exchange_for_many_nested_windows(spark):
     panel = spark.range(100).selectExpr("id % 5 AS symbol", "id AS date", *(f"CAST(id + {k} AS DOUBLE) AS {c}" for k, c in enumerate(("open", "high", "low", "close", "volume", "amount", "vwap"))))
     df = with_formulas(panel, alpha158.factors(), keep=["symbol", "date"])
