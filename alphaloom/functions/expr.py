@@ -199,6 +199,11 @@ def corr(x: Node, y: Node, n: int) -> Node:
     return Node("corr", when(known(y), x), when(known(x), y), n)
 
 
+def undefined(c: Node) -> Node:
+    """Whether a `corr` has rows but no value, since there is one only or a side is constant; without rows it is missing."""
+    return (Node("count", c.args[0], c.args[2]) > 0.0) & Node("not", known(c))
+
+
 def blend(parts: Iterable[tuple[float, Node]], share: float = 0.5) -> Node:
     """Weighted sum of the known parts, missing unless their absolute weights reach a share of all; not renormalised."""
     parts = list(parts)

@@ -44,7 +44,7 @@ def test_correlations_without_variance_equal_the_twins(spark, sf, tmp_path):
     con.execute(f"COPY (SELECT CAST(k AS BIGINT) AS l_orderkey, CAST(1 AS BIGINT) AS l_partkey, CAST(s AS BIGINT) AS l_suppkey, 1 AS l_linenumber, q::DOUBLE AS l_quantity, x::DOUBLE AS l_extendedprice, 0.05::DOUBLE AS l_discount, 0.02::DOUBLE AS l_tax, d AS l_shipdate FROM (VALUES {lines}) v(k, s, q, x, d)) TO '{tmp_path}/lineitem.parquet'")
     for t in ("supplier", "nation", "region", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
-    for name in ("provider_events",):
+    for name in ("provider_events", "provider_semantic"):
         want = con.sql(catalogue.ORACLES[name])
         got = tidy(catalogue.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect())
         assert len(got) == 20 and got == tidy(want.fetchall()), name
