@@ -5,28 +5,39 @@ document over a labelled bad one; the Bradley-Terry model P(a over b) = sigmoid(
 steps on the logistic loss of feature differences. The decision threshold is a quantile of the scores: the share of bad
 labels in the training rows. The published score is a logistic curve through that quantile at `cut`.
 
+Every training row takes part in the scales, the pairs, the threshold and the curve. Pairs of all rows would grow with
+their square, so rows are dealt to blocks of about BLOCK by a hash of doc_id, and each good row of a block is preferred over
+each of its bad ones; up to BLOCK rows these are all pairs. A class too rare for all blocks is repeated in several, for
+the pairs only. Blocks are written once; tasks send sums of them, whose size doesn't depend on the rows.
+
 Defined results: null and empty texts have the same (all-zero count) features and get a score as any other text; rows
 with a null or unknown label teach nothing; very long texts are read whole; repeated rows are scored each, and of rows that repeat a labelled
-id the one that sorts first teaches; with one label class or no labels at all every score is the share of good labels (0.5 without
+id the one whose text's digest sorts first teaches; with one label class or no labels at all every score is the share of good labels (0.5 without
 labels); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, by_slices
+from .common import by_slices, held_out, saved, scratch, split
 
-#: Most labelled rows of either class that the fit uses; chosen by a hash of doc_id.
-SAMPLE_PER_CLASS = 4000
-#: Preference pairs drawn from the sample.
-PAIRS = 60_000
+#: Training rows of a block, about.
+BLOCK = 4096
+#: Rows of either class that a block should have, about; a class with fewer is repeated.
+RARE = 32
+#: Pairs that a task holds at once.
+CELLS = 1 << 20
+#: Ranges that a pass counts to find a value by its rank, and most values that it then looks at one by one.
+BINS, FEW = 4096, 10_000
 
 _CLASSES = {
     "letters": b"abcdefghijklmnopqrstuvwxyz", "capitals": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789",
@@ -71,37 +82,129 @@ def features(text: str | None) -> list[float]:
 
 
 def _vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = [features(t) for t in batch.column(1).to_pylist()]
-    return pa.record_batch([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "f"])
+    """doc_id, a digest of the text (null texts sort last) and the features' bytes."""
+    texts = batch.column(1).to_pylist()
+    digests = [b"\xff" * 17 if t is None else hashlib.md5(t.encode()).digest() for t in texts]
+    rows = [np.array(features(t)).tobytes() for t in texts]
+    return pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "digest", "f"])
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights w of the Bradley-Terry model, from rows preferred over other rows."""
-    rng = np.random.default_rng(7)
-    diff = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
-    w = np.zeros(diff.shape[1])
+def _block(t: pa.Table) -> pa.Table:
+    """A block's rows as one: its good and its bad features, of each class the rows that are no repetitions first."""
+    order = sorted(range(t.num_rows), key=lambda k, c=t["copy"].to_pylist(), d=t["doc_id"].to_pylist(): (c[k] > 0, d[k]))
+    f, copy, label = t["f"].to_pylist(), t["copy"].to_pylist(), t["label"].to_pylist()
+    out = {"block": pa.array(t["block"].to_pylist()[:1], pa.int64())}
+    for name, value in (("good", 1), ("bad", 0)):
+        out[name] = pa.array([b"".join(f[k] for k in order if label[k] == value)], pa.binary())
+        out[f"own_{name}"] = pa.array([sum(label[k] == value and copy[k] == 0 for k in order)], pa.int64())
+    return pa.table(out)
+
+
+def _total(blocks: DataFrame, work: Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]) -> np.ndarray:
+    """The sum over blocks of work(good rows, bad rows, how many of either are no repetitions)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                good, bad = (np.frombuffer(row[k]).reshape(-1, len(FEATURES)) for k in ("good", "bad"))
+                part = work(good, bad, row["own_good"], row["own_bad"])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array([np.asarray(total, float).tobytes()], pa.binary())], names=["part"])
+
+    return sum(np.frombuffer(r["part"]) for r in blocks.mapInArrow(run, "part binary").collect())
+
+
+def _slopes(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of pairs of each good with each bad row, first and negative second derivatives of their log-likelihood, in one row."""
+    n = len(w)
+    grad, hess = np.zeros(n), np.zeros((n, n))
+    step = max(1, CELLS // max(1, len(bad)))
+    for a in range(0, len(good) if len(bad) else 0, step):
+        g = good[a : a + step]
+        p = 1 / (1 + np.exp(-np.clip((g @ w)[:, None] - (bad @ w)[None, :], -35, 35)))
+        v = p * (1 - p)
+        cross = g.T @ (v @ bad)
+        grad += g.T @ (1 - p).sum(1) - bad.T @ (1 - p).sum(0)
+        hess += (g * v.sum(1)[:, None]).T @ g + (bad * v.sum(0)[:, None]).T @ bad - cross - cross.T
+    return np.concatenate([[len(good) * len(bad)], grad, hess.ravel()])
+
+
+def _newton(slopes: Callable[[np.ndarray], np.ndarray], n: int, ridge: float, steps: int) -> np.ndarray:
+    """n weights where the mean log-likelihood of the pairs, less a ridge, has no slope."""
+    w = np.zeros(n)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -35, 35)))
-        grad = diff.T @ (1 - p) / pairs - ridge * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w += step
+        out = slopes(w)
+        pairs, grad, hess = out[0], out[1 : n + 1], out[n + 1 :].reshape(n, n)
+        step = np.linalg.solve(hess / pairs + ridge * np.eye(n), grad / pairs - ridge * w)
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def logistic_1d(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """(slope, intercept) of a weighted, slightly ridged logistic curve."""
+def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int | None = None, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Weights w of the Bradley-Terry model, from rows preferred over other rows: from all pairs, or from so many drawn ones."""
+    if pairs is None:
+        return _newton(lambda w: _slopes(good, bad, w), good.shape[1], ridge, steps)
+    rng = np.random.default_rng(7)
+    diff = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
+    return _newton(lambda w: _slopes(diff, np.zeros((1, diff.shape[1])), w), diff.shape[1], ridge, steps)
+
+
+def _ranked(blocks: DataFrame, strength: Callable[[np.ndarray], np.ndarray], rank: int, edge: float) -> tuple[float, float]:
+    """The strengths of ranks `rank` and rank + 1 (from 0) of all training rows, which lie within `edge` of 0: ranges are narrowed until few are left."""
+
+    def own(good, bad, n_good, n_bad):
+        return np.concatenate([strength(good[:n_good]), strength(bad[:n_bad])])
+
+    low, high, before = -edge, edge, 0
+    for _ in range(8):
+        edges = np.linspace(low, high, BINS + 1)
+        counts = _total(blocks, lambda *b, e=edges: np.histogram(own(*b), e)[0]).astype(np.int64)
+        k = int(np.searchsorted(before + np.cumsum(counts), rank, side="right"))
+        low, high, before = edges[k], edges[k + 1], before + int(counts[:k].sum())
+        if counts[k] <= FEW or not low < (low + high) / 2 < high:
+            break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Different strengths from low to high with their numbers, and the first one beyond."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                good, bad = (np.frombuffer(row[k]).reshape(-1, len(FEATURES)) for k in ("good", "bad"))
+                z = own(good, bad, row["own_good"], row["own_bad"])
+                values, n = np.unique(z[(z >= low) & (z <= high)], return_counts=True)
+                beyond = z[z > high]
+                if len(beyond):
+                    values, n = np.append(values, beyond.min()), np.append(n, 1)
+                yield pa.record_batch([pa.array(values, pa.float64()), pa.array(n, pa.int64())], names=["z", "n"])
+
+    found = blocks.mapInArrow(run, "z double, n long").groupBy("z").agg(F.sum("n").alias("n")).toPandas().sort_values("z")
+    ends = before + found["n"].to_numpy().cumsum()
+    at = np.searchsorted(ends, [rank, rank + 1], side="right")
+    first, second = found["z"].to_numpy()[at]
+    return float(first), float(second)
+
+
+def _curve(blocks: DataFrame, strength: Callable[[np.ndarray], np.ndarray], at: float, steps: int = 60) -> float:
+    """Slope of a slightly ridged logistic curve of the label over the strength, less `at`, of all training rows."""
     a = b = 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
-        r, v = weight * (y - p), weight * p * (1 - p) + 1e-9
-        g = np.array([(r * x).sum() - 1e-2 * a, r.sum()])
-        h = np.array([[(v * x * x).sum() + 1e-2, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, g)
+
+        def sums(good, bad, n_good, n_bad, a=a, b=b):
+            x = np.concatenate([strength(good[:n_good]), strength(bad[:n_bad])]) - at
+            y = np.repeat([1.0, 0.0], [n_good, n_bad])
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
+            r, v = y - p, p * (1 - p) + 1e-9
+            return np.array([(r * x).sum(), r.sum(), (v * x * x).sum(), (v * x).sum(), v.sum()])
+
+        gx, g, hxx, hx, h = _total(blocks, sums)
+        da, db = np.linalg.solve(np.array([[hxx + 1e-2, hx], [hx, h + 1e-6]]), np.array([gx - 1e-2 * a, g]))
         a, b = a + np.clip(da, -2, 2), b + np.clip(db, -4, 4)
-    return float(a), float(b)
+        if max(abs(da), abs(db)) < 1e-9:
+            break
+    return float(a)
 
 
 class Model:
@@ -110,8 +213,11 @@ class Model:
     def __init__(self, mean, scale, w, at: float, slope: float, cut: float, constant: float | None = None):
         self.mean, self.scale, self.w, self.at, self.slope, self.cut, self.constant = mean, scale, w, at, slope, cut, constant
 
+    def standard(self, f: np.ndarray) -> np.ndarray:
+        return np.clip((f - self.mean) / self.scale, -8, 8)
+
     def strength(self, f: np.ndarray) -> np.ndarray:
-        return np.clip((f - self.mean) / self.scale, -8, 8) @ self.w
+        return self.standard(f) @ self.w
 
     def score(self, f: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -119,34 +225,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.strength(f) - self.at) + math.log(self.cut / (1 - self.cut)), -35, 35)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.7, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Learns from the labelled rows that aren't held out: class shares from all of them, the curve from `per_class` of each."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = total.get(1, 0) / sum(total.values()) if total else 0.5
-    chosen = None
-    for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.union(part)
-    # One row for each id, so that the sample is bounded however often ids repeat.
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.select("doc_id", "text", "label").mapInArrow(by_slices(_vectors), "doc_id long, label int, f array<double>").toPandas()
-    y = rows["label"].to_numpy()
-    if not len(rows) or y.min() == y.max():
-        return Model(None, None, None, 0, 0, cut, float(share))
-    f = np.array(rows.sort_values(["doc_id", "label"])["f"].tolist())
-    y = rows.sort_values(["doc_id", "label"])["label"].to_numpy()
-    mean, scale = f.mean(0), f.std(0) + 1e-6
-    x = np.clip((f - mean) / scale, -8, 8)
-    w = bradley_terry(x[y == 1], x[y == 0])
-    z = x @ w
-    weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
-    order = np.argsort(z, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    k = min(int(np.searchsorted(below, 1 - share)), len(z) - 2)
-    at = float((z[order[k]] + z[order[k + 1]]) / 2)
-    slope, _ = logistic_1d(z - at, y, weight)
-    return Model(mean, scale, w, at, max(slope, 1e-3), cut)
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.7, block: int = BLOCK) -> Model:
+    """Learns from all labelled rows that aren't held out."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select(doc_id, F.col(label).cast("int").alias("label"))
+    with scratch(documents.sparkSession):
+        # Texts stay where they are: only features of rows that may be labelled are dealt by id, one for each.
+        may, _ = split(documents.select(doc_id, "text"), known, "doc_id")
+        vectors = may.mapInArrow(by_slices(_vectors), "doc_id long, digest binary, f binary").groupBy("doc_id").agg(F.min_by("f", "digest").alias("f"))
+        rows = saved(vectors.join(known.distinct(), "doc_id"), "quality-rows")
+        n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if len(n) < 2:
+            total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+            return Model(None, None, None, 0, 0, cut, total.get(1, 0) / sum(total.values()) if total else 0.5)
+        every = sum(n.values())
+        n_blocks = math.ceil(every / block)
+        copies = {k: min(n_blocks, math.ceil(RARE * n_blocks / n[k])) for k in n}
+        last = F.when(F.col("label") == 1, copies[1] - 1).otherwise(copies[0] - 1)
+        apart = F.when(F.col("label") == 1, n_blocks / copies[1]).otherwise(n_blocks / copies[0])
+        dealt = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
+        dealt = dealt.withColumn("block", F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)) + F.floor(F.col("copy") * apart), F.lit(n_blocks)).cast("long"))
+        blocks = saved(dealt.groupBy("block").applyInArrow(_block, "block long, good binary, own_good long, bad binary, own_bad long"), "quality-blocks")
+
+        mean = _total(blocks, lambda good, bad, i, j: good[:i].sum(0) + bad[:j].sum(0)) / every
+        scale = np.sqrt(_total(blocks, lambda good, bad, i, j: ((good[:i] - mean) ** 2).sum(0) + ((bad[:j] - mean) ** 2).sum(0)) / every) + 1e-6
+        model = Model(mean, scale, None, 0, 0, cut)
+        model.w = _newton(lambda w: _total(blocks, lambda good, bad, i, j: _slopes(model.standard(good), model.standard(bad), w)), len(FEATURES), 1e-3, 25)
+        # The bad labels' share of the strengths lies below the middle of these two.
+        model.at = sum(_ranked(blocks, model.strength, n[0] - 1, 8 * float(np.abs(model.w).sum()) + 1)) / 2
+        model.slope = max(_curve(blocks, model.strength, model.at), 1e-3)
+        return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

@@ -87,6 +87,41 @@ def test_held_out_labels_teach_nothing(spark):
     assert [r["h"] for r in docs.select(common.held_out().alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)]
 
 
+def test_every_training_row_teaches(spark, monkeypatch):
+    """Scales, pairs, threshold and curve come from all labelled rows: exactly so in one block, and none is lost in many."""
+    docs, known = _corpus(spark, 500)
+    truth = {r["doc_id"]: r["quality"] for r in known.collect()}
+    learnt = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    f, y = np.array([quality.features(r["text"]) for r in learnt]), np.array([truth[r["doc_id"]] for r in learnt])
+    model = quality.fit(docs, known)
+    x = np.clip((f - f.mean(0)) / (f.std(0) + 1e-6), -8, 8)
+    assert np.allclose(model.mean, f.mean(0)) and np.allclose(model.scale, f.std(0) + 1e-6)
+    assert np.allclose(model.w, quality.bradley_terry(x[y == 1], x[y == 0]), atol=1e-6)
+    diff = (x[y == 1][:, None] - x[y == 0][None, :]).reshape(-1, x.shape[1])
+    assert np.allclose((diff * (1 / (1 + np.exp(diff @ model.w)))[:, None]).mean(0), 1e-3 * model.w, atol=1e-7)
+    z = np.sort(model.strength(f))
+    assert model.at == pytest.approx((z[(y == 0).sum() - 1] + z[(y == 0).sum()]) / 2)
+    monkeypatch.setattr(quality, "BINS", 3)
+    monkeypatch.setattr(quality, "FEW", 5)
+    assert quality.fit(docs, known).at == pytest.approx(model.at)
+    # Some blocks, and a class of few rows that is repeated in all of them.
+    rare = known.where("quality = 1 OR doc_id IN (0, 9, 18, 27, 36)")
+    few = sum(truth[r["doc_id"]] == 0 and r["doc_id"] in (0, 9, 18, 27, 36) for r in learnt)
+    dealt = quality.fit(docs, rare, block=40)
+    kept = [k for k, r in enumerate(learnt) if truth[r["doc_id"]] == 1 or r["doc_id"] in (0, 9, 18, 27, 36)]
+    assert 0 < few <= 5 and np.allclose(dealt.mean, f[kept].mean(0)) and np.allclose(dealt.scale, f[kept].std(0) + 1e-6)
+    z = np.sort(dealt.strength(f[kept]))
+    assert dealt.at == pytest.approx((z[few - 1] + z[few]) / 2)
+
+
+def test_blocks_repeat_a_rare_class(spark, monkeypatch):
+    """Each good row meets each of the few bad ones, however many blocks there are, so the weights are those of all pairs."""
+    docs, known = _corpus(spark, 400)
+    few = known.where("quality = 1 OR doc_id < 30")
+    whole, dealt = quality.fit(docs, few), quality.fit(docs, few, block=30)
+    assert np.allclose(whole.w, dealt.w, atol=1e-6) and whole.at == pytest.approx(dealt.at) and whole.slope == pytest.approx(dealt.slope)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("1d10t, Ѕtupіd cum!!! 2024 i$$$") == " idiot stupid cum 2024 i "
     assert toxicity.fold("1d10t") == " idiot " and toxicity.fold("2024") == " 2024 " and toxicity.fold("ѕtuріd") == " stupid "
